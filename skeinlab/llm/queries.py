@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from skeinlab.llm import bpe, exact_dedup, mixing
+from skeinlab.llm import bpe, exact_dedup, langid, mixing, ngram_join
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op4_language_id": langid.op4_language_id,
+    "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
 }
