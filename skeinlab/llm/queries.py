@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from skeinlab.llm import bpe, exact_dedup, langid, mixing, ngram_join
+from skeinlab.llm import bpe, exact_dedup, fingerprints, langid, mixing, ngram_join
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_fingerprints": fingerprints.op2_fingerprints,
     "op4_language_id": langid.op4_language_id,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
