@@ -208,6 +208,13 @@ class Memo:
 _memos: dict[tuple[str, str], Memo] = {}
 
 
+def remembered(path: str, name: str, *of: Callable[[list[int]], bytes]) -> Memo:
+    """This worker's memo of that name; it lives on between tasks."""
+    if (path, name) not in _memos:
+        _memos[path, name] = Memo(loaded(path), *of)
+    return _memos[path, name]
+
+
 def digest_documents(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id (and the columns `keep`), n_tokens, ids_sha256 and decoded_sha256: encode and decode of every
     whole text, of which only digests leave the worker. Null, empty and token-free texts: 0 tokens and the

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from skeinlab.llm import bpe, exact_dedup, fingerprints, langid, mixing, ngram_join
+from skeinlab.llm import bpe, exact_dedup, fingerprints, html_text, langid, mixing, ngram_join, token_store
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op4_language_id": langid.op4_language_id,
+    "op5_html_text": html_text.op5_html_text,
+    "op7_token_store": token_store.op7_token_store,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
