@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from skeinlab.llm import bpe, exact_dedup, fingerprints, html_text, langid, mixing, ngram_join, token_store
+from skeinlab.llm import bpe, exact_dedup, fingerprints, html_text, langid, mixing, ngram_join, revisits, token_store
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op3_revisits": revisits.op3_revisits,
     "op4_language_id": langid.op4_language_id,
     "op5_html_text": html_text.op5_html_text,
     "op7_token_store": token_store.op7_token_store,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_revisits": revisits.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }
