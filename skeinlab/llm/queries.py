@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinlab.llm import bpe, exact_dedup, fingerprints, html_text, langid, mixing, ngram_join, revisits, token_store
+from skeinlab.llm import bpe, exact_dedup, fingerprints, html_text, langid, mixing, ngram_join, revisits, token_store, transcripts
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_revisits": revisits.op3_revisits,
     "op4_language_id": langid.op4_language_id,
     "op5_html_text": html_text.op5_html_text,
+    "op6_transcripts": transcripts.op6_transcripts,
     "op7_token_store": token_store.op7_token_store,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
