@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from skeinlab.plans import read_queries
+
+QUERIES = {**read_queries.QUERIES}
+ORACLES = {**read_queries.ORACLES}
