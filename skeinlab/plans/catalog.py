@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinlab.plans import metric_queries, read_queries
+from skeinlab.plans import graph_queries, metric_queries, read_queries
 
-QUERIES = {**read_queries.QUERIES, **metric_queries.QUERIES}
-ORACLES = {**read_queries.ORACLES, **metric_queries.ORACLES}
+QUERIES = {**read_queries.QUERIES, **metric_queries.QUERIES, **graph_queries.QUERIES}
+ORACLES = {**read_queries.ORACLES, **metric_queries.ORACLES, **graph_queries.ORACLES}
