@@ -19,7 +19,8 @@ UNIT = 1.0 / (1 << 31)
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """The runs of [^\\x20\\x09-\\x0D] of a text."""
+    return F.array_remove(F.split(F.translate(text, common.WHITE, " " * len(common.WHITE)), " "), "")
 
 
 def shingles(words_name: str) -> Column:
@@ -29,14 +30,22 @@ def shingles(words_name: str) -> Column:
     return F.when(F.size(w) >= WORDS, F.sort_array(runs)).otherwise(F.array(F.xxhash64(F.array_join(w, " "))))
 
 
+def single(hashes: Column) -> Column:
+    """Terms of weight 1."""
+    return F.transform(hashes, lambda h: F.struct(h.alias("h"), F.lit(1).alias("w")))
+
+
+def distinct(sorted_name: str) -> Column:
+    return F.size(F.array_distinct(sorted_name)) == F.size(sorted_name)
+
+
 def weighted(sorted_name: str) -> Column:
     """Array of (h, w): the distinct values of a sorted array and how often each occurs."""
     s = F.col(sorted_name)
     starts = F.filter(F.transform(s, lambda h, i: F.when((i == 0) | (F.get(s, i - 1) != h), i).otherwise(-1)), lambda i: i >= 0)
     ends = F.filter(F.transform(s, lambda h, i: F.when(F.get(s, i + 1) == h, -1).otherwise(i + 1)), lambda i: i >= 0)
     repeated = F.zip_with(starts, ends, lambda i, j: F.struct(F.get(s, i).alias("h"), (j - i).alias("w")))
-    single = F.transform(s, lambda h: F.struct(h.alias("h"), F.lit(1).alias("w")))
-    return F.when(F.size(F.array_distinct(s)) == F.size(s), single).otherwise(repeated)
+    return F.when(distinct(sorted_name), single(s)).otherwise(repeated)
 
 
 def draw(h: Column, log_w: Column, k: int) -> Column:
@@ -52,11 +61,12 @@ def draw(h: Column, log_w: Column, k: int) -> Column:
     order = F.ln(c) - r * (t - b + F.lit(1.0))
     # ln a lies within +-100; in steps of 1e-7 it fits 32 bits
     rank = F.floor((order + F.lit(100.0)) * F.lit(1e7)).cast("long")
-    return F.shiftleft(rank, 32).bitwiseOR(F.xxhash64(h, t).bitwiseAND(F.lit(0xFFFFFFFF)))
+    # h is a hash already; a step of t moves its digest by an odd number
+    return F.shiftleft(rank, 32).bitwiseOR(h.bitwiseXOR(t * 40503).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
-def signatures(rows: DataFrame, keys: list[str], arrays: list[str], samples: int = SAMPLES) -> DataFrame:
-    """rows' keys with one fingerprint for each column of (h, w) arrays, named <array>_print.
+def signatures(rows: DataFrame, keys: list[str], arrays: list[str], prints: dict[str, list[str]], samples: int = SAMPLES) -> DataFrame:
+    """rows' keys with the fingerprints `prints`: each of the terms (h, w) of several array columns together.
 
     Terms are exploded and the least draws taken as plain aggregates; rows that are already dealt out by
     one of the keys are not shuffled again. A fingerprint is the hexadecimal digests of its draws."""
@@ -64,9 +74,10 @@ def signatures(rows: DataFrame, keys: list[str], arrays: list[str], samples: int
     terms = rows.select(*keys, F.explode(F.array(*sides)).alias("s")).select(*keys, F.col("s.side").alias("side"), F.explode("s.terms").alias("term"))
     terms = terms.select(*keys, "side", F.col("term.h").alias("h"), F.ln(F.col("term.w").cast("double")).alias("log_w"))
     drawn = terms.groupBy(*keys, "side").agg(*[F.min(draw(F.col("h"), F.col("log_w"), k)).alias(f"d{k}") for k in range(samples)])
-    text = F.concat(*[F.lpad(F.lower(F.hex(F.col(f"d{k}").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0") for k in range(samples)])
-    shown = drawn.select(*keys, "side", text.alias("print"))
-    return shown.groupBy(*keys).agg(*[F.max(F.when(F.col("side") == i, F.col("print"))).alias(f"{a}_print") for i, a in enumerate(arrays)])
+    own = {name: F.col("side").isin([arrays.index(a) for a in parts]) for name, parts in prints.items()}
+    least = drawn.groupBy(*keys).agg(*[F.min(F.when(mine, F.col(f"d{k}"))).alias(f"{name}_{k}") for name, mine in own.items() for k in range(samples)])
+    text = lambda name: F.concat(*[F.lpad(F.lower(F.hex(F.col(f"{name}_{k}").bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0") for k in range(samples)])
+    return least.select(*keys, *[text(name).alias(name) for name in prints])
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -82,7 +93,7 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """doc_id and the fingerprint of its whole text (null: empty), for each row. Repeated rows repeat."""
     rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), words(common.text_or_empty()).alias("words"))
     rows = rows.withColumn("sorted", shingles("words")).select("doc_id", "row", weighted("sorted").alias("text"))
-    return signatures(rows, ["row", "doc_id"], ["text"], samples).select("doc_id", F.col("text_print").alias("fingerprint"))
+    return signatures(rows, ["row", "doc_id"], ["text"], {"fingerprint": ["text"]}, samples).select("doc_id", "fingerprint")
 
 
 def with_next(docs: DataFrame, rows_each: int = ROWS_EACH) -> DataFrame:
@@ -104,7 +115,8 @@ def with_next(docs: DataFrame, rows_each: int = ROWS_EACH) -> DataFrame:
     placed = rows.join(F.broadcast(ends), F.col("range") == F.col("top_range")).select(
         "doc_id", "text", "id", F.explode(F.when(F.col("id") == F.col("top"), F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("ghost")), F.struct(F.col("before").alias("range"), F.lit(1).alias("ghost")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("ghost"))))).alias("to")
     )
-    placed = placed.select("to.range", "to.ghost", "doc_id", "id", "text").repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), "range")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed.select("to.range", "to.ghost", "doc_id", "id", "text").repartition(n, "range")
     turn = Window.partitionBy("range").orderBy("ghost", F.desc("id"), F.xxhash64("text"))
     return placed.withColumn("place", F.row_number().over(turn)).withColumn("next_text", F.lead("text").over(turn))
 
@@ -123,8 +135,14 @@ def edited_prints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     texts = texts.select("range", "ghost", "place", "doc_id", "n_chars", F.sha2("edited_text", 256).alias("edited_sha256"), words(F.col("text")).alias("w0"), words(F.col("edited_text")).alias("w1"))
     texts = texts.withColumns({"s0": shingles("w0"), "s1": shingles("w1")})
     keys = ["range", "ghost", "place", "doc_id", "n_chars", "edited_sha256"]
-    arrays = texts.select(*keys, weighted("s0").alias("plain"), weighted("s1").alias("edited"))
-    prints = signatures(arrays, keys, ["plain", "edited"], samples)
+    # where no term repeats, those that both texts have are drawn once for both
+    simple = distinct("s0") & distinct("s1")
+    none = F.array().cast("array<struct<h:bigint,w:int>>")
+    shared = F.when(F.col("simple"), single(F.array_intersect("s0", "s1"))).otherwise(none)
+    plain = F.when(F.col("simple"), single(F.array_except("s0", "s1"))).otherwise(weighted("s0"))
+    edit = F.when(F.col("simple"), single(F.array_except("s1", "s0"))).otherwise(weighted("s1"))
+    arrays = texts.withColumn("simple", simple).select(*keys, shared.alias("shared"), plain.alias("plain"), edit.alias("edited"))
+    prints = signatures(arrays, keys, ["shared", "plain", "edited"], {"plain_print": ["shared", "plain"], "edited_print": ["shared", "edited"]}, samples)
     turn = Window.partitionBy("range").orderBy("ghost", "place")
     return (
         prints.withColumn("next_print", F.lead("plain_print").over(turn))
