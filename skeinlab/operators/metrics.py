@@ -25,21 +25,26 @@ def average_precision(scored: DataFrame) -> DataFrame:
     return by_score(scored).agg(F.sum(F.col("pos") / F.nullif(F.col("p"), F.lit(0)) * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("avg_precision"))
 
 
+def _share(part: str, whole: str) -> Column:
+    return F.col(part) / F.nullif(F.col(whole), F.lit(0))
+
+
 def roc_points(scored: DataFrame, drop_intermediate: bool = False) -> DataFrame:
     """threshold, fpr, tpr at each distinct score, after the point (0, 0) whose threshold is null; with
-    drop_intermediate without the points between two in line."""
+    drop_intermediate without the points between two in line.
+    A rate of a class that is not there is null."""
     points = by_score(scored)
     if drop_intermediate:
         order = Window.orderBy(F.desc("score"))
         ahead = [F.lead(c).over(order) for c in ("pos", "neg")]
         points = points.withColumn("straight", F.coalesce(F.col("pos") * ahead[1] == F.col("neg") * ahead[0], F.lit(False))).filter("NOT straight")
-    rates = points.select(F.col("score").alias("threshold"), (F.col("fp") / F.col("n")).alias("fpr"), (F.col("tp") / F.col("p")).alias("tpr"))
+    rates = points.select(F.col("score").alias("threshold"), _share("fp", "n").alias("fpr"), _share("tp", "p").alias("tpr"))
     return rates.unionByName(scored.sparkSession.createDataFrame([(None, 0.0, 0.0)], "threshold double, fpr double, tpr double"))
 
 
 def pr_points(scored: DataFrame) -> DataFrame:
     """threshold, precision, recall at each distinct score, and the end (1, 0) with a null threshold."""
-    points = by_score(scored).select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("p")).alias("recall"))
+    points = by_score(scored).select(F.col("score").alias("threshold"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), _share("tp", "p").alias("recall"))
     return points.unionByName(scored.sparkSession.createDataFrame([(None, 1.0, 0.0)], "threshold double, precision double, recall double"))
 
 
@@ -110,7 +115,7 @@ def evaluate(scored: DataFrame, k: int | None = None) -> DataFrame:
     p = enrichment_p(tp, F.col("n_pools"), F.col("n_used"), F.col("topk"))
     cells = cells.select(
         "*",
-        ((tp + tn) / F.col("n_used")).alias("accuracy"),
+        ratio(tp + tn, F.col("n_used")).alias("accuracy"),
         ratio(tp, tp + fp).alias("precision"),
         ratio(tp, tp + fn).alias("recall"),
         ratio(2.0 * tp, 2 * tp + fp + fn).alias("f1"),
