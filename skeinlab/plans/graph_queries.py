@@ -143,6 +143,26 @@ sq AS (SELECT u, v, d * d AS s FROM both_ways UNION ALL SELECT DISTINCT sample,
 SELECT u, v, round(-0.5 * (s - avg(s) OVER (PARTITION BY u) - avg(s) OVER (PARTITION BY v) + avg(s) OVER ()) + 0.0, 6) AS value FROM sq""",
 }
 
+def _squared(older: str, newer: str) -> str:
+    return f"{newer} AS (SELECT x.u, y.v, min(x.d + y.d) AS d FROM {older} x JOIN {older} y ON x.v = y.u GROUP BY ALL)"
+
+
+# Shortest paths of up to 32 edges, more than the graph has nodes, by five squarings of the distance matrix.
+PATHS = G + """,
+p1 AS (SELECT u, v, d FROM adj UNION ALL SELECT DISTINCT sample, sample, 0.0 FROM probs),
+""" + ",\n".join(_squared(f"p{1 << i}", f"p{2 << i}") for i in range(5))
+
+ORACLES["shortest_paths"] = PATHS + " SELECT u, v, round(d, 6) AS d FROM p32"
+ORACLES["closeness"] = PATHS + """,
+c AS (SELECT u, count(*) - 1 AS k, sum(d) AS t, (SELECT count(DISTINCT sample) FROM probs) AS n FROM p32 GROUP BY u)
+SELECT u AS sample, round(CASE WHEN t > 0 AND n > 1 THEN k / t * k / (n - 1) ELSE 0 END, 6) AS closeness FROM c"""
+# Edge lengths are real numbers without ties, so a pair has one shortest path.
+ORACLES["betweenness"] = PATHS + """,
+m AS (SELECT x.v AS sample FROM p32 p JOIN p32 x ON x.u = p.u JOIN p32 y ON y.u = x.v AND y.v = p.v
+      WHERE p.u < p.v AND x.v <> p.u AND x.v <> p.v AND abs(x.d + y.d - p.d) <= 1e-10 * (1 + p.d)),
+n AS (SELECT count(DISTINCT sample) AS n FROM probs)
+SELECT s.sample, round((SELECT count(*) FROM m WHERE m.sample = s.sample) * 2.0 / ((n - 1) * (n - 2)), 6) AS betweenness FROM (SELECT DISTINCT sample FROM probs) s, n"""
+
 ORACLES["topology_curve"] = D + """,
 cuts AS (SELECT unnest(quantile_cont(d, """ + str([0.05 + 0.9 * i / 20 for i in range(21)]) + """)) AS threshold, CAST(unnest(range(21)) AS INTEGER) AS step FROM both_ways),
 te AS (SELECT step, a AS u, b AS v FROM dist JOIN cuts ON d <= threshold),
