@@ -37,6 +37,7 @@ NOISE = {
     "sidebar", "aside", "comment", "comments", "commentlist", "disqus", "reply", "replies", "respond", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "popup", "modal", "newsletter",
     "subscribe", "subscription", "signup", "login", "share", "sharing", "social", "related", "recommended", "widget", "widgets", "pagination", "pager", "toolbar", "copyright", "footer", "masthead", "skip", "search",
 }
+LAYOUT = {"has", "with", "no", "without", "not"}  # before a name part: the page's layout, not the element's own role
 
 _attr = r"""(?:[^>"']|"[^"]*"|'[^']*')*+"""
 _token = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_attr}|[^>]*)>|<[!?][^>]*>", re.S)
@@ -75,8 +76,10 @@ def _is_noise(tag: str, attrs: str) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id") and not NOISE.isdisjoint(x.lower() for x in _parts.findall(value)):
-            return True
+        if name in ("class", "id"):
+            parts = [x.lower() for x in _parts.findall(value)]
+            if any(p in NOISE and before not in LAYOUT for before, p in zip(["", *parts], parts, strict=False)):
+                return True
     return False
 
 

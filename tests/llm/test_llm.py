@@ -250,7 +250,7 @@ def test_minimum_cut_is_optimal():
 
 
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><nav><ul><li><a href=x>Home</a></ul></nav>
-<div class="cookie-notice">We use cookies.</div><article><h1>Head &amp; line</h1><p>First   part<br>of it, with <b>bold</b>ness.<p>Second &eacute;&nbsp;one.
+<div class="cookie-notice">We use cookies.</div><div class="page with-sidebar"><article><h1>Head &amp; line</h1><p>First   part<br>of it, with <b>bold</b>ness.<p>Second &eacute;&nbsp;one.
 <form><input>Sign up now</form><section id="comments"><p>A reader writes a rather long comment here, to be left out.</p></section></article>
 <aside>Other</aside><footer>&copy; us</footer>"""
 
