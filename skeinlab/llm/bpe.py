@@ -10,13 +10,14 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from skeinlab.llm import common
 
-CACHE = 400_000  # entries of a worker's caches; a full cache starts anew
+CACHE = 800_000  # entries of a worker's caches; a full cache starts anew
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -129,19 +130,30 @@ class ForcedBoundaryBPE:
             return ["\0" + w for w in self._by_components(text)]
         return self.words(text.lower())
 
-    def ids(self, unit: str) -> list[int]:
+    def ids(self, unit: str, encode: Callable[[str], list[int]] | None = None) -> list[int]:
+        """Ids of a unit; encode: of a word in the symbols of bytes."""
+        encode = encode or self._byte_word
         if unit[0] == "\0":
-            return self._byte_word(unit[1:])
+            return encode(unit[1:])
         if unit[0] == "\1":
             return [self.added[unit[1:]]]
-        return self._byte_word(unit if unit.isascii() else "".join([self.symbol[b] for b in unit.encode()]))
+        return encode(unit if unit.isascii() else "".join([self.symbol[b] for b in unit.encode()]))
 
-    def _by_components(self, text: str) -> list[str]:
+    def library_ids(self, unit: str) -> list[int]:
+        """The same by the library's own merges, without forced cuts."""
+        tokenize = self.loaded_library().model.tokenize
+        return self.ids(unit, lambda word: [t.id for t in tokenize(word)])
+
+    def loaded_library(self):
         if self.library is None:
             from tokenizers import Tokenizer
 
             self.library = Tokenizer.from_file(self.path)
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+        return self.library
+
+    def _by_components(self, text: str) -> list[str]:
+        library = self.loaded_library()
+        return [w for w, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(text))]
 
     def encode(self, text: str | None) -> list[int]:
         return [i for u in self.units(text or "") for i in self.ids(u)]
@@ -183,35 +195,46 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, ids array<int>, decoded string")
 
 
+class _Known(dict):
+    """Values by unit; what is missing is made on the way."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, unit: str) -> bytes:
+        return self.make(unit)
+
+
 class Memo:
     """What a worker remembers of units: of(ids) as bytes, one dictionary for each `of`."""
 
-    def __init__(self, bpe: ForcedBoundaryBPE, *of: Callable[[list[int]], bytes]):
-        self.bpe, self.of, self.known = bpe, of, tuple({} for _ in of)
+    def __init__(self, bpe: ForcedBoundaryBPE, ids_of: Callable[[str], list[int]], *of: Callable[[list[int]], bytes]):
+        self.bpe, self.ids_of, self.of = bpe, ids_of, of
+        self.known = [_Known(partial(self._make, i)) for i in range(len(of))]
+
+    def _make(self, which: int, unit: str) -> bytes:
+        if len(self.known[0]) >= CACHE:  # units met early are the frequent ones; they stay
+            for late in list(self.known[0])[CACHE // 2 :]:
+                for d in self.known:
+                    d.pop(late, None)
+        ids = self.ids_of(unit)
+        for of, d in zip(self.of, self.known, strict=True):
+            d[unit] = of(ids)
+        return self.known[which][unit]
 
     def joined(self, units: list[str], sep: bytes = b"") -> list[bytes]:
-        first = self.known[0]
-        if fresh := set(units).difference(first):
-            if len(first) >= CACHE:
-                for d in self.known:  # words met early are the frequent ones; they stay
-                    for late in list(d)[CACHE // 2 :]:
-                        del d[late]
-                fresh = set(units).difference(first)
-            ids_of = self.bpe.ids
-            for u in fresh:
-                ids = ids_of(u)
-                for of, d in zip(self.of, self.known, strict=True):
-                    d[u] = of(ids)
         return [sep.join(map(d.__getitem__, units)) for d in self.known]
 
 
 _memos: dict[tuple[str, str], Memo] = {}
 
 
-def remembered(path: str, name: str, *of: Callable[[list[int]], bytes]) -> Memo:
+def remembered(path: str, name: str, *of: Callable[[list[int]], bytes], by_library: bool = False) -> Memo:
     """This worker's memo of that name; it lives on between tasks."""
     if (path, name) not in _memos:
-        _memos[path, name] = Memo(loaded(path), *of)
+        bpe = loaded(path)
+        _memos[path, name] = Memo(bpe, bpe.library_ids if by_library else bpe.ids, *of)
     return _memos[path, name]
 
 
@@ -225,9 +248,7 @@ def digest_documents(docs: DataFrame, path: str | None = None, keep: tuple[str,
     def run(batches):
         bpe = loaded(path)
         text_of = bpe.text_of
-        memo = _memos.get((path, "digest")) or _memos.setdefault(
-            (path, "digest"), Memo(bpe, lambda ids: b" ".join([b"%d" % i for i in ids]), lambda ids: b" ".join([text_of[i] for i in ids]))
-        )
+        memo = remembered(path, "digest", lambda ids: b" ".join([b"%d" % i for i in ids]), lambda ids: b" ".join([text_of[i] for i in ids]))
         for b in text_batches(batches):
             n, ids_hash, text_hash = [], [], []
             for text in b.column("text").to_pylist():

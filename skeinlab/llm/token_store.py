@@ -118,7 +118,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
     ordered = rows.repartitionById(n, F.col("range") % n).sortWithinPartitions("range", "doc_id", F.xxhash64("text"))
 
     def run(batches):
-        memo = bpe.remembered(path, "ids", lambda ids: array("I", ids).tobytes())
+        memo = bpe.remembered(path, "ids", lambda ids: array("I", ids).tobytes(), by_library=True)
         end = array("I", [end_id]).tobytes()
         now, part, before = None, 0, 0
         ids: list[bytes] = []
