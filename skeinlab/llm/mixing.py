@@ -11,6 +11,9 @@ WEIGHTS = (3, 1, 2)  # of the sources by code point, repeating
 TOTAL = 1.5  # words of the mix per word of the input
 REPEATS = 2  # the most passes over a source
 BLOCK_DIGITS = 3  # hexadecimal digits of the permutation key that name a block: 4,096 blocks a source
+SHARDS = 64  # the fewest, where their number follows the size of the mix
+SHARD_WORDS = 4_000_000  # of a shard, about, where there are more
+SENT_BLOCKS = 1 << 18  # the most rows of a plan that is sent to all tasks
 
 
 def words(text: Column) -> Column:
@@ -107,41 +110,75 @@ def mix_plan(docs: DataFrame, total: float = TOTAL, repeats: int = REPEATS, seed
     return found.select("row", "mix_id", "mix_source", "block", "key", "size", "source_size", "target", "takes")
 
 
-def mix(docs: DataFrame, shards: int = 64, seed: int = 0) -> DataFrame:
-    """The mix itself: docs' columns, then mix_pass, mix_words (taken of this row), mix_shard, mix_place.
+def dealt_blocks(plan: DataFrame, shards: int | None, seed: int) -> tuple[DataFrame, int]:
+    """(end_source, end_block, mix_pass, owes, mix_shard for each block and pass that owes words, number of shards).
+
+    The blocks that each source owes are counted, the splitting tree deals the counts out to the shards, and
+    each shard takes its own run of every source's permuted blocks. Only (source, blocks, words) comes to the driver."""
+    drawn = plan.select("plan_source", "plan_block", F.posexplode("owed").alias("mix_pass", "owes")).filter("owes > 0")
+    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("plan_source").orderBy("mix_pass", "plan_block")) - 1)
+    counts = sorted((tuple(r) for r in ranked.groupBy("plan_source").agg(F.count(F.lit(1)), F.sum("owes")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    shards = shards or max(SHARDS, sum(w for *_, w in counts) // SHARD_WORDS + 1)
+    tree = np.cumsum(np.asarray(splitting_tree([n for _, n, _ in counts], shards, seed), dtype=np.int64).reshape(shards, len(counts)), axis=0)
+    ends = plan.sparkSession.createDataFrame([(s, tree[:, i].tolist()) for i, (s, *_) in enumerate(counts)], "end_source string, ends array<bigint>")
+    dealt = ranked.join(ends, F.col("plan_source").eqNullSafe(F.col("end_source")))
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("mix_shard")
+    return dealt.select("end_source", F.col("plan_block").alias("end_block"), "mix_pass", "owes", shard), shards
+
+
+def dealt_rows(docs: DataFrame, plan: DataFrame, shards: int | None = SHARDS, seed: int = 0) -> DataFrame:
+    """sized rows of the mix with nth (the place in the block), mix_pass, mix_words, mix_shard and mix_place: a
+    partition for each shard, in it the rows by mix_place, a random order.
+
+    A block owes a pass to one shard, so its running sum is found in the shard, and rows are shuffled once
+    (twice where the plan is too large to be sent to all)."""
+    blocks, shards = dealt_blocks(plan, shards, seed)
+    blocks = F.broadcast(blocks) if plan.count() <= SENT_BLOCKS else blocks
+    rows = sized(docs, seed).join(blocks, F.col("mix_source").eqNullSafe(F.col("end_source")) & (F.col("block") == F.col("end_block")))
+    rows = rows.drop("end_source", "end_block").repartitionById(shards, F.col("mix_shard"))
+    inside = Window.partitionBy("mix_shard", "mix_source", "block", "mix_pass").orderBy("key", "mix_id", "size")
+    before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("nth", F.row_number().over(inside)).withColumn("before", before)
+    rows = rows.withColumn("mix_words", F.least(F.greatest(F.col("owes") - F.col("before"), F.lit(0)), F.col("size"))).filter("mix_words > 0")
+    place = F.md5(F.concat_ws(":", F.lit(seed + 1), "key", "mix_pass"))
+    return rows.drop("owes", "before").withColumn("mix_place", place).sortWithinPartitions("mix_shard", "mix_place")
+
 
-    The blocks that each source owes are counted, the splitting tree deals the counts out to the shards,
-    each shard takes its own run of every source's permuted blocks, and mix_place orders a shard at
-    random. A document of which only a part is taken keeps its first mix_words words,
-    joined by single spaces in mixed_documents.
-    The plan (a row for each block) is stored; only (source, number of blocks) comes to the driver."""
-    spark = docs.sparkSession
+def mix(docs: DataFrame, shards: int | None = SHARDS, seed: int = 0) -> DataFrame:
+    """The mix itself: docs' columns, then mix_pass, mix_words (taken of this row), mix_shard, mix_place, mix_size.
+
+    Partition i is shard i, its rows in the order of mix_place. shards None: as many as the words of the mix
+    ask for. A document of which only a part is taken keeps its first mix_words words, joined by single spaces
+    in mixed_documents. The plan (a row for each block) is stored."""
     plan = common.stored(block_plan(docs, seed=seed), "mix-plan")
-    drawn = plan.select("plan_source", "plan_block", F.posexplode("owed").alias("p", "owes")).filter("owes > 0")
-    ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("plan_source").orderBy("p", "plan_block")) - 1)
-    counts = sorted((tuple(r) for r in ranked.groupBy("plan_source").agg(F.count(F.lit(1))).collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    tree = np.cumsum(np.asarray(splitting_tree([n for _, n in counts], shards, seed), dtype=np.int64).reshape(shards, len(counts)), axis=0)
-    ends = spark.createDataFrame([(s, tree[:, i].tolist()) for i, (s, _) in enumerate(counts)], "end_source string, ends array<bigint>")
-    dealt = ranked.join(ends, F.col("plan_source").eqNullSafe(F.col("end_source"))).select("plan_source", "plan_block", "p", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("shard"))
-    shard_of = dealt.groupBy(F.col("plan_source").alias("s"), F.col("plan_block").alias("b")).agg(F.map_from_entries(F.collect_list(F.struct("p", "shard"))).alias("shards"))
-    full = plan.join(shard_of, F.col("plan_source").eqNullSafe(F.col("s")) & (F.col("plan_block") == F.col("b"))).drop("s", "b")
-    taken = with_takes(sized(docs, seed), full).select("*", F.posexplode("takes").alias("mix_pass", "mix_words")).filter("mix_words > 0")
-    place = F.md5(F.concat_ws(":", F.lit(seed + 1), "key", "mix_pass"))
-    return taken.select("row.*", "mix_pass", "mix_words", F.col("shards")[F.col("mix_pass")].alias("mix_shard"), place.alias("mix_place"), F.col("size").alias("mix_size"))
+    return dealt_rows(docs, plan, shards, seed).select("row.*", "mix_pass", "mix_words", "mix_shard", "mix_place", F.col("size").alias("mix_size"))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix with the columns of docs: a row for each pass over a document; n_chars follows the text."""
+    """The mix with the columns of docs, shard by shard in random order: a row for each pass over a document;
+    n_chars follows the text."""
     whole = F.col("mix_words") == F.col("mix_size")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")), 1, F.col("mix_words").cast("int")), " ")
-    out = mix(docs, seed=seed).withColumn("mix_text", F.when(whole, F.col("text")).otherwise(part))
+    out = mix(docs, None, seed).withColumn("mix_text", F.when(whole, F.col("text")).otherwise(part))
     return out.select(*[F.col("mix_text").alias("text") if c == "text" else F.length("mix_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 
+def taken_of(docs: DataFrame, shards: int | None = None, seed: int = 0) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every row of docs: the words that the dealt mix holds of it.
+
+    The mix is dealt to its shards and ordered, and is stored as references (source, block, nth) to documents,
+    without texts; what is taken of a document is summed over the stored shards."""
+    plan = common.stored(block_plan(docs, seed=seed), "mix-plan")
+    dealt = dealt_rows(docs, plan, shards, seed).select("mix_id", "mix_source", "block", "nth", "mix_pass", "mix_words", "mix_shard", "mix_place")
+    sums = common.stored(dealt, "mix-shards").groupBy(F.col("mix_source").alias("s"), F.col("block").alias("b"), F.col("nth").alias("n")).agg(F.sum("mix_words").alias("taken"))
+    base = sized(docs, seed).drop("row").withColumn("nth", F.row_number().over(Window.partitionBy("mix_source", "block").orderBy("key", "mix_id", "size")))
+    sources = plan.groupBy("plan_source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
+    found = base.join(sources, F.col("mix_source").eqNullSafe(F.col("plan_source"))).join(sums, F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")) & (F.col("nth") == F.col("n")), "left")
+    return found.select(F.col("mix_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    summed = F.aggregate("takes", F.lit(0).cast("long"), lambda a, t: a + t)
-    return mix_plan(docs).select(F.col("mix_id").alias("doc_id"), "size", "source_size", "target", summed.alias("taken"))
+    return taken_of(common.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
 ORACLE = r"""

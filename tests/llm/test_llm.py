@@ -206,6 +206,33 @@ def test_mixing_meets_targets(docs, none):
     assert mixing.mix_plan(none).count() == mixing.mixed_documents(none).count() == 0
 
 
+def test_mix_is_dealt_to_shards_in_order(spark, docs, monkeypatch):
+    rows = mixing.mix(docs, shards=5).withColumn("at", F.spark_partition_id()).collect()
+    assert len({r.mix_shard for r in rows}) > 1 and all(r["at"] == r.mix_shard for r in rows)
+    places = defaultdict(list)
+    for r in rows:
+        places[r.mix_shard].append(r.mix_place)
+    assert all(p == sorted(p) for p in places.values())
+    key = lambda rs: Counter((r.doc_id, r.mix_pass, r.mix_words, r.mix_shard, r.mix_place) for r in rs)
+    monkeypatch.setattr(mixing, "SENT_BLOCKS", 0)
+    assert key(mixing.mix(docs, shards=5).collect()) == key(rows)
+    want = [(r.doc_id, r.mix_words, r.mix_place) for s in sorted(places) for r in sorted((x for x in rows if x.mix_shard == s), key=lambda x: x.mix_place)]
+    assert [(r.doc_id, r.mix_words, r.mix_place) for r in rows] == want
+
+
+def test_mixing_query_reads_the_dealt_mix(docs, none, monkeypatch):
+    kept = []
+    store = common.stored
+    monkeypatch.setattr(mixing.common, "stored", lambda df, name: kept.append((name, store(df, name))) or kept[-1][1])
+    key = lambda rs: Counter(tuple(r) for r in rs)
+    got = mixing.taken_of(docs, shards=5).collect()
+    assert key(got) == key(mixing.mix_plan(docs).select("mix_id", "size", "source_size", "target", F.expr("takes[0] + takes[1]")).collect())
+    shards = dict(kept)["mix-shards"].collect()
+    assert len({r.mix_shard for r in shards}) > 1 and sum(r.mix_words for r in shards) == sum(r.taken for r in got)
+    assert key((r.doc_id, r.mix_pass, r.mix_words, r.mix_shard) for r in mixing.mix(docs, shards=5).collect()) == key((r.mix_id, r.mix_pass, r.mix_words, r.mix_shard) for r in shards)
+    assert mixing.taken_of(none).count() == 0
+
+
 def test_splitting_tree_keeps_quotas():
     quotas = [1000, 0, 37, 5]
     tree = np.array(mixing.splitting_tree(quotas, 7, 3))
