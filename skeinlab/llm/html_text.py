@@ -20,7 +20,8 @@ from skeinlab.llm import common
 TRAIN_PAGES = 400  # expected size of the sample of pages that the classifier is fitted on
 TRAIN_BLOCKS = 200  # of a sampled page, the first ones
 NEAR, SIBLING = 0.8, 0.4  # smoothness of neighbours in the page and of next siblings in the tree
-EVIDENCE = 4.0  # log-odds that an article or main element adds, or takes where a page has one elsewhere
+EVIDENCE = 2.0  # log-odds that an article or main element adds, or takes where a page has one elsewhere
+NAMED, PART_NAMED = 4.5, 2.5  # log-odds that a class or id takes whose words are all, or only in part, names of boilerplate
 LIMIT = 3.0  # the classifier's log-odds are kept within +-LIMIT
 
 # HTML element names and name parts that mark boilerplate or content.
@@ -44,25 +45,39 @@ _token = re.compile(rf"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_attr}|[
 _pairs = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _parts = re.compile(r"[a-z]+|[0-9]+|[A-Z]+(?![a-z])|[A-Z][a-z]*")
 _end_of = {t: re.compile(rf"</{t}\b[^>]*>|\Z", re.I) for t in RAW}
+_unquoted = re.compile(r"""=\s*[^\s"']*/\Z""").search  # <svg a=b/> is not an empty element
 _closes = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
 class Node:
     """An open element: its depth, parent, and what it says about the text below it."""
 
-    __slots__ = ("tag", "parent", "depth", "noise", "article", "last")
+    __slots__ = ("tag", "parent", "depth", "noise", "article", "last", "cost", "size", "holds")
 
-    def __init__(self, tag: str, parent: "Node | None", noise: bool, article: bool):
-        self.tag, self.parent, self.noise, self.article = tag, parent, noise, article
+    def __init__(self, tag: str, parent: "Node | None", noise: bool, article: bool, cost: float = 0.0):
+        self.tag, self.parent, self.noise, self.article, self.cost = tag, parent, noise, article, cost
+        self.size, self.holds = 0, set()  # characters below it outside boilerplate elements, and article and main if below it
         self.depth = parent.depth + 1 if parent else 0
         self.last: int | None = None  # the last block right below it
 
 
 class BlockOfText:
-    __slots__ = ("text", "node", "linked", "noise", "article")
+    __slots__ = ("text", "node", "linked")
 
     def __init__(self, text: str, node: Node, linked: int):
-        self.text, self.node, self.linked, self.noise, self.article = text, node, linked, node.noise, node.article
+        self.text, self.node, self.linked = text, node, linked
+
+    @property
+    def noise(self) -> bool:
+        return self.node.noise
+
+    @property
+    def article(self) -> bool:
+        return self.node.article
+
+    @property
+    def cost(self) -> float:
+        return self.node.cost
 
 
 def _is_noise(tag: str, attrs: str) -> bool:
@@ -76,17 +91,50 @@ def _is_noise(tag: str, attrs: str) -> bool:
             return True
         if name == "role" and value.lower() in ROLES:
             return True
-        if name in ("class", "id"):
-            parts = [x.lower() for x in _parts.findall(value)]
-            if any(p in NOISE and before not in LAYOUT for before, p in zip(["", *parts], parts, strict=False)):
-                return True
     return False
 
 
+def _name_cost(tag: str, attrs: str) -> float:
+    """What the words of the class and id take. The id of a heading names its topic, not its role."""
+    if not attrs or tag in ("html", "body", "article", "main"):
+        return 0.0
+    cost = 0.0
+    for name, value in _pairs.findall(attrs):
+        name = name.lower()
+        if name == "class" or (name == "id" and not (tag[:1] == "h" and tag[1:].isdigit())):
+            for one in value.strip("\"'").split():
+                parts = [x.lower() for x in _parts.findall(one) if not x.isdigit()]
+                found = [p in NOISE and before not in LAYOUT for before, p in zip(["", *parts], parts, strict=False)]
+                if any(found):
+                    cost = max(cost, NAMED if all(found) else PART_NAMED)
+    return cost
+
+
+def _weigh(nodes: list[Node], blocks: list[BlockOfText]) -> None:
+    """Sets cost and article of the nodes (parents come first), which hold for all text below.
+
+    A main below takes a name's cost away, and so do two of these: an article below, most of the page's text
+    below, a name only in part. Below a full name that stands an article is no evidence."""
+    for b in blocks:
+        b.node.size += 0 if b.node.noise else len(b.text)
+    for x in reversed(nodes):
+        if x.parent:
+            x.parent.size += x.size
+            if not x.noise:
+                x.parent.holds |= x.holds | ({x.tag} & {"article", "main"})
+    for x in nodes:
+        if x.parent:
+            if "main" in x.holds or (x.cost < NAMED) + ("article" in x.holds) + (2 * x.size > nodes[0].size) >= 2:
+                x.cost = 0.0
+            x.cost = max(x.cost, x.parent.cost)
+            x.article = x.cost < NAMED and (x.parent.article or x.tag in ("article", "main"))
+
+
 def blocks_of(page: str) -> list[BlockOfText]:
     """The page's blocks of text in order. Malformed mark-up never fails: open elements end with the page,
     stray end tags are passed over, a p ends where a block begins."""
     top = node = Node("", None, False, False)
+    nodes = [top]
     out: list[BlockOfText] = []
     held: list[str] = []
     in_link, linked, at = 0, 0, 0
@@ -128,6 +176,9 @@ def blocks_of(page: str) -> list[BlockOfText]:
                 if x is not top:
                     node = x.parent
             continue
+        if tag in ("svg", "math") and m[3].endswith("/") and not _unquoted(m[3]):
+            words(" ")
+            continue
         if tag in RAW:
             at = _end_of[tag].search(page, at).end() if tag != "head" else at
             if tag not in ("title", "head", "script", "style"):
@@ -148,8 +199,10 @@ def blocks_of(page: str) -> list[BlockOfText]:
                 node = node.parent
             if tag != "hr":
                 noise = node.noise or _is_noise(tag, m[3]) or (tag == "header" and not node.article)
-                node = Node(tag, node, noise, node.article or tag in ("article", "main"))
+                node = Node(tag, node, noise, node.article or tag in ("article", "main"), _name_cost(tag, m[3]))
+                nodes.append(node)
     flush()
+    _weigh(nodes, out)
     return out
 
 
@@ -192,9 +245,9 @@ def fit(pages: DataFrame, sample: int = TRAIN_PAGES, strength: float = 1.0) -> n
             x, y = [], []
             for page in b.column("html").to_pylist():
                 blocks = blocks_of(page or "")[:TRAIN_BLOCKS]
-                known = [k for k, one in enumerate(blocks) if one.noise or one.article]
+                known = [k for k, one in enumerate(blocks) if one.noise or one.cost or one.article]
                 x += features(blocks)[known].tolist()
-                y += [not blocks[k].noise for k in known]
+                y += [not (blocks[k].noise or blocks[k].cost) for k in known]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_())], names=["x", "y"])
 
     got = chosen.select("html").mapInArrow(rows, "x array<double>, y boolean").toArrow()
@@ -302,14 +355,14 @@ def tree_distance(a: Node, b: Node) -> int:
 
 
 def labels(blocks: list[BlockOfText], weights: np.ndarray) -> list[bool]:
-    """Which blocks are content. A block below a boilerplate element is bound to that terminal."""
+    """Which blocks are content. A block below a boilerplate element is bound to that terminal; names cost."""
     if not blocks:
         return []
     odds = np.clip(features(blocks) @ weights, -LIMIT, LIMIT)
     marked = any(b.article and not b.noise for b in blocks)
     gain, edges = [], {}
     for i, b in enumerate(blocks):
-        gain.append(-1e6 if b.noise else float(odds[i]) + (EVIDENCE if b.article else -EVIDENCE if marked else 0.0))
+        gain.append(-1e6 if b.noise else float(odds[i]) - b.cost + (EVIDENCE if b.article else -EVIDENCE if marked else 0.0))
         tied = {}
         if i:
             tied[i - 1] = NEAR / (1 + tree_distance(blocks[i - 1].node, b.node))

@@ -293,6 +293,27 @@ def test_main_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_names_cost_but_do_not_bind():
+    w = html_text.PRIOR
+    prose = "This is a sentence of some length, written for readers, and it goes on for a while. It has a second part, too."
+    body = f"<h1>Title</h1><p>{prose}</p><p>Again. {prose}</p>"
+    whole = f"Title\n{prose}\nAgain. {prose}"
+    side = '<div class="sidebar"><p>Other posts</p></div>'
+    for start in ('<div id="page" class="site sidebar-right">', '<div class="post comments-open">'):
+        assert html_text.main_text(f"{start}<article>{body}</article></div>{side}", w) == whole
+        assert prose in html_text.main_text(f"{start}{body}</div>{side}", w)
+        assert "Other posts" not in html_text.main_text(f"{start}{body}</div>{side}", w)
+    for part in ('<h2 id="social-impact">Impact</h2>', f'<section id="related-work"><p>Related. {prose}</p></section>', f'<div class="search-algorithms"><p>Search. {prose}</p></div>'):
+        assert len(html_text.main_text(f"<article>{body}{part}</article>", w).split("\n")) == 4
+    comments = f'<div id="comments"><ol class="comment-list"><li><article class="comment-body"><p>Reply. {prose} {prose}</p></article></ol></div>'
+    assert html_text.main_text(f"<article>{body}{comments}</article>", w) == whole
+    cards = "<div><article><a href=x>Card one</a></article><article><a href=y>Card two</a></article></div>"
+    assert prose in html_text.main_text(f"<div>{body}</div>{cards}", w)
+    assert html_text.main_text(f"<article><svg/><svg a='b' c/>{body}<math display='block'/></article>", w) == whole
+    assert html_text.main_text(f"<article>{body}<svg a=b/>no</svg></article>", w) == whole
+    assert html_text.EVIDENCE < html_text.LIMIT
+
+
 def test_revisits_against_brute_force(spark):
     rng = random.Random(2)
     rows = []
