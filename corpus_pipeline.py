@@ -27,8 +27,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at their target weights: documents repeat, stay or go as their source owes words."""
-    return mixing.mixed_documents(docs)
+    """The sources at their target weights: whole documents repeat, stay or go as their source owes words."""
+    return mixing.mixed_documents(docs, whole=True)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,10 +126,11 @@ def dealt_blocks(plan: DataFrame, shards: int | None, seed: int) -> tuple[DataFr
     return dealt.select("end_source", F.col("plan_block").alias("end_block"), "mix_pass", "owes", shard), shards
 
 
-def dealt_rows(docs: DataFrame, plan: DataFrame, shards: int | None = SHARDS, seed: int = 0) -> DataFrame:
+def dealt_rows(docs: DataFrame, plan: DataFrame, shards: int | None = SHARDS, seed: int = 0, whole: bool = False) -> DataFrame:
     """sized rows of the mix with nth (the place in the block), mix_pass, mix_words, mix_shard and mix_place: a
     partition for each shard, in it the rows by mix_place, a random order.
 
+    whole: the last document of a source's walk is taken whole or not at all, whichever is nearer to the target.
     A block owes a pass to one shard, so its running sum is found in the shard, and rows are shuffled once
     (twice where the plan is too large to be sent to all)."""
     blocks, shards = dealt_blocks(plan, shards, seed)
@@ -139,27 +140,32 @@ def dealt_rows(docs: DataFrame, plan: DataFrame, shards: int | None = SHARDS, se
     inside = Window.partitionBy("mix_shard", "mix_source", "block", "mix_pass").orderBy("key", "mix_id", "size")
     before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("nth", F.row_number().over(inside)).withColumn("before", before)
-    rows = rows.withColumn("mix_words", F.least(F.greatest(F.col("owes") - F.col("before"), F.lit(0)), F.col("size"))).filter("mix_words > 0")
+    words_taken = F.least(F.greatest(F.col("owes") - F.col("before"), F.lit(0)), F.col("size"))
+    if whole:
+        words_taken = F.when(2 * words_taken >= F.col("size"), F.col("size")).otherwise(F.lit(0))
+    rows = rows.withColumn("mix_words", words_taken).filter("mix_words > 0")
     place = F.md5(F.concat_ws(":", F.lit(seed + 1), "key", "mix_pass"))
     return rows.drop("owes", "before").withColumn("mix_place", place).sortWithinPartitions("mix_shard", "mix_place")
 
 
-def mix(docs: DataFrame, shards: int | None = SHARDS, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = SHARDS, seed: int = 0, whole: bool = False) -> DataFrame:
     """The mix itself: docs' columns, then mix_pass, mix_words (taken of this row), mix_shard, mix_place, mix_size.
 
     Partition i is shard i, its rows in the order of mix_place. shards None: as many as the words of the mix
     ask for. A document of which only a part is taken keeps its first mix_words words, joined by single spaces
-    in mixed_documents. The plan (a row for each block) is stored."""
+    in mixed_documents; with whole there is none (see dealt_rows). The plan (a row for each block) is stored."""
     plan = common.stored(block_plan(docs, seed=seed), "mix-plan")
-    return dealt_rows(docs, plan, shards, seed).select("row.*", "mix_pass", "mix_words", "mix_shard", "mix_place", F.col("size").alias("mix_size"))
+    return dealt_rows(docs, plan, shards, seed, whole).select("row.*", "mix_pass", "mix_words", "mix_shard", "mix_place", F.col("size").alias("mix_size"))
 
 
-def mixed_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
+def mixed_documents(docs: DataFrame, seed: int = 0, whole: bool = False) -> DataFrame:
     """The mix with the columns of docs, shard by shard in random order: a row for each pass over a document;
-    n_chars follows the text."""
-    whole = F.col("mix_words") == F.col("mix_size")
+    n_chars follows the text. whole: documents are never cut, and their rows are as in docs."""
+    if whole:
+        return mix(docs, None, seed, True).select(*[F.col(f"`{c}`") for c in docs.columns])
+    full = F.col("mix_words") == F.col("mix_size")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")), 1, F.col("mix_words").cast("int")), " ")
-    out = mix(docs, None, seed).withColumn("mix_text", F.when(whole, F.col("text")).otherwise(part))
+    out = mix(docs, None, seed).withColumn("mix_text", F.when(full, F.col("text")).otherwise(part))
     return out.select(*[F.col("mix_text").alias("text") if c == "text" else F.length("mix_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -391,5 +391,24 @@ def test_pipeline_stages(spark, docs, none):
         assert stage(spark, none, "").count() == 0
 
 
+def test_pipeline_mixes_whole_documents(spark, docs):
+    texts = Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.collect())
+    plan = mixing.mix_plan(docs).select("row.*", "mix_source", "block", "key", "mix_id", F.col("size").alias("n"), "source_size", "target").collect()
+    want = Counter()
+    for s in {r.mix_source for r in plan}:
+        walk = sorted((r for r in plan if r.mix_source == s), key=lambda r: (r.key, r.mix_id is not None, r.mix_id or 0, r.n))
+        done, goal = 0, int(walk[0].target + 0.5)
+        for r in walk + walk:
+            # nearer to the target with the document than without it, the longer walk on ties
+            if r.n and done < goal and abs(done + r.n - goal) <= goal - done:
+                want[r.doc_id, r.text, r.lang, r.source, r.n_chars] += 1
+            done += r.n
+    rows = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    got = Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in rows)
+    assert got == want and set(got) <= set(texts)
+    cut = Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in mixing.mixed_documents(docs).collect())
+    assert any(k not in texts for k in cut)  # some walk ends inside a document
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(q.split("_")[0][2:]) for q in queries.QUERIES) == list(range(1, 11))
