@@ -135,8 +135,18 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """docs without the rows whose language is undetermined; a missing lang is set to the prediction."""
-    found = identify(docs).filter(F.col("lang_pred") != "und")
+    """docs without the rows whose text is null or has no letter; a missing lang is set to the prediction.
+
+    Where no labelled text teaches a model, lang stays as it is, null or not."""
+    model = fit(docs)
+    if model is None:
+
+        def lettered(batches):
+            for b in batches:
+                yield b.filter(pa.array([has_letter(t) for t in b.column("text").to_pylist()], pa.bool_()))
+
+        return docs.mapInArrow(lettered, docs.schema)
+    found = predict(docs, model).filter(F.col("lang_pred") != "und")
     return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -173,6 +173,16 @@ def test_language_id_on_held_out_documents(spark, none):
     assert langid.identify(none).count() == 0 and langid.fit(none) is None
 
 
+def test_documents_without_any_label_stay(docs):
+    bare = docs.withColumn("lang", F.lit(None).cast("string")).withColumn("extra", F.lit(1))
+    got = langid.keep_identified(bare)
+    want = Counter((d, t, None, s, n, 1) for d, t, _, s, n in corpus() if langid.has_letter(t))
+    assert got.columns == bare.columns and Counter(map(tuple, got.collect())) == want and len(want) > 30
+    held = bare.withColumn("lang", F.when(langid.held_out(F.col("doc_id")), "en"))  # labels, but none to learn from
+    assert Counter(r.lang for r in langid.keep_identified(held).collect())["en"] > 0
+    assert langid.keep_identified(held).count() == sum(want.values())
+
+
 def test_mixing_meets_targets(docs, none):
     got = mixing.mix_plan(docs).collect()
     size = Counter()
