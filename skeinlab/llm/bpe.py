@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skeinlab.llm import common
 
-CACHE = 800_000  # entries of a worker's caches; a full cache starts anew
+CACHE = 200_000  # units that a worker remembers, about 50 MB; a full cache drops its later half
+LONGEST = 64  # characters of a unit that is remembered
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -219,6 +220,8 @@ class Memo:
                 for d in self.known:
                     d.pop(late, None)
         ids = self.ids_of(unit)
+        if len(unit) > LONGEST:
+            return self.of[which](ids)
         for of, d in zip(self.of, self.known, strict=True):
             d[unit] = of(ids)
         return self.known[which][unit]
@@ -227,15 +230,10 @@ class Memo:
         return [sep.join(map(d.__getitem__, units)) for d in self.known]
 
 
-_memos: dict[tuple[str, str], Memo] = {}
-
-
 def remembered(path: str, name: str, *of: Callable[[list[int]], bytes], by_library: bool = False) -> Memo:
-    """This worker's memo of that name; it lives on between tasks."""
-    if (path, name) not in _memos:
-        bpe = loaded(path)
-        _memos[path, name] = Memo(bpe, bpe.library_ids if by_library else bpe.ids, *of)
-    return _memos[path, name]
+    """This worker's memo of that name; it lives on until another operator runs in the worker."""
+    bpe = loaded(path)
+    return common.worker_cache(f"{name} of {path}", lambda: Memo(bpe, bpe.library_ids if by_library else bpe.ids, *of))
 
 
 def digest_documents(docs: DataFrame, path: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -263,4 +261,6 @@ def digest_documents(docs: DataFrame, path: str | None = None, keep: tuple[str,
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; see digest_documents for nulls, empty and
+    repeated rows and further columns. An empty table gives no rows; a text of any length is encoded whole."""
     return digest_documents(common.table(spark, sf_dir, "documents"))

@@ -4,17 +4,34 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WHITE = " \t\n\x0b\x0c\r"  # the characters of [\x20\x09-\x0D]
+HOT = 1_000  # rows of a key that may meet in one task, where the table is small
+SENT = 100_000  # the most keys that are sent to all tasks
+
+_held: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], object]):
+    """What this worker keeps between tasks under a name: one thing at a time, so that an operator's cache goes
+    when the next operator's comes."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; where it names none (tests), a temporary one is set."""
+    """The shared folder the cluster names. Where it names none, a local session (tests) gets a temporary one and
+    any other stops: a folder of one machine is no use to the others."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         path = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -40,6 +57,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows joined to groups, which hold one row for each key and in `size` the number of rows that have it.
+
+    Keys of more than max(HOT, total / SENT) rows are sent to all tasks, and their rows stay where they are:
+    fewer than SENT keys can be so large, whatever the data. The others meet in the shuffle, at most that
+    many rows of a key. total: at least the number of rows. Keys are not null."""
+    limit = max(HOT, total // SENT)
+    hot = F.broadcast(groups.filter(F.col(size) > limit))
+    cold = groups.filter(F.col(size) <= limit)
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

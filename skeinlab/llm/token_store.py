@@ -181,6 +181,9 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the ids of all documents as files of directly addressable codes in the shared folder and reads them
+    back: doc_id, start, n_tokens, ids_crc32. Nulls, ties and empty tables as in write_tokens; repeated rows are
+    documents of their own; further columns are not read."""
     out = common.scratch(spark, "tokens")
     write_tokens(common.table(spark, sf_dir, "documents").select("doc_id", "text"), out)
     return read_tokens(spark, out)
