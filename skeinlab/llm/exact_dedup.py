@@ -16,68 +16,70 @@ def content_hash(norm: Column) -> Column:
     return F.md5(norm)
 
 
+def digests(docs: DataFrame, hash_of=content_hash) -> DataFrame:
+    """doc_id, n_code (code points), h, text_sha256 and a number for each row, stored: texts are digested once."""
+    norm = normalised(F.col("text"))
+    rows = docs.select("doc_id", F.length(common.text_or_empty()).cast("long").alias("n_code"), hash_of(norm).alias("h"), F.sha2(norm, 256).alias("text_sha256"))
+    return common.stored(rows.withColumn("row", F.monotonically_increasing_id()), "digests")
+
+
+def checked_groups(docs: DataFrame, rows: DataFrame, total: int, hash_of=content_hash) -> DataFrame:
+    """h, text_sha256, group_size and the number of the row that stays (keep_row) with its doc_id (keep_id).
+
+    Where a hash has two rows or more, their distinct texts are compared byte by byte (grouping on the bytes);
+    if two of them agree in both digests, the job stops rather than merge them. These hashes are sent to all
+    tasks up to SENT of them, so that other texts are not shuffled; beyond that all texts are grouped."""
+    order = F.struct(F.col("n_code"), F.col("doc_id").isNotNull(), F.bitwise_not("doc_id"), -F.col("row"))
+    groups = common.stored(rows.groupBy("h", "text_sha256").agg(F.count(F.lit(1)).alias("group_size"), F.max(order).alias("best")), "groups")
+    texts = docs.select(hash_of(normalised(F.col("text"))).alias("h"), normalised(F.col("text")).alias("norm"))
+    repeated = groups.groupBy("h").agg(F.sum("group_size").alias("n")).filter("n > 1").select("h")
+    if repeated.count() <= common.SENT:
+        texts = texts.join(F.broadcast(repeated), "h", "left_semi")
+    by_bytes = texts.groupBy("h", "norm").agg(F.lit(1).alias("one"))
+    clashes = by_bytes.select("h", F.sha2("norm", 256).alias("text_sha256")).groupBy("h", "text_sha256").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1")
+    sure = F.when(F.col("texts").isNull(), F.col("group_size")).otherwise(F.raise_error(F.lit("two digests met for different bytes")))
+    return groups.join(clashes, ["h", "text_sha256"], "left").select(
+        "h", "text_sha256", sure.cast("long").alias("group_size"), F.bitwise_not(F.col("best")["col3"]).alias("keep_id"), (-F.col("best")["col4"]).alias("keep_row")
+    )
+
+
 def exact_groups(docs: DataFrame, hash_of=content_hash) -> DataFrame:
-    """One row per input row: doc_id, n_code, keep_id, group_size, kept, text_sha256.
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, n_code.
 
     Rows with equal normalised texts form a group; the row with the most code points in its original
     text stays, then the smallest doc_id (null ids last). A hash that holds different bytes is split
-    by a second digest, after all distinct texts of each hash were compared byte by byte; if both
-    digests met for different bytes, the job stops with an error rather than merge them.
-    Of fully repeated rows one is kept. Null and empty texts, and texts of white space only, are equal.
-    Only doc_id and text are read, so further columns of any name do no harm. Empty input: no rows.
-
-    Hot groups: sizes and keepers are partial aggregates; the text of a group crosses the shuffle once
-    per task at most; only rows of ids and digests are joined, with both sides keyed by the hash.
-    """
-    norm = normalised(F.col("text"))
-    rows = docs.select(
-        F.col("doc_id"), F.length(common.text_or_empty()).cast("long").alias("n_code"), hash_of(norm).alias("h"), F.sha2(norm, 256).alias("text_sha256")
-    )
-    by_bytes = docs.select(hash_of(norm).alias("h"), norm.alias("norm")).groupBy("h", "norm").agg(F.lit(1).alias("one"))
-    clashes = (
-        by_bytes.select("h", F.sha2("norm", 256).alias("text_sha256"))
-        .groupBy("h", "text_sha256")
-        .agg(F.count(F.lit(1)).alias("texts"))
-        .filter("texts > 1")
-    )
-    order = F.struct(F.col("n_code"), F.col("doc_id").isNotNull(), -F.col("doc_id"))
-    groups = rows.groupBy("h", "text_sha256").agg(F.count(F.lit(1)).alias("group_size"), F.max(order).alias("best"))
-    checked = groups.join(clashes, ["h", "text_sha256"], "left").select(
-        "h",
-        "text_sha256",
-        F.when(F.col("texts").isNull(), F.col("group_size")).otherwise(F.raise_error(F.lit("two digests met for different bytes"))).cast("long").alias("group_size"),
-        (-F.col("best")["col3"]).alias("keep_id"),
-        F.col("best")["n_code"].alias("keep_code"),
-    )
-    same = Window.partitionBy("h", "text_sha256", "keep_id", "doc_id").orderBy(F.desc("n_code"))
-    return (
-        rows.join(checked, ["h", "text_sha256"])
-        .withColumn("turn", F.row_number().over(same))
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_code") == F.col("keep_code")) & (F.col("turn") == 1)).alias("kept"),
-            "text_sha256",
-            "n_code",
-        )
-    )
+    by a second digest; see checked_groups for the comparison. Of fully repeated rows one is kept. Null and
+    empty texts, and texts of white space only, are equal. Only doc_id and text are read, so further columns
+    of any name do no harm. Empty input: no rows.
+
+    Sizes and keepers are partial aggregates; the text of a group crosses the shuffle once per task at most;
+    rows of large groups stay where they are when the groups are joined to them."""
+    rows = digests(docs, hash_of)
+    total = rows.count()
+    groups = checked_groups(docs, rows, total, hash_of)
+    found = common.join_groups(rows, common.stored(groups, "checked"), ["h", "text_sha256"], "group_size", total)
+    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "n_code")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without the rows that exact_groups drops, all columns as they were."""
+    """docs without the rows that exact_groups drops, all columns as they were, whatever their names.
+
+    Nulls, empty texts and ties as in exact_groups; of fully repeated rows, and of such that differ in other
+    columns only, the first by a hash of the row stays. Empty input: no rows. Rows are shuffled once."""
     names = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in names])
     # The digests are unique per group, so that one row of each (digest, doc_id) is the whole answer.
     norm = normalised(F.col("text"))
-    keyed = docs.select(row.alias("row"), F.col("doc_id").alias("doc_id"), F.sha2(norm, 256).alias("text_sha256"))
+    keyed = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.sha2(norm, 256).alias("digest"))
     kept = exact_groups(docs).filter("kept").select(F.col("keep_id").alias("k"), F.col("text_sha256").alias("s"), F.col("n_code").alias("c"))
-    one = keyed.join(kept, (F.col("text_sha256") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("k")) & (F.length(F.coalesce(F.col("row")["text"], F.lit(""))) == F.col("c")))
+    one = keyed.join(kept, (F.col("digest") == F.col("s")) & F.col("id").eqNullSafe(F.col("k")) & (F.length(F.coalesce(F.col("row")["text"], F.lit(""))) == F.col("c")))
     turn = F.row_number().over(Window.partitionBy("s", "k").orderBy(F.xxhash64("row")))
     return one.withColumn("turn", turn).filter("turn = 1").select("row.*")
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256 of every document; see exact_groups for nulls, empty texts,
+    ties, repeated rows and empty tables. Further columns are not read."""
     docs = common.table(spark, sf_dir, "documents")
     return exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
