@@ -28,41 +28,68 @@ SMALL = 512  # the largest bucket that is not split further
 BLOCK = 1024  # documents of a block in the brute-force searches
 RECALL = 0.999
 SIGMAS = 4  # how far below the threshold the estimate of a candidate may lie
-WORD_CACHE = 400_000
+WORD_CACHE = 100_000  # words that a worker remembers, about 20 MB
+LONGEST = 64  # characters of a word that is remembered
 
 _seeds = np.random.default_rng(20_240_501)
 _MUL = _seeds.integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _seeds.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_word_hash: dict[str, int] = {}
 
 
-def runs_needed(recall: float = RECALL, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold is together in a bucket with chance `recall`."""
+def pair_missed(runs: int, depth: int = DEPTH) -> float:
+    """Chance that a pair at the threshold is never together in a bucket of the last level, or fails the screen.
+
+    All runs share the samples: given that k of them agree, runs are independent, each with its own chance to keep
+    the pair together level by level (one pick, and a second with chance 1 / THRESHOLD - 1); k is binomial."""
     two = 1 / THRESHOLD - 1
-    miss = 0.0
-    for _ in range(depth):
-        lost = 1 - THRESHOLD * (1 - miss)
-        miss = (1 - two) * lost + two * lost * lost
-    return math.ceil(math.log(1 - recall) / math.log(miss))
+    least = likely_least()
+    total = 0.0
+    for k in range(SAMPLES + 1):
+        miss = 0.0
+        for _ in range(depth):
+            lost = 1 - k / SAMPLES * (1 - miss)
+            miss = (1 - two) * lost + two * lost * lost
+        total += math.comb(SAMPLES, k) * THRESHOLD**k * (1 - THRESHOLD) ** (SAMPLES - k) * (miss**runs if k >= least else 1.0)
+    return total
+
+
+def runs_needed(recall: float = RECALL) -> int:
+    """Runs after which a pair at the threshold is found with chance `recall`, whatever the depth of its leaf."""
+    runs = 1
+    while pair_missed(runs) > 1 - recall:
+        runs += 1
+    return runs
+
+
+def likely_least() -> int:
+    """Samples that a candidate pair must share: SIGMAS standard deviations below the threshold."""
+    return math.floor(SAMPLES * (THRESHOLD - SIGMAS * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SAMPLES)))
 
 
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+class WordHashes(dict):
+    """64-bit hashes by word. Words met early are the frequent ones: when it is full, the later half goes."""
+
+    def __missing__(self, word: str) -> int:
+        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= LONGEST:
+            if len(self) >= WORD_CACHE:
+                for late in list(self)[WORD_CACHE // 2 :]:
+                    del self[late]
+            self[word] = h
+        return h
+
+
 def shingles(words: list[str]) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the runs of five words; fewer words are one shingle."""
     if not words:
         return np.empty(0, dtype=np.uint64)
-    if fresh := set(words).difference(_word_hash):
-        if len(_word_hash) >= WORD_CACHE:
-            for late in list(_word_hash)[WORD_CACHE // 2 :]:
-                del _word_hash[late]
-            fresh = set(words).difference(_word_hash)
-        for w in fresh:
-            _word_hash[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-    h = np.fromiter(map(_word_hash.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = common.worker_cache("word hashes", WordHashes)
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     n = min(WORDS, len(h))
     out = np.full(len(h) - n + 1, np.uint64(n))
     for i in range(n):
@@ -247,7 +274,7 @@ def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tupl
 
 def _likely(whole: bool, side: np.ndarray, node: np.ndarray, payload: list[bytes]) -> list[list]:
     """Forest of the pairs whose samples agree often enough."""
-    least = math.floor(SAMPLES * (THRESHOLD - SIGMAS * math.sqrt(THRESHOLD * (1 - THRESHOLD) / SAMPLES)))
+    least = likely_least()
     sample = np.frombuffer(b"".join(payload), dtype=np.uint32).reshape(len(payload), SAMPLES)
     a, b = (slice(None), slice(None)) if whole else (~side, side)
     left, right = np.ascontiguousarray(sample[a].T), np.ascontiguousarray(sample[b].T)
@@ -309,11 +336,13 @@ def near_classes(docs: DataFrame) -> DataFrame:
     each other and have no links; a text of one to four words is one shingle. Repeated rows repeat; a
     doc_id with several texts belongs to each text's class. Only doc_id and text are read.
 
-    Samples are 256 bytes a document; copies are one node, so they are never paired. Buckets and groups of
-    any size are searched in blocks; what leaves a task is counts and spanning forests, not pairs."""
+    Null doc_ids come last: an id is null where no row of the class or of the copies has one. Samples are 256
+    bytes a document; copies are one node, so they are never paired. Buckets and groups of any size are searched
+    in blocks; what leaves a task is counts and spanning forests, not pairs. Empty input: no rows."""
     known = prepared(docs)
-    least_id = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    texts = common.stored(known.groupBy("node").agg(F.min(least_id).alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("sample").alias("sample")), "texts")
+    total = known.count()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")).alias("rep")  # the row that stands for a text
+    texts = common.stored(known.groupBy("node").agg(first, F.count(F.lit(1)).alias("copies"), F.max("sample").alias("sample")), "texts")
     sampled = texts.filter("sample IS NOT NULL")
     leaves = path_buckets(sampled, runs_needed())
     searched = leaves.join(sampled.select("node", "sample"), "node")
@@ -323,11 +352,11 @@ def near_classes(docs: DataFrame) -> DataFrame:
     found = common.stored(by_key(in_blocks(_sets(docs, sized), "label", "payload"), _exact, "a bigint, b bigint, n bigint"), "links")
     links = found.filter("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
     classes = components(found.filter("a <> b").select("a", "b"))
-    named = texts.select("node", "rep").join(classes, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    answers = named.join(least, "label").select("node", "label", "class_id", F.col("rep").alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    shown = lambda c: F.when(F.col(c) != -(1 << 63), F.col(c)).alias(c)
-    return known.select("doc_id", "text_key", "node").join(answers, "node").select("doc_id", shown("class_id"), shown("copy_id"), "n_links", "label", "text_key")
+    named = texts.select("node", "rep", "copies").join(classes, "node", "left").join(links, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("rep").alias("least"))
+    answers = named.join(least, "label").select("node", "copies", "label", F.col("least")["doc_id"].alias("class_id"), F.col("rep")["doc_id"].alias("copy_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = common.join_groups(known.select("doc_id", "text_key", "node"), common.stored(answers, "answers"), ["node"], "copies", total)
+    return rows.select("doc_id", "class_id", "copy_id", "n_links", "label", "text_key")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -346,12 +375,17 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 rows = b.take(pa.array(keep, pa.int64()))
                 yield pa.RecordBatch.from_arrays([rows.column("label"), rows.column("n"), rows.column("node"), pa.array(payload, pa.binary())], names=["label", "n", "node", "payload"])
 
-    ids = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("rep"), "text")
-    return ids.join(wanted, "rep").select("label", "n", "node", "text").mapInArrow(run, "label bigint, n bigint, node bigint, payload binary")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    one = F.col("doc_id").eqNullSafe(F.col("rep")["doc_id"]) & (F.col("text_key") == F.col("rep")["text_key"])
+    return texts.join(wanted, one).select("label", "n", "node", "text").mapInArrow(run, "label bigint, n bigint, node bigint, payload binary")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: the row with the class's id, of such rows the first by hash."""
+    """docs with one document of each class: the row with the class's id, of such rows the first by hash.
+
+    All columns stay as they were, whatever their names. Nulls, empty texts, repeated rows and ties as in
+    near_classes (texts without words are one class); of rows that agree in doc_id and text the first by a hash
+    of the row stays. Empty input: no rows."""
     first = near_classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("k")).select("k.*")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(row, F.col("doc_id").alias("id"), F.xxhash64("text").alias("tk"))
@@ -361,4 +395,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, copy_id, n_links of every document; see near_classes for nulls, empty texts, ties, repeated
+    rows and empty tables. Further columns are not read."""
     return near_classes(common.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "copy_id", "n_links")
