@@ -10,9 +10,10 @@ from skeinlab.llm import common
 WEIGHTS = (3, 1, 2)  # of the sources by code point, repeating
 TOTAL = 1.5  # words of the mix per word of the input
 REPEATS = 2  # the most passes over a source
-BLOCK_DIGITS = 3  # hexadecimal digits of the permutation key that name a block: 4,096 blocks a source
+BLOCK_ROWS = 5_000  # documents of a block of a source that holds the whole table: the number of blocks follows the size
 SHARDS = 64  # the fewest, where their number follows the size of the mix
 SHARD_WORDS = 4_000_000  # of a shard, about, where there are more
+QUOTAS = 1 << 22  # the most numbers of the splitting tree's last level, shards x sources, beyond SHARDS shards
 SENT_BLOCKS = 1 << 18  # the most rows of a plan that is sent to all tasks
 
 
@@ -68,16 +69,25 @@ def splitting_tree(quotas: list[int], shards: int, seed: int) -> list[list[int]]
     return split(np.asarray(quotas, dtype=np.int64), 0, max(1, shards))
 
 
-def sized(docs: DataFrame, seed: int) -> DataFrame:
+def block_digits(rows: int) -> int:
+    """Hexadecimal digits of the permutation key that name a block: about BLOCK_ROWS of `rows` rows share them."""
+    digits = 1
+    while rows > BLOCK_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def sized(docs: DataFrame, seed: int, digits: int) -> DataFrame:
     """docs' columns in `row`, with mix_id, mix_source, size, key (the permutation) and block (its first digits)."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     base = docs.select(row, F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), words(F.col("text")).alias("size"))
-    return base.withColumn("key", permuted(F.col("mix_id"), seed)).withColumn("block", F.substring("key", 1, BLOCK_DIGITS))
+    return base.withColumn("key", permuted(F.col("mix_id"), seed)).withColumn("block", F.substring("key", 1, digits))
 
 
-def block_plan(docs: DataFrame, total: float = TOTAL, repeats: int = REPEATS, seed: int = 0) -> DataFrame:
-    """plan_source, plan_block, source_size, target, owed: the words that each block of a source owes in each pass."""
-    blocks = sized(docs, seed).groupBy(F.col("mix_source").alias("source"), "block").agg(F.sum("size").alias("block_words"))
+def block_plan(base: DataFrame, total: float = TOTAL, repeats: int = REPEATS) -> DataFrame:
+    """plan_source, plan_block, source_size, target, owed: the words that each block of a source owes in each pass.
+    base: sized rows."""
+    blocks = base.groupBy(F.col("mix_source").alias("source"), "block").agg(F.sum("size").alias("block_words"))
     sources = source_targets(blocks.groupBy("source").agg(F.sum("block_words").alias("source_size")), total, repeats)
     earlier = Window.partitionBy(blocks["source"]).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     goal = F.floor(F.col("target") + 0.5)
@@ -106,7 +116,8 @@ def mix_plan(docs: DataFrame, total: float = TOTAL, repeats: int = REPEATS, seed
     are the rounded target. Documents without words take none. Equal rows share their ids' place.
     Null sources are one source. Empty input: no rows. The running sums are kept in two levels (blocks of
     a source, documents of a block), so no task holds a hot source."""
-    found = with_takes(sized(docs, seed), block_plan(docs, total, repeats, seed))
+    base = sized(docs, seed, block_digits(docs.count()))
+    found = with_takes(base, block_plan(base, total, repeats))
     return found.select("row", "mix_id", "mix_source", "block", "key", "size", "source_size", "target", "takes")
 
 
@@ -114,19 +125,23 @@ def dealt_blocks(plan: DataFrame, shards: int | None, seed: int) -> tuple[DataFr
     """(end_source, end_block, mix_pass, owes, mix_shard for each block and pass that owes words, number of shards).
 
     The blocks that each source owes are counted, the splitting tree deals the counts out to the shards, and
-    each shard takes its own run of every source's permuted blocks. Only (source, blocks, words) comes to the driver."""
+    each shard takes its own run of every source's permuted blocks: the runs' places are spelled out and joined
+    to the blocks' ranks. Only (source, blocks, words) comes to the driver, and at least SHARDS numbers for each
+    source; shards grow rather than that shards x sources passes QUOTAS."""
     drawn = plan.select("plan_source", "plan_block", F.posexplode("owed").alias("mix_pass", "owes")).filter("owes > 0")
     ranked = drawn.withColumn("rank", F.row_number().over(Window.partitionBy("plan_source").orderBy("mix_pass", "plan_block")) - 1)
-    counts = sorted((tuple(r) for r in ranked.groupBy("plan_source").agg(F.count(F.lit(1)), F.sum("owes")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
-    shards = shards or max(SHARDS, sum(w for *_, w in counts) // SHARD_WORDS + 1)
-    tree = np.cumsum(np.asarray(splitting_tree([n for _, n, _ in counts], shards, seed), dtype=np.int64).reshape(shards, len(counts)), axis=0)
-    ends = plan.sparkSession.createDataFrame([(s, tree[:, i].tolist()) for i, (s, *_) in enumerate(counts)], "end_source string, ends array<bigint>")
-    dealt = ranked.join(ends, F.col("plan_source").eqNullSafe(F.col("end_source")))
-    shard = F.size(F.filter("ends", lambda e: e <= F.col("rank"))).alias("mix_shard")
-    return dealt.select("end_source", F.col("plan_block").alias("end_block"), "mix_pass", "owes", shard), shards
-
-
-def dealt_rows(docs: DataFrame, plan: DataFrame, shards: int | None = SHARDS, seed: int = 0, whole: bool = False) -> DataFrame:
+    counts = sorted((tuple(r) for r in drawn.groupBy("plan_source").agg(F.count(F.lit(1)), F.sum("owes")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    shards = shards or max(SHARDS, min(sum(w for *_, w in counts) // SHARD_WORDS + 1, QUOTAS // max(1, len(counts))))
+    tree = np.asarray(splitting_tree([n for _, n, _ in counts], shards, seed), dtype=np.int64).reshape(shards, len(counts))
+    ends = np.cumsum(tree, axis=0)
+    runs = [(counts[i][0], int(ends[shard, i] - tree[shard, i]), int(ends[shard, i]), int(shard)) for shard, i in zip(*np.nonzero(tree), strict=True)]
+    runs = plan.sparkSession.createDataFrame(runs, "end_source string, lo bigint, hi bigint, mix_shard int")
+    places = runs.select("end_source", "mix_shard", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("place"))
+    dealt = ranked.join(places, F.col("plan_source").eqNullSafe(F.col("end_source")) & (F.col("rank") == F.col("place")))
+    return dealt.select("end_source", F.col("plan_block").alias("end_block"), "mix_pass", "owes", "mix_shard"), shards
+
+
+def dealt_rows(base: DataFrame, plan: DataFrame, shards: int | None = SHARDS, seed: int = 0, whole: bool = False) -> DataFrame:
     """sized rows of the mix with nth (the place in the block), mix_pass, mix_words, mix_shard and mix_place: a
     partition for each shard, in it the rows by mix_place, a random order.
 
@@ -135,7 +150,7 @@ def dealt_rows(docs: DataFrame, plan: DataFrame, shards: int | None = SHARDS, se
     (twice where the plan is too large to be sent to all)."""
     blocks, shards = dealt_blocks(plan, shards, seed)
     blocks = F.broadcast(blocks) if plan.count() <= SENT_BLOCKS else blocks
-    rows = sized(docs, seed).join(blocks, F.col("mix_source").eqNullSafe(F.col("end_source")) & (F.col("block") == F.col("end_block")))
+    rows = base.join(blocks, F.col("mix_source").eqNullSafe(F.col("end_source")) & (F.col("block") == F.col("end_block")))
     rows = rows.drop("end_source", "end_block").repartitionById(shards, F.col("mix_shard"))
     inside = Window.partitionBy("mix_shard", "mix_source", "block", "mix_pass").orderBy("key", "mix_id", "size")
     before = F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -148,42 +163,61 @@ def dealt_rows(docs: DataFrame, plan: DataFrame, shards: int | None = SHARDS, se
     return rows.drop("owes", "before").withColumn("mix_place", place).sortWithinPartitions("mix_shard", "mix_place")
 
 
+def drawn_rows(docs: DataFrame, shards: int | None, seed: int, whole: bool) -> DataFrame:
+    """The dealt rows of docs. The plan (a row for each block) is stored."""
+    base = sized(docs, seed, block_digits(docs.count()))
+    return dealt_rows(base, common.stored(block_plan(base), "mix-plan"), shards, seed, whole)
+
+
+MIX = ("mix_pass", "mix_words", "mix_shard", "mix_place", "mix_size")
+
+
 def mix(docs: DataFrame, shards: int | None = SHARDS, seed: int = 0, whole: bool = False) -> DataFrame:
     """The mix itself: docs' columns, then mix_pass, mix_words (taken of this row), mix_shard, mix_place, mix_size.
+    These replace columns of docs that have their names.
 
     Partition i is shard i, its rows in the order of mix_place. shards None: as many as the words of the mix
     ask for. A document of which only a part is taken keeps its first mix_words words, joined by single spaces
-    in mixed_documents; with whole there is none (see dealt_rows). The plan (a row for each block) is stored."""
-    plan = common.stored(block_plan(docs, seed=seed), "mix-plan")
-    return dealt_rows(docs, plan, shards, seed, whole).select("row.*", "mix_pass", "mix_words", "mix_shard", "mix_place", F.col("size").alias("mix_size"))
+    in mixed_documents; with whole there is none (see dealt_rows). Nulls, ties and empty tables as in mix_plan."""
+    rows = drawn_rows(docs, shards, seed, whole)
+    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in MIX], *MIX[:-1], F.col("size").alias(MIX[-1]))
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0, whole: bool = False) -> DataFrame:
-    """The mix with the columns of docs, shard by shard in random order: a row for each pass over a document;
-    n_chars follows the text. whole: documents are never cut, and their rows are as in docs."""
+    """The mix with the columns of docs, whatever their names, shard by shard in random order: a row for each pass
+    over a document; n_chars follows the text. whole: documents are never cut, and their rows are as in docs.
+
+    Documents without words (null, empty and white texts) are in no mix. Null sources are one source; repeated
+    rows are documents of their own. Empty input: no rows."""
+    rows = drawn_rows(docs, None, seed, whole)
     if whole:
-        return mix(docs, None, seed, True).select(*[F.col(f"`{c}`") for c in docs.columns])
-    full = F.col("mix_words") == F.col("mix_size")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")), 1, F.col("mix_words").cast("int")), " ")
-    out = mix(docs, None, seed).withColumn("mix_text", F.when(full, F.col("text")).otherwise(part))
-    return out.select(*[F.col("mix_text").alias("text") if c == "text" else F.length("mix_text").cast("long").alias("n_chars") if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns])
+        return rows.select("row.*")
+    found = F.regexp_extract_all(F.col("row")["text"], F.lit(r"([^\x20\x09-\x0D]+)"))
+    part = F.array_join(F.slice(found, 1, F.col("mix_words").cast("int")), " ")
+    rows = rows.withColumn("part", F.when(F.col("mix_words") == F.col("size"), F.col("row")["text"]).otherwise(part))
+    new = {"text": F.col("part"), "n_chars": F.length("part").cast("long")}
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def taken_of(docs: DataFrame, shards: int | None = None, seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target and taken of every row of docs: the words that the dealt mix holds of it.
 
     The mix is dealt to its shards and ordered, and is stored as references (source, block, nth) to documents,
-    without texts; what is taken of a document is summed over the stored shards."""
-    plan = common.stored(block_plan(docs, seed=seed), "mix-plan")
-    dealt = dealt_rows(docs, plan, shards, seed).select("mix_id", "mix_source", "block", "nth", "mix_pass", "mix_words", "mix_shard", "mix_place")
+    without texts; what is taken of a document is summed over the stored shards. The texts are read once, for
+    their sizes. Nulls, ties and empty tables as in mix_plan."""
+    digits = block_digits(docs.count())
+    base = common.stored(sized(docs, seed, digits).drop("row"), "mix-sizes")
+    plan = common.stored(block_plan(base), "mix-plan")
+    dealt = dealt_rows(base, plan, shards, seed).select("mix_id", "mix_source", "block", "nth", "mix_pass", "mix_words", "mix_shard", "mix_place")
     sums = common.stored(dealt, "mix-shards").groupBy(F.col("mix_source").alias("s"), F.col("block").alias("b"), F.col("nth").alias("n")).agg(F.sum("mix_words").alias("taken"))
-    base = sized(docs, seed).drop("row").withColumn("nth", F.row_number().over(Window.partitionBy("mix_source", "block").orderBy("key", "mix_id", "size")))
+    rows = base.withColumn("nth", F.row_number().over(Window.partitionBy("mix_source", "block").orderBy("key", "mix_id", "size")))
     sources = plan.groupBy("plan_source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"))
-    found = base.join(sources, F.col("mix_source").eqNullSafe(F.col("plan_source"))).join(sums, F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")) & (F.col("nth") == F.col("n")), "left")
+    found = rows.join(sources, F.col("mix_source").eqNullSafe(F.col("plan_source"))).join(sums, F.col("mix_source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")) & (F.col("nth") == F.col("n")), "left")
     return found.select(F.col("mix_id").alias("doc_id"), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target and taken of every document, summed over the dealt mix (see taken_of)."""
     return taken_of(common.table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
