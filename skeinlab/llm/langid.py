@@ -13,7 +13,7 @@ from skeinlab.llm import common
 
 BUCKETS = 1 << 16  # rows of the log-probability matrix
 ORDERS = (1, 2, 3)
-TRAIN_ROWS = 20_000  # expected size of the sample of labelled rows that the model is fitted on
+TRAIN_ROWS = 20_000  # expected size of the sample of labelled rows that the model is fitted on, shared out evenly to the languages
 MAX_LANGUAGES = 512  # of a model; the matrix that is broadcast has 64 MiB for each 256 at most
 CHUNK = 1 << 19  # characters scored at once
 SMOOTHING = 0.5
@@ -51,17 +51,20 @@ def _buckets(chars: np.ndarray, starts: int) -> Iterator[np.ndarray]:
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray] | None:
     """(languages, log probabilities as buckets x languages), or None without labelled text.
 
-    The prior is even. The fit reads a sample by hash of about `rows` labelled rows outside the held-out
-    part (all, where there are fewer), counts grams in the tasks and sums the counts per language and
-    bucket in Spark; the driver gets at most languages x buckets numbers."""
+    The prior is even. The fit reads a sample by hash of about rows / languages labelled rows of each language
+    outside the held-out part (all, where there are fewer, so that rare languages are learned too), counts grams in
+    the tasks and sums the counts per language and bucket in Spark; the driver gets at most languages x buckets
+    numbers. More than MAX_LANGUAGES languages are an error."""
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    seen = usable.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("k")).first()
-    if not seen.n:
+    seen = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if not seen:
         return None
-    if seen.k > MAX_LANGUAGES:
-        raise ValueError(f"{seen.k} languages; the model holds {MAX_LANGUAGES}")
-    share = min(1.0, rows / seen.n)
-    sample = usable if share == 1 else usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    if len(seen) > MAX_LANGUAGES:
+        raise ValueError(f"the model holds {MAX_LANGUAGES} languages")
+    unit = 1 << 40
+    parts = {lang: int(min(1.0, rows / len(seen) / n) * unit) + 1 for lang, n in seen.items()}
+    share = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
+    sample = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(unit)) < share[F.col("lang")])
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}
@@ -98,15 +101,15 @@ def score(text: str, log_p: np.ndarray) -> np.ndarray:
     return total
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None) -> DataFrame:
-    """docs with lang_pred and score, the even-prior posterior of lang_pred.
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None, as_names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (or other names for them), the even-prior posterior of lang_pred.
 
     Null and empty texts, texts without a letter, and any text where there is no model: und, score 0.
     Ties go to the first language by name. Texts are scored whole, in stretches of bounded size; repeated
-    rows repeat. The columns lang_pred and score replace any of that name."""
+    rows repeat. The new columns replace any of their names. Empty input: no rows."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c not in as_names]
 
     def run(batches):
         for big in batches:
@@ -123,10 +126,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray] | None) -> Data
                     best = int(total.argmax())
                     found.append(langs[best])
                     scores.append(float(1 / np.exp(total - total[best]).sum()))
-                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*names, *as_names])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(run, f"{kinds}, `{as_names[0]}` string, `{as_names[1]}` double")
 
 
 def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -137,7 +140,8 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 def keep_identified(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text is null or has no letter; a missing lang is set to the prediction.
 
-    Where no labelled text teaches a model, lang stays as it is, null or not."""
+    All other columns stay as they were, whatever their names (lang_pred and score too). Where no labelled text
+    teaches a model, lang stays as it is, null or not. Repeated rows repeat. Empty input: no rows."""
     model = fit(docs)
     if model is None:
 
@@ -146,11 +150,16 @@ def keep_identified(docs: DataFrame) -> DataFrame:
                 yield b.filter(pa.array([has_letter(t) for t in b.column("text").to_pylist()], pa.bool_()))
 
         return docs.mapInArrow(lettered, docs.schema)
-    found = predict(docs, model).filter(F.col("lang_pred") != "und")
-    return found.select(*[F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
+    pred, score = "lang_pred", "score"
+    while {pred, score} & set(docs.columns):
+        pred, score = pred + "_", score + "_"
+    found = predict(docs, model, (pred, score)).filter(F.col(pred) != "und")
+    return found.select(*[F.coalesce("lang", pred).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document; see predict for nulls, empty texts, ties and repeated
+    rows. A null doc_id is not held out."""
     docs = common.table(spark, sf_dir, "documents")
     model = fit(docs)
     return predict(docs.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score")
