@@ -1,9 +1,9 @@
 """Chat formatting: a hidden Markov model recovers the roles of raw transcripts, then turns are rendered.
 
 The states are (role, begins a turn) for each role; a line is observed as its speaker marker, length, ending and
-first character. Viterbi finds the best states of a conversation; where it has more than SEGMENT parts it is cut
-into segments, whose best scores between any two states (max-plus matrices) are chained, so that no task holds a
-long conversation's lines."""
+first character. Viterbi finds the best states of a conversation. The parts are sorted into ranges of bounded size;
+where a conversation goes on from range to range, the best scores between any two states over its parts in a range
+(max-plus matrices) are chained, so that no task holds a long conversation's lines."""
 
 from __future__ import annotations
 
@@ -11,11 +11,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skeinlab.llm import common
 
-SEGMENT = 256  # parts of a segment
+RANGE = 20_000  # parts of a range, about
+CHUNK = 256  # parts of a piece of a conversation that the fit samples
 TRAIN_ROWS = 20_000  # expected number of labelled parts that the model is fitted on
 MAX_ROLES = 16
 SMOOTHING = 0.5
@@ -85,14 +87,19 @@ def held_out(conv_id: Column) -> Column:
 
 
 def fit(parts: DataFrame, rows: int = TRAIN_ROWS) -> Model:
-    """Counts of a sample of whole labelled conversations (conv_id, part, raw, role) outside the held-out part.
+    """Counts of a sample of labelled parts outside the held-out ones, in pieces of CHUNK parts of a conversation.
 
-    About `rows` parts are read. A state's start and step counts take the order of parts from Spark's sort; what
-    comes to the driver is one sum for each pair of states and each (state, feature, value)."""
-    usable = parts.filter(F.col("role").isNotNull() & ~held_out(F.col("conv_id")))
+    About `rows` parts are read, those without conv_id or part aside; of parts that repeat one counts. Pieces that
+    begin a conversation (part 0) count for the start, steps are counted inside a piece, in the order of Spark's
+    sort; what comes to the driver is one sum for each pair of states and each (state, feature, value). No labelled
+    parts give an even model of the usual roles; more than MAX_ROLES roles are an error."""
+    usable = parts.filter(F.col("role").isNotNull() & F.col("conv_id").isNotNull() & F.col("part").isNotNull() & ~held_out(F.col("conv_id")))
     n = usable.count()
-    share = min(1.0, rows / max(1, n))
-    sample = usable.filter(F.pmod(F.xxhash64("conv_id", F.lit(31)), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
+    unit = 1 << 40
+    share = int(min(1.0, rows / max(1, n)) * unit) + 1
+    piece = F.floor(F.col("part") / CHUNK).alias("piece")
+    sample = usable.select("conv_id", piece, "part", "role", "raw").filter(F.pmod(F.xxhash64("conv_id", "piece", F.lit(31)), F.lit(unit)) < share)
+    sample = sample.groupBy("conv_id", "piece", "part").agg(F.min(F.struct("role", "raw")).alias("one")).select("conv_id", "piece", "part", "one.*")
     roles = sorted(r[0] for r in sample.select("role").distinct().limit(MAX_ROLES + 1).collect()) or sorted(MARKERS)
     if len(roles) > MAX_ROLES:
         raise ValueError(f"more than {MAX_ROLES} roles")
@@ -104,21 +111,21 @@ def fit(parts: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         emit = [np.zeros((k, states)) for k in SIZES]
         now, state = None, None
         for b in batches:
-            for conv, role, raw in zip(b.column("conv_id").to_pylist(), b.column("role").to_pylist(), b.column("raw").to_pylist(), strict=True):
+            for conv, piece, part, role, raw in zip(*[b.column(c).to_pylist() for c in ("conv_id", "piece", "part", "role", "raw")], strict=True):
                 for i, line in enumerate((raw or "").split("\n")):
                     new = 2 * place[role] + (i == 0)
-                    if conv != now:
-                        start[new] += 1
-                    else:
+                    if (conv, piece) == now:
                         step[state, new] += 1
-                    now, state = conv, new
+                    elif part == 0:
+                        start[new] += 1
+                    now, state = (conv, piece), new
                     for e, value in zip(emit, observed(line), strict=True):
                         e[value, new] += 1
         flat = np.concatenate([start, step.ravel(), *[e.ravel() for e in emit]])
         at = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(flat[at])], names=["at", "n"])
 
-    ordered = sample.select("conv_id", "part", "role", "raw").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    ordered = sample.repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "part")
     sums = ordered.mapInArrow(count, "at bigint, n double").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     flat = np.full(states + states * states + sum(SIZES) * states, SMOOTHING)
     flat[sums.column("at").to_numpy()] += sums.column("n").to_numpy()
@@ -132,88 +139,136 @@ def fit(parts: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     return Model(roles, np.log(start / start.sum()), np.log(step / step.sum(axis=1, keepdims=True)), emit)
 
 
-def _segments(batches, columns: list[str]):
-    """(conv_id, seg, rows of the columns) of sorted batches; rows are the parts of one segment."""
-    now, held = None, []
+ORDERED = "conv_id bigint, part bigint, raw string, range int, place bigint"
+
+
+def in_ranges(parts: DataFrame) -> tuple[DataFrame, int]:
+    """(conv_id, part, raw, range, place) and the number of ranges: all parts in the order of conversation (null
+    first), part (null as 0), a hash of raw and a row number, cut into ranges of about RANGE rows by Spark's range
+    partitioning; place is the order in a range. Equal rows can fall into several ranges, so a range is bounded
+    however often a row repeats. Stored, as the cuts are made from a sample."""
+    rows = parts.select("conv_id", F.coalesce("part", F.lit(0)).cast("bigint").alias("part"), "raw", F.xxhash64("raw").alias("h"), F.monotonically_increasing_id().alias("row"))
+    n = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts.count() // RANGE + 1)
+    keys = ["conv_id", "part", "h", "row"]
+
+    def numbered(batches):
+        where, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            k = b.num_rows
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("part"), b.column("raw"), pa.array([where] * k, pa.int32()), pa.array(range(at, at + k), pa.int64())], names=["conv_id", "part", "raw", "range", "place"])
+            at += k
+
+    dealt = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).select("conv_id", "part", "raw")
+    return common.stored(dealt.mapInArrow(numbered, ORDERED), "parts"), n
+
+
+def _runs(batches):
+    """(range, conv_id, whether it is the range's first run, rows (part, raw)) of sorted batches, and at the end of a
+    range its number alone: a run is what a range holds of a conversation."""
+    now, held, first = None, [], True
     for b in batches:
-        for row in zip(*[b.column(c).to_pylist() for c in ("conv_id", "seg", *columns)], strict=True):
-            if held and row[:2] != now:
-                yield (*now, held)
-                held = []
-            now = row[:2]
-            held.append(row[2:])
+        for place, conv, part, raw in zip(*[b.column(c).to_pylist() for c in ("range", "conv_id", "part", "raw")], strict=True):
+            if held and (place, conv) != now:
+                yield (*now, first, place != now[0], held)
+                held, first = [], place != now[0]
+            now = place, conv
+            held.append((part, raw))
     if held:
-        yield (*now, held)
+        yield (*now, first, True, held)
+
 
+def chained(dealt: DataFrame, model: Model) -> DataFrame:
+    """(range, conv_id, before, last, ends): for the runs at the edges of the ranges, two of each at most, the state
+    that comes before them (null: they begin the conversation), the state they end in on the best path (null: free)
+    and whether the conversation ends with them.
 
-def chained(parts: DataFrame, model: Model) -> DataFrame:
-    """(conv_id, seg, before, last): the states that each segment of the long conversations starts from and ends
-    in on the best path. A conversation's matrices (36 numbers for 256 parts) are chained in one task."""
+    A run's matrix has (2 x roles)^2 numbers; one task chains the matrices of a conversation, at most one for each
+    range that it goes through."""
 
     def matrices(batches):
-        for conv, seg, rows in _segments(batches, ["raw"]):
-            m = model.matrix([x for (raw,) in rows for x in (raw or "").split("\n")], seg == 0)
-            yield pa.RecordBatch.from_arrays([pa.array([conv], pa.int64()), pa.array([seg], pa.int64()), pa.array([m.ravel()], pa.list_(pa.float64()))], names=["conv_id", "seg", "m"])
+        for place, conv, first, last, rows in _runs(batches):
+            if first or last:
+                lines = [x for _, raw in rows for x in (raw or "").split("\n")]
+                both = np.concatenate([model.matrix(lines, True)[0], model.matrix(lines, False).ravel()])
+                yield pa.RecordBatch.from_arrays([pa.array([place], pa.int32()), pa.array([conv], pa.int64()), pa.array([both], pa.list_(pa.float64()))], names=["range", "conv_id", "m"])
+
+    def solved(conv, held):
+        size = len(model.start)
+        v, back = held[0][1][:size], []
+        for _, m in held[1:]:
+            through = v[:, None] + m[size:].reshape(size, size)
+            back.append(through.argmax(axis=0))
+            v = through.max(axis=0)
+        last = [int(v.argmax())]
+        for b in reversed(back):
+            last.append(int(b[last[-1]]))
+        last.reverse()
+        n = len(held)
+        columns = [pa.array([x for x, _ in held], pa.int32()), pa.array([conv] * n, pa.int64()), pa.array([None, *last[:-1]], pa.int32()), pa.array(last, pa.int32()), pa.array([i == n - 1 for i in range(n)])]
+        return pa.RecordBatch.from_arrays(columns, names=["range", "conv_id", "before", "last", "ends"])
 
     def chain(batches):
-        def solved(conv, held):
-            size = len(model.start)
-            v, back = held[0][1].reshape(size, size)[0], []
-            for _, m in held[1:]:
-                through = v[:, None] + m.reshape(size, size)
-                back.append(through.argmax(axis=0))
-                v = through.max(axis=0)
-            last = [int(v.argmax())]
-            for b in reversed(back):
-                last.append(int(b[last[-1]]))
-            last.reverse()
-            before = [None, *last[:-1]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([conv] * len(held), pa.int64()), pa.array([s for s, _ in held], pa.int64()), pa.array(before, pa.int32()), pa.array(last, pa.int32())], names=["conv_id", "seg", "before", "last"]
-            )
-
         now, held = None, []
         for b in batches:
-            for conv, seg, m in zip(b.column("conv_id").to_pylist(), b.column("seg").to_pylist(), b.column("m").to_pylist(), strict=True):
+            for conv, place, m in zip(b.column("conv_id").to_pylist(), b.column("range").to_pylist(), b.column("m").to_pylist(), strict=True):
                 if held and conv != now:
                     yield solved(now, held)
                     held = []
                 now = conv
-                held.append((seg, np.array(m)))
+                held.append((place, np.array(m)))
         if held:
             yield solved(now, held)
 
-    long = parts.filter("seg > 0").select("conv_id").distinct()
-    rows = parts.join(long, "conv_id", "left_semi").repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "part")
-    scored = rows.select("conv_id", "seg", "raw").mapInArrow(matrices, "conv_id bigint, seg bigint, m array<double>")
-    return scored.repartition("conv_id").sortWithinPartitions("conv_id", "seg").mapInArrow(chain, "conv_id bigint, seg bigint, before int, last int")
+    scored = dealt.mapInArrow(matrices, "range int, conv_id bigint, m array<double>")
+    return scored.repartition("conv_id").sortWithinPartitions("conv_id", "range").mapInArrow(chain, "range int, conv_id bigint, before int, last int, ends boolean")
 
 
 def parse(parts: DataFrame, model: Model) -> DataFrame:
     """parts (conv_id bigint, part bigint, raw string) with role_pred, n_begun and rendered, one row each.
 
     role_pred is the role of the part's first line, n_begun how many turns begin in it, rendered its share of
-    the canonical form: <|role|> before each turn, on a line of its own, <|end|> where a turn begins after another,
-    markers removed. Parts in order make up the conversation. Null and empty parts are one empty line; null
-    conv_ids are one conversation; ties in part go by raw; repeated rows repeat. Negative parts start segment 0."""
-    base = parts.select(F.coalesce("conv_id", F.lit(-(1 << 63))).alias("conv_id"), F.coalesce("part", F.lit(0)).alias("part"), "raw")
-    base = base.withColumn("seg", F.greatest(F.floor(F.col("part") / SEGMENT), F.lit(0)))
-    # the segment that holds a conversation's first part starts it
-    first = base.groupBy("conv_id").agg(F.min("seg").alias("low"), F.max("seg").alias("high")).filter("high > 0")
-    if first.isEmpty():
-        joined = base.withColumns({"before": F.lit(None).cast("int"), "last": F.lit(None).cast("int")})
-    else:
-        moved = base.join(first.select("conv_id", "low"), "conv_id", "left").withColumn("seg", F.col("seg") - F.coalesce("low", F.lit(0)))
-        ends = chained(moved, model)
-        joined = moved.drop("low").join(ends, ["conv_id", "seg"], "left")
+    the canonical form: <|role|> before each turn, on a line of its own, <|end|> after it (where the next begins, and
+    at the conversation's end), markers removed. Parts in order make up the conversation. Null and empty parts are
+    one empty line; a null part counts as part 0; null conv_ids are one conversation; ties in part go by a hash of
+    raw; repeated rows repeat. Other columns are not read. Empty input: no rows.
+
+    A range is one key of the shuffle and streams through its task run by run; a task keeps the lines of one run."""
+    stored, n = in_ranges(parts)
+    dealt = stored.repartitionById(n, F.col("range")).sortWithinPartitions("range", "place")
+    edges = common.stored(chained(dealt, model), "chains")
+    # two rows of a range at most: the rows of a range go with it
+    ends = edges.groupBy("range").agg(F.collect_list(F.struct("conv_id", "before", "last", "ends")).alias("edges")).withColumnRenamed("range", "r")
+    joined = stored.filter("place = 0").select("range").join(ends, F.col("range") == F.col("r")).select("range", F.lit(-1).cast("bigint").alias("place"), F.lit(None).cast("bigint").alias("conv_id"), F.lit(None).cast("bigint").alias("part"), F.lit(None).cast("string").alias("raw"), "edges")
+    rows = stored.withColumn("edges", F.lit(None).cast(joined.schema["edges"].dataType)).select(*joined.columns).unionByName(joined)
+
+    def known_first(batches):
+        """The edges come as the first row of a range."""
+        known: dict = {}
+        for b in batches:
+            keep = []
+            for i, (at, place, conv) in enumerate(zip(b.column("place").to_pylist(), b.column("range").to_pylist(), b.column("edges").to_pylist(), strict=True)):
+                if at == -1:
+                    for x in conv:
+                        known[place, x["conv_id"]] = (x["before"], x["last"], x["ends"])
+                else:
+                    keep.append(i)
+            yield known, b.take(pa.array(keep, pa.int64()))
 
     def run(batches):
-        for conv, _, rows in _segments(batches, ["part", "raw", "before", "last"]):
-            lines = [(raw or "").split("\n") for _, raw, _, _ in rows]
-            states = model.viterbi([x for part in lines for x in part], rows[0][2], rows[0][3])
+        known: dict = {}
+
+        def only_rows():
+            for found, b in known_first(batches):
+                known.update(found)
+                yield b
+
+        for place, conv, _, _, rows in _runs(only_rows()):
+            before, last, ends = known.get((place, conv), (None, None, True))
+            lines = [(raw or "").split("\n") for _, raw in rows]
+            states = model.viterbi([x for part in lines for x in part], before, last)
             at, roles, begun, text = 0, [], [], []
-            opened = rows[0][2] is not None
-            for part in lines:
+            opened = before is not None
+            for k, part in enumerate(lines):
                 mine = states[at : at + len(part)]
                 at += len(part)
                 roles.append(model.roles[mine[0] // 2])
@@ -225,15 +280,12 @@ def parse(parts: DataFrame, model: Model) -> DataFrame:
                         opened = True
                         line = stripped(line)
                     out.append(line)
-                text.append("\n".join(out))
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([conv if conv != -(1 << 63) else None] * n, pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array(roles, pa.string()), pa.array(begun, pa.int32()), pa.array(text, pa.string())],
-                names=["conv_id", "part", "role_pred", "n_begun", "rendered"],
-            )
+                text.append("\n".join(out + ["<|end|>"] * (ends and k == len(lines) - 1)))
+            columns = [pa.array([conv] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array(roles, pa.string()), pa.array(begun, pa.int32()), pa.array(text, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "part", "role_pred", "n_begun", "rendered"])
 
-    dealt = joined.select("conv_id", "seg", "part", "raw", "before", "last").repartition("conv_id", "seg").sortWithinPartitions("conv_id", "seg", "part", "raw")
-    return dealt.mapInArrow(run, "conv_id bigint, part bigint, role_pred string, n_begun int, rendered string")
+    ordered = rows.repartitionById(n, F.col("range")).sortWithinPartitions("range", "place")
+    return ordered.mapInArrow(run, "conv_id bigint, part bigint, role_pred string, n_begun int, rendered string")
 
 
 def transcripts(turns: DataFrame) -> DataFrame:
@@ -250,6 +302,8 @@ def transcripts(turns: DataFrame) -> DataFrame:
 
 
 def op6_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, turn, held_out, role_pred, n_begun and rendered_sha256 of every turn of conversations, made a raw
+    transcript first. Nulls, ties, repeated rows and empty tables as in parse."""
     parts = transcripts(common.table(spark, sf_dir, "conversations"))
     found = parse(parts.drop("role"), fit(parts))
     return found.select("conv_id", F.col("part").alias("turn"), held_out(F.col("conv_id")).alias("held_out"), "role_pred", "n_begun", F.sha2("rendered", 256).alias("rendered_sha256"))
