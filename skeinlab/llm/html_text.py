@@ -18,14 +18,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skeinlab.llm import common
 
 TRAIN_PAGES = 400  # expected size of the sample of pages that the classifier is fitted on
-TRAIN_BLOCKS = 200  # of a sampled page, the first ones
+TRAIN_BLOCKS = 200  # of a sampled page, spread evenly over it
 NEAR, SIBLING = 0.8, 0.4  # smoothness of neighbours in the page and of next siblings in the tree
 EVIDENCE = 2.0  # log-odds that an article or main element adds, or takes where a page has one elsewhere
+ELEMENT = 7.0  # log-odds that a boilerplate element or a hidden one takes
 NAMED, PART_NAMED = 4.5, 2.5  # log-odds that a class or id takes whose words are all, or only in part, names of boilerplate
 LIMIT = 3.0  # the classifier's log-odds are kept within +-LIMIT
 
 # HTML element names and name parts that mark boilerplate or content.
-RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "math", "textarea", "title", "canvas", "audio", "video", "select", "head"}
+RAW = {"script", "style", "noscript", "template", "iframe", "object", "svg", "annotation", "annotation-xml", "textarea", "title", "canvas", "audio", "video", "select", "head"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -176,7 +177,7 @@ def blocks_of(page: str) -> list[BlockOfText]:
                 if x is not top:
                     node = x.parent
             continue
-        if tag in ("svg", "math") and m[3].endswith("/") and not _unquoted(m[3]):
+        if tag == "svg" and m[3].endswith("/") and not _unquoted(m[3]):
             words(" ")
             continue
         if tag in RAW:
@@ -237,15 +238,16 @@ PRIOR = np.array([-1.0, 0.5, -3.0, 1.0, 1.0, 0.5, 1.0, -0.5, -1.0, 0.0])  # what
 def fit(pages: DataFrame, sample: int = TRAIN_PAGES, strength: float = 1.0) -> np.ndarray:
     """Weights of the classifier. Blocks that their mark-up gives away teach it: those below boilerplate
     elements and names, and those below an article or main element. A bounded sample of pages is read."""
-    n = pages.count()
-    chosen = pages.filter(F.pmod(F.xxhash64("page_id", F.lit(29)), F.lit(1_000_000)) < int(min(1.0, sample / max(1, n)) * 1_000_000))
+    n, unit = pages.count(), 1 << 40
+    chosen = pages.filter(F.pmod(F.xxhash64("page_id", F.lit(29)), F.lit(unit)) < int(min(1.0, sample / max(1, n)) * unit) + 1)
 
     def rows(batches):
         for b in batches:
             x, y = [], []
             for page in b.column("html").to_pylist():
-                blocks = blocks_of(page or "")[:TRAIN_BLOCKS]
+                blocks = blocks_of(page or "")
                 known = [k for k, one in enumerate(blocks) if one.noise or one.cost or one.article]
+                known = known[:: -(-len(known) // TRAIN_BLOCKS) or 1]
                 x += features(blocks)[known].tolist()
                 y += [not (blocks[k].noise or blocks[k].cost) for k in known]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.bool_())], names=["x", "y"])
@@ -355,14 +357,15 @@ def tree_distance(a: Node, b: Node) -> int:
 
 
 def labels(blocks: list[BlockOfText], weights: np.ndarray) -> list[bool]:
-    """Which blocks are content. A block below a boilerplate element is bound to that terminal; names cost."""
+    """Which blocks are content. Elements, names and the classifier all add to the capacities of the terminals."""
     if not blocks:
         return []
     odds = np.clip(features(blocks) @ weights, -LIMIT, LIMIT)
     marked = any(b.article and not b.noise for b in blocks)
     gain, edges = [], {}
     for i, b in enumerate(blocks):
-        gain.append(-1e6 if b.noise else float(odds[i]) - b.cost + (EVIDENCE if b.article else -EVIDENCE if marked else 0.0))
+        marks = EVIDENCE if b.article and not b.noise else -EVIDENCE if marked else 0.0
+        gain.append(float(odds[i]) + marks - max(b.cost, ELEMENT if b.noise else 0.0))
         tied = {}
         if i:
             tied[i - 1] = NEAR / (1 + tree_distance(blocks[i - 1].node, b.node))
@@ -399,4 +402,6 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars of every page; nulls, empty and repeated rows as in extract. An empty table gives
+    no rows; a page of any length is read whole."""
     return extract(common.table(spark, sf_dir, "pages"))
