@@ -10,7 +10,7 @@ SPAN = 1 << 16  # time units of a slice; a canonical URL's records are carried f
 
 # Header fields that a 304 response may update, and query parameters that do not name a page.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
-TRACKING = r"(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*"
+TRACKING = r"(^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*"
 
 
 def canonical_url(url: Column) -> Column:
@@ -58,9 +58,12 @@ def resolve(records: DataFrame, span: int = SPAN) -> DataFrame:
     carried = slices.select("url_key", "slice", F.last("latest", ignorenulls=True).over(Window.partitionBy("url_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
     carried = carried.select(F.col("url_key").alias("k"), F.col("slice").alias("s"), "carried")
     inside = Window.partitionBy("url_key", "slice").orderBy("warc_time", "record_id").rowsBetween(Window.unboundedPreceding, -1)
-    joined = base.join(carried, (F.col("url_key") == F.col("k")) & (F.col("slice") == F.col("s")), "left")
-    before = F.when(usable, F.coalesce(F.last("full", ignorenulls=True).over(inside), "carried"))
-    joined = joined.withColumn("before", F.when(F.col("is_revisit"), before))
+    joined = base.filter(usable).join(carried, (F.col("url_key") == F.col("k")) & (F.col("slice") == F.col("s")), "left")
+    before = F.coalesce(F.last("full", ignorenulls=True).over(inside), "carried")
+    joined = joined.withColumn("before", F.when(F.col("is_revisit"), before)).drop("k", "s", "carried")
+    # rows without URL or time have nothing before them and stay out of the join and the window
+    none = F.lit(None).cast(joined.schema["before"].dataType)
+    joined = joined.unionByName(base.filter(~usable).withColumn("before", none))
     tags = F.col("before.etag").isNotNull() & F.col("headers")["etag"].isNotNull()
     same = F.when(tags, weak(F.col("before.etag")) == weak(F.col("headers")["etag"])).otherwise(
         F.coalesce(F.col("before.modified") == F.col("headers")["last-modified"], F.lit(False))
@@ -108,6 +111,8 @@ def captures(pages: DataFrame) -> DataFrame:
 
 
 def op3_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The crawl records made of pages (see captures), resolved; headers as text. Nulls, ties and repeated rows as in
+    resolve; an empty table gives no rows."""
     found = resolve(captures(common.table(spark, sf_dir, "pages").select("page_id", "url", "html")))
     shown = F.array_join(F.transform(F.array_sort(F.map_entries("merged")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return found.select("record_id", F.floor(F.col("record_id") / 2).alias("page_id"), "url_key", "status", "source_id", "source_digest", "source_length", shown.alias("headers"))
@@ -119,7 +124,7 @@ WITH p AS (
          regexp_replace(regexp_replace(lower(regexp_extract(trim(url), '^(?i:https?)://([^/?#]*)', 1)), '^www\.', ''), ':(80|443)$', '') AS host,
          regexp_replace(regexp_extract(trim(url), '^(?i:https?)://[^/?#]*([^?#]*)', 1), '/+$', '') AS path,
          regexp_replace(regexp_replace(regexp_replace(regexp_extract(trim(url), '^[^?#]*\?([^#]*)', 1),
-           '(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*', '', 'g'), '&{2,}', '&', 'g'), '^&|&$', '', 'g') AS query
+           '(^|&)(?:utm_[a-z]+|ref|fbclid|gclid)=[^&#]*', '', 'g'), '&{2,}', '&', 'g'), '^&|&$', '', 'g') AS query
   FROM pages),
 k AS (
   SELECT *, CASE WHEN host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END ELSE u END AS url_key,
