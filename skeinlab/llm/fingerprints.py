@@ -50,13 +50,13 @@ def weighted(sorted_name: str) -> Column:
 
 def draw(h: Column, log_w: Column, k: int) -> Column:
     """One draw of a term as a bigint: the order of ln a in the upper 32 bits, the digest of (term, t) below."""
-    x, y = F.xxhash64(h, F.lit(2 * k)), F.xxhash64(h, F.lit(2 * k + 1))
+    x, y, z = (F.xxhash64(h, F.lit(3 * k + i)) for i in range(3))
     upper = lambda v: (F.shiftrightunsigned(v, 33) + F.lit(0.5)) * F.lit(UNIT)
     lower = lambda v: (v.bitwiseAND(F.lit(0x7FFFFFFF)) + F.lit(0.5)) * F.lit(UNIT)
-    # two logarithms of products of uniforms are the gammas; b is what the second hash has left
+    # logarithms of products of two uniforms are the gammas; b is uniform by a third hash, independent of both
     r = -F.ln(upper(x) * lower(x))
     c = -F.ln(upper(y) * lower(y))
-    b = (F.shiftrightunsigned(x.bitwiseXOR(y), 33) + F.lit(0.5)) * F.lit(UNIT)
+    b = upper(z)
     t = F.floor(log_w / r + b)
     order = F.ln(c) - r * (t - b + F.lit(1.0))
     # ln a lies within +-100; in steps of 1e-7 it fits 32 bits
@@ -160,4 +160,7 @@ def edited_prints(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text; see edited_prints for nulls, empty texts, ties,
+    repeated rows and empty tables. Further columns are not read; the standard deviation of a likeness s is
+    sqrt(s (1 - s) / 32), 0.09 at most."""
     return edited_prints(common.table(spark, sf_dir, "documents").select("doc_id", "text"))
