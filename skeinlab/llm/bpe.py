@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skeinlab.llm import common
 
-CACHE = 200_000  # units that a worker remembers, about 50 MB; a full cache drops its later half
+CACHE = 300_000  # units that a worker remembers, about 75 MB; a full cache drops its later half
 LONGEST = 64  # characters of a unit that is remembered
 
 

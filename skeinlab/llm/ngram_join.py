@@ -172,7 +172,7 @@ def path_buckets(texts: DataFrame, runs: int) -> DataFrame:
     for depth in range(1, DEPTH + 1):
         level = common.stored(level, "paths")
         sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        sized = common.stored(level.join(sizes, "bucket").select("bucket", "n", "node"), "sized")
+        sized = common.stored(common.join_groups(level, sizes, ["bucket"], "n", level.count()).select("bucket", "n", "node"), "sized")
         leaves.append(sized if depth == DEPTH else sized.filter(F.col("n") <= SMALL))
         wide = sized.filter(F.col("n") > SMALL)
         if depth == DEPTH or wide.isEmpty():
