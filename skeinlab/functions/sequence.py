@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 # The adapter motifs that read QC looks for.
@@ -66,7 +67,6 @@ def _times(a: Column, c: int) -> Column:
 # Multipliers of the 64-bit finaliser of MurmurHash3.
 FMIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
-
 def with_fmix64(df, source: str, target: str):
     """df with `target` = the 64-bit finaliser of the bigint column `source`; each step is its own column, as
     nested limbs would multiply the expression."""
@@ -85,6 +85,44 @@ def unsigned_mod(x: Column, dim: int) -> Column:
     return ((hi % dim) * F.lit((1 << 32) % dim) + lo % dim) % dim
 
 
+_base = np.full(256, 4, dtype=np.uint64)
+_base[[ord(c) for c in "ACGT"]] = range(4)
+
+
+def fmix64(x: np.ndarray) -> np.ndarray:
+    """The 64-bit finaliser of unsigned numbers."""
+    with np.errstate(over="ignore"):
+        for m in FMIX:
+            x = (x ^ (x >> np.uint64(33))) * np.uint64(m)
+    return x ^ (x >> np.uint64(33))
+
+
+def kmer_codes(text: bytes, k: int, canonical: bool = False) -> np.ndarray:
+    """The runs of k letters A, C, G, T (k <= 31) of an upper-case text as numbers in base 4, in order; canonical:
+    the lesser of a run's number and its reverse complement's."""
+    base = _base[np.frombuffer(text, dtype=np.uint8)]
+    n = len(base) - k + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    bad = np.concatenate([[0], np.cumsum(base == 4)])
+    good = bad[k:] == bad[:-k]
+    code = np.zeros(n, dtype=np.uint64)
+    for j in range(k):
+        code = (code << np.uint64(2)) | (base[j : j + n] & np.uint64(3))
+    code = code[good]
+    if canonical:
+        back = np.zeros(n, dtype=np.uint64)
+        for j in range(k):
+            back |= (np.uint64(3) - (base[j : j + n] & np.uint64(3))) << np.uint64(2 * j)
+        code = np.minimum(code, back[good])
+    return code
+
+
+def hashed_bins(text: bytes, k: int, dim: int, canonical: bool = False) -> np.ndarray:
+    """Bins of the k-mers of a text: the finaliser of their codes modulo dim."""
+    return fmix64(kmer_codes(text, k, canonical)) % np.uint64(dim)
+
+
 def trimmed(seq: Column, five: int = 0, three: int = 0, strict_compat: bool = False) -> Column:
     """seq without its first `five` and last `three` bases. With strict_compat a `three` beyond the length
     counts from the end again, as a negative slice bound does."""

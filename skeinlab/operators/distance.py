@@ -11,10 +11,11 @@ EPS = 1e-12
 
 
 def sample_pairs(samples: DataFrame) -> DataFrame:
-    """(a, b), a < b, of the distinct samples: each sample's list of later ones is exploded."""
-    later = Window.orderBy("sample").rowsBetween(1, Window.unboundedFollowing)
-    rows = samples.select("sample").distinct().withColumn("later", F.collect_list("sample").over(later))
-    return rows.select(F.col("sample").alias("a"), F.explode("later").alias("b"))
+    """(a, b), a < b, of the distinct samples. The list of samples is sent to all tasks; each makes the pairs of its
+    own samples. The result has n (n - 1) / 2 rows, so n, the samples, is thousands at most."""
+    ids = samples.select("sample").distinct()
+    n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ids.select(F.col("sample").alias("a")).repartition(n, "a").join(F.broadcast(ids.select(F.col("sample").alias("b"))), F.col("a") < F.col("b"))
 
 
 def _sides(probs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -45,24 +46,33 @@ def js_log_eps(probs: DataFrame, samples: DataFrame, eps: float = EPS) -> DataFr
 
 def js_clip(probs: DataFrame, samples: DataFrame, dim: int, eps: float = EPS, root: bool = True) -> DataFrame:
     """a, b, d: values clipped to [eps, 1] and renormalised over dim bins, then the plain divergence. A sample
-    without bins is uniform. Bins that neither has enter in closed form. root=False gives the divergence."""
-    mass = probs.groupBy("sample").agg(F.sum(F.greatest(F.least("p", F.lit(1.0)), F.lit(eps))).alias("z"), F.count(F.lit(1)).alias("k"))
-    mass = samples.select("sample").distinct().join(mass, "sample", "left").select("sample", (F.coalesce("z", F.lit(0.0)) + (dim - F.coalesce("k", F.lit(0))) * eps).alias("z"))
-    pairs = sample_pairs(samples).join(mass.select(F.col("sample").alias("a"), F.col("z").alias("za")), "a").join(mass.select(F.col("sample").alias("b"), F.col("z").alias("zb")), "b")
-    left, right = _sides(probs)
-    zero = F.lit(0.0)
-    touched = pairs.select("a", "b").join(left, "a").select("a", "b", "bin", "pa", zero.alias("pb")).unionByName(pairs.select("a", "b").join(right, "b").select("a", "b", "bin", zero.alias("pa"), "pb"))
-    touched = touched.groupBy("a", "b", "bin").agg(F.sum("pa").alias("pa"), F.sum("pb").alias("pb"))
+    without bins is uniform. root=False gives the divergence.
+
+    A bin of one sample alone depends on the other only through its norm: these terms are summed by pair in the
+    tasks that hold the sample's bins, before anything is shuffled, as if no bin were shared. The equi-join on bin
+    corrects them for shared bins; bins that neither has enter in closed form."""
     clip = lambda c: F.greatest(F.least(c, F.lit(1.0)), F.lit(eps))
 
     def term(x: Column, y: Column) -> Column:
         m = (x + y) / 2
         return 0.5 * (x * F.ln(x / m) + y * F.ln(y / m))
 
-    summed = touched.join(pairs, ["a", "b"]).groupBy("a", "b").agg(F.sum(term(clip(F.col("pa")) / F.col("za"), clip(F.col("pb")) / F.col("zb"))).alias("s"), F.count(F.lit(1)).alias("k"))
-    rest = (dim - F.coalesce("k", F.lit(0))) * term(eps / F.col("za"), eps / F.col("zb"))
-    js = F.greatest(F.coalesce("s", zero) + rest, zero)
-    return pairs.join(summed, ["a", "b"], "left").select("a", "b", (F.sqrt(js) if root else js).alias("d"))
+    mass = probs.groupBy("sample").agg(F.sum(clip(F.col("p"))).alias("z"), F.count(F.lit(1)).alias("k"))
+    mass = samples.select("sample").distinct().join(mass, "sample", "left").select("sample", F.coalesce("k", F.lit(0)).alias("k"), (F.coalesce("z", F.lit(0.0)) + (dim - F.coalesce("k", F.lit(0))) * eps).alias("z"))
+    of = lambda s: mass.select(F.col("sample").alias(s), F.col("z").alias(f"z{s}"), F.col("k").alias(f"k{s}"))
+    n = int(probs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bins = probs.select(F.col("sample").alias("s"), "bin", "p").join(F.broadcast(of("s")), "s").select("s", "bin", (clip(F.col("p")) / F.col("zs")).alias("x"), "zs")
+    others = F.broadcast(mass.select(F.col("sample").alias("t"), F.col("z").alias("zt")))
+    alone = bins.repartition(n, "s").join(others, F.col("s") != F.col("t")).groupBy("s", "t").agg(F.sum(term(F.col("x"), eps / F.col("zt"))).alias("one"))
+    left, right = bins.toDF("a", "bin", "x", "za"), bins.toDF("b", "bin", "y", "zb")
+    x, y, za, zb = (F.col(c) for c in ("x", "y", "za", "zb"))
+    met = left.join(right, "bin").filter("a < b").groupBy("a", "b").agg(F.sum(term(x, y) - term(x, eps / zb) - term(eps / za, y)).alias("met"), F.count(F.lit(1)).alias("shared"))
+    pairs = sample_pairs(samples).join(F.broadcast(of("a")), "a").join(F.broadcast(of("b")), "b")
+    rows = pairs.join(met, ["a", "b"], "left").join(alone.toDF("a", "b", "sa"), ["a", "b"], "left").join(alone.toDF("b", "a", "sb"), ["a", "b"], "left")
+    known = lambda c: F.coalesce(c, F.lit(0))
+    rest = (dim - F.col("ka") - F.col("kb") + known("shared")) * term(eps / za, eps / zb)
+    js = F.greatest(known("sa") + known("sb") + known("met") + rest, F.lit(0.0))
+    return rows.select("a", "b", (F.sqrt(js) if root else js).alias("d"))
 
 
 def normalised_rows(values: DataFrame) -> DataFrame:

@@ -13,10 +13,14 @@ from skeinlab.operators.distance import both_ways
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df after a reliable checkpoint in the folder of spark.checkpoint.dir (a temporary one, where it is unset)."""
+    """df after a reliable checkpoint in the folder of spark.checkpoint.dir. Where that is unset, a local session
+    takes a temporary one; on a cluster it must be named, as all machines share it."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint(eager=True)
 
 
@@ -155,8 +159,9 @@ def betweenness(edges: DataFrame, paths: DataFrame, tolerance: float = 1e-10) ->
     """sample, betweenness: share of the shortest paths between other nodes that pass a node, over all pairs.
 
     Edge (m, w) lies on a shortest path from s if d(s, m) + its length = d(s, w), up to a relative tolerance. The
-    numbers of paths are summed along these edges round by round; a node's share of the pair (s, t) is their
-    product where the distances add up. The result's joins hold n^3 rows at most, n the nodes."""
+    numbers of paths are summed along these edges away from s round by round; then every node sends one unit back,
+    split among its predecessors by their numbers of paths, and what passes a node is its share of the paths from s.
+    The joins hold a row for each start and edge."""
     paths = cut(paths)
     adj = adjacency(edges, "d").select(F.col("u").alias("m"), F.col("v").alias("w"), F.col("d").alias("step"))
     near = lambda a, b: F.abs(a - b) <= tolerance * (1 + F.abs(b))
@@ -169,14 +174,21 @@ def betweenness(edges: DataFrame, paths: DataFrame, tolerance: float = 1e-10) ->
         if wave.isEmpty():
             break
         count = cut(count.unionByName(wave).groupBy("s", "m").agg(F.sum("c").alias("c")))
-    known = cut(paths.select(F.col("u").alias("s"), F.col("v").alias("t"), "d").join(count.select("s", F.col("m").alias("t"), "c"), ["s", "t"]))
-    first, rest, whole = known.toDF("s", "x", "d1", "c1"), known.toDF("x", "t", "d2", "c2"), known.toDF("s", "t", "d", "c").filter("s < t")
-    through = whole.join(first, "s").filter("x <> s AND x <> t").join(rest, ["x", "t"]).filter(near(F.col("d1") + F.col("d2"), F.col("d")))
-    share = through.groupBy(F.col("x").alias("sample")).agg(F.sum(F.col("c1") * F.col("c2") / F.col("c")).alias("b"))
+    share = cut(tight.join(count, ["s", "m"]).join(count.toDF("s", "w", "cw"), ["s", "w"]).select("s", "m", "w", (F.col("c") / F.col("cw")).alias("part")))
+    wave = count.select("s", F.col("m").alias("w"), F.lit(1.0).alias("f"))
+    total = None
+    while True:  # wave: what has come back over just so many edges
+        wave = cut(wave.join(share, ["s", "w"]).filter("m <> s").groupBy("s", F.col("m").alias("w")).agg(F.sum(F.col("f") * F.col("part")).alias("f")))
+        if wave.isEmpty():
+            break
+        more = wave.groupBy(F.col("w").alias("sample")).agg(F.sum("f").alias("b"))
+        total = cut(more if total is None else total.unionByName(more).groupBy("sample").agg(F.sum("b").alias("b")))
     nodes = paths.select(F.col("u").alias("sample")).distinct()
     n = nodes.agg(F.count(F.lit(1)).alias("n"))
-    scale = F.when(F.col("n") > 2, 2.0 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(1.0)
-    return nodes.join(share, "sample", "left").join(n, F.lit(True)).select("sample", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
+    found = nodes.withColumn("b", F.lit(0.0)) if total is None else nodes.join(total, "sample", "left")
+    # each pair was met from both of its ends
+    scale = F.when(F.col("n") > 2, 1.0 / ((F.col("n") - 1) * (F.col("n") - 2))).otherwise(0.5)
+    return found.join(n, F.lit(True)).select("sample", (F.coalesce("b", F.lit(0.0)) * scale).alias("betweenness"))
 
 
 def thresholds(dist: DataFrame, count: int = 21) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skeinlab.functions import sequence as S
@@ -23,17 +25,27 @@ def crc_counts(reads: DataFrame, k: int = 21, dim: int = 16384, step: int = 4, d
 
 def hashed_counts(reads: DataFrame, k: int = 17, dim: int = 262144, canonical: bool = False, trim5: int = 0, trim3: int = 0) -> DataFrame:
     """sample, bin, n of 2-bit k-mers (k <= 31) under the 64-bit mix; k-mers with other letters are left out;
-    canonical takes the lesser of a k-mer and its reverse complement. All files of a sample add up."""
+    canonical takes the lesser of a k-mer and its reverse complement. All files of a sample add up.
+
+    K-mers are encoded, hashed and counted batch by batch in numpy; what is shuffled is at most a row for each
+    sample and bin of a batch, never a k-mer."""
     if not 1 <= k <= 31:
         raise ValueError("k must be 1 to 31")
-    rows = reads.select("sample", S.trimmed(F.upper("seq"), trim5, trim3).alias("seq"))
-    kmers = rows.select("sample", F.explode(S.kmers(F.col("seq"), k)).alias("kmer")).filter(~F.col("kmer").rlike("[^ACGT]"))
-    # counted by k-mer first: the hash is taken once for each
-    counted = kmers.groupBy("sample", "kmer").agg(F.count(F.lit(1)).alias("n"))
-    code = S.two_bit(F.col("kmer"))
-    counted = counted.withColumn("code", F.least(code, S.two_bit(S.reverse_complement(F.col("kmer")))) if canonical else code)
-    hashed = S.with_fmix64(counted, "code", "hash")
-    return hashed.groupBy("sample", S.unsigned_mod(F.col("hash"), dim).cast("int").alias("bin")).agg(F.sum("n").alias("n"))
+    rows = reads.select("sample", S.trimmed(F.upper("seq"), trim5, trim3).alias("seq")).filter("seq IS NOT NULL")
+
+    def count(batches):
+        for b in batches:
+            ids = b.column("sample").dictionary_encode()
+            order = np.argsort(ids.indices.fill_null(-1).to_numpy(zero_copy_only=False), kind="stable")
+            place = ids.indices.fill_null(-1).to_numpy(zero_copy_only=False)[order]
+            seqs = b.column("seq").to_pylist()
+            for group in np.split(order, np.flatnonzero(np.diff(place)) + 1):
+                if len(group):
+                    bins, n = np.unique(S.hashed_bins(b"\n".join([seqs[i].encode() for i in group]), k, dim, canonical), return_counts=True)
+                    name = b.column("sample")[int(group[0])].as_py()
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(bins), pa.string()), pa.array(bins.astype(np.int32)), pa.array(n.astype(np.int64))], names=["sample", "bin", "n"])
+
+    return rows.mapInArrow(count, "sample string, bin int, n bigint").groupBy("sample", "bin").agg(F.sum("n").alias("n"))
 
 
 def probabilities(counts: DataFrame, by: tuple[str, ...] = ("sample",), value: str = "n") -> DataFrame:
@@ -47,12 +59,6 @@ def mates_combined(counts: DataFrame) -> DataFrame:
     return probabilities(mates.groupBy("sample", "bin").agg(F.sum("p").alias("s")), value="s")
 
 
-def sketches(samples: DataFrame, probs: DataFrame) -> DataFrame:
-    """sample, is_uniform: samples without a k-mer count as the uniform vector, which is not spelled out."""
-    some = probs.select("sample").distinct().withColumn("some", F.lit(True))
-    return samples.join(some, "sample", "left").select("sample", F.col("some").isNull().alias("is_uniform"))
-
-
 def entropy(probs: DataFrame, eps: float = 1e-12) -> DataFrame:
     """sample, kmer_entropy in nats."""
     return probs.groupBy("sample").agg((-F.sum(F.col("p") * F.ln(F.col("p") + eps))).alias("kmer_entropy"))

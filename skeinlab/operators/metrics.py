@@ -4,15 +4,38 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skeinlab.operators.graph import cut
+
+
+RANGES = 64  # of a running sum
+
+
+def running(rows: DataFrame, key: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """rows, one for each value of the numeric column key, with running sums in the order of key ({new column: of}).
+
+    Values are dealt to RANGES ranges at approximate percentiles; a range is summed in its own task, on top of the
+    sums of the ranges before it, so no task orders all rows. A range column is left in the result's lineage only."""
+    rows = cut(rows)
+    points = rows.agg(F.percentile_approx(key, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("_points"))
+    place = F.size(F.filter("_points", lambda p: p < F.col(key)))
+    dealt = rows.join(F.broadcast(points), F.lit(True)).withColumn("_range", -place if descending else place).drop("_points")
+    totals = dealt.groupBy("_range").agg(*[F.sum(of).alias(f"_{new}") for new, of in sums.items()])
+    up = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows
+    before = totals.select("_range", *[F.coalesce(F.sum(f"_{new}").over(up), F.lit(0)).alias(f"_{new}") for new in sums])
+    inside = Window.partitionBy("_range").orderBy(F.desc(key) if descending else F.asc(key))
+    out = dealt.join(F.broadcast(before), "_range")
+    return out.select(*rows.columns, *[(F.sum(of).over(inside) + F.col(f"_{new}")).alias(new) for new, of in sums.items()])
+
 
 def by_score(scored: DataFrame) -> DataFrame:
     """score, pos, neg, tp, fp, p, n: counts at each distinct score and running counts from the highest on.
 
-    Rows are summed by score before anything is ordered; the running sums go over distinct scores only. Null
+    Rows are summed by score before anything is ordered; the running sums go over distinct scores, in ranges. Null
     scores and labels are left out."""
     at = scored.filter("score IS NOT NULL AND y IS NOT NULL").groupBy("score").agg(F.count_if(F.col("y") == 1).alias("pos"), F.count_if(F.col("y") != 1).alias("neg"))
-    down, whole = Window.orderBy(F.desc("score")), Window.partitionBy()
-    return at.select("*", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"), F.sum("pos").over(whole).alias("p"), F.sum("neg").over(whole).alias("n"))
+    found = running(at, "score", {"tp": "pos", "fp": "neg"}, descending=True)
+    whole = found.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return found.join(F.broadcast(whole), F.lit(True))
 
 
 def roc_auc(scored: DataFrame) -> DataFrame:
@@ -58,40 +81,53 @@ def best_f1(scored: DataFrame) -> DataFrame:
     return f1.orderBy(F.desc("f1"), "threshold").limit(1)
 
 
+def log_factorial(n: Column) -> Column:
+    """ln n! by Stirling's series at n + 10, brought back by the ten factors between; exact to 12 digits or so."""
+    x = n.cast("double") + 10.0
+    series = (x + 0.5) * F.ln(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
+    for i in range(1, 11):
+        series = series - F.ln(n.cast("double") + float(i))
+    return series
+
+
 def _log_choose(n: Column, k: Column) -> Column:
-    """ln of n over k by a sum over k terms."""
-    terms = F.transform(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), lambda i: F.ln((n - k + i).cast("double") / i))
-    return F.when(k > 0, F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)).otherwise(0.0)
+    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
 
 
 def enrichment_p(hits: Column, positives: Column, total: Column, drawn: Column) -> Column:
     """P(X >= hits) of `positives` among `total` in `drawn` draws without replacement: both the one-sided Fisher
-    test and the hypergeometric tail. Null where more are drawn than there are. Integer columns."""
+    test and the hypergeometric tail. Null where more are drawn than there are. Integer columns.
+
+    The tail has a term for each number of hits up to the most there can be, each from closed forms."""
     most = F.least(positives, drawn)
 
     def term(i: Column) -> Column:
+        missed = F.greatest(F.least(drawn - i, total - positives), F.lit(0))
         fits = (drawn - i >= 0) & (drawn - i <= total - positives)
-        return F.when(fits, F.exp(_log_choose(positives, i) + _log_choose(total - positives, F.greatest(drawn - i, F.lit(0))) - _log_choose(total, drawn))).otherwise(0.0)
+        return F.when(fits, F.exp(_log_choose(positives, i) + _log_choose(total - positives, missed) - _log_choose(total, drawn))).otherwise(0.0)
 
-    # the tail's terms, each from sums of at most `drawn` logarithms
-    tail = F.aggregate(F.transform(F.sequence(hits, F.greatest(most, hits)), term), F.lit(0.0), lambda a, x: a + x)
+    tail = F.aggregate(F.sequence(hits, F.greatest(most, hits)), F.lit(0.0), lambda a, i: a + F.when(i <= most, term(F.least(i, most))).otherwise(0.0))
     return F.when(drawn <= total, F.least(F.when(hits <= most, tail).otherwise(0.0), F.lit(1.0)))
 
 
 def top_k(scored: DataFrame, k: int | None = None) -> DataFrame:
     """sample, y, score, pred: the k best scores (ties by sample) are predicted; k is the positives by default.
 
-    The k-th best row is found by a limit; all rows are then compared with it, so nothing is ranked as a whole."""
+    The k-th score comes from the running counts of distinct scores; only rows that tie there are put in order."""
     known = scored.filter("score IS NOT NULL AND y IS NOT NULL")
     if k is None:
         k = known.agg(F.sum("y")).first()[0] or 0
     if k <= 0:
         return known.withColumn("pred", F.lit(0))
-    last = known.orderBy(F.desc("score"), "sample").limit(k).agg(F.max(F.struct((-F.col("score")).alias("s"), "sample")).alias("last")).first()["last"]
+    counts = by_score(known).withColumn("upto", F.col("tp") + F.col("fp"))
+    last = counts.filter(F.col("upto") >= k).agg(F.max(F.struct("score", "upto", (F.col("pos") + F.col("neg")).alias("at")))).first()[0]
     if last is None:
-        return known.withColumn("pred", F.lit(0))
-    at = F.lit(-last["s"])
-    return known.withColumn("pred", ((F.col("score") > at) | ((F.col("score") == at) & (F.col("sample") <= F.lit(last["sample"])))).cast("int"))
+        return known.withColumn("pred", F.lit(1))
+    ties = known.filter(F.col("score") == F.lit(last.score))
+    wanted = k - (last.upto - last["at"])
+    edge = ties.select("sample").orderBy("sample").limit(wanted).agg(F.max("sample")).first()[0] if wanted < last["at"] else None
+    tied = F.lit(True) if edge is None else F.col("sample") <= F.lit(edge)
+    return known.withColumn("pred", ((F.col("score") > F.lit(last.score)) | ((F.col("score") == F.lit(last.score)) & tied)).cast("int"))
 
 
 def confusion(predicted: DataFrame) -> DataFrame:
@@ -128,8 +164,7 @@ def evaluate(scored: DataFrame, k: int | None = None) -> DataFrame:
 def mid_ranks(rows: DataFrame, column: str, out: str) -> DataFrame:
     """rows with the mid-rank of a column, from counts by value; nulls have none."""
     counts = rows.groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).filter("_v IS NOT NULL")
-    upto = F.sum("_c").over(Window.orderBy("_v"))
-    ranks = counts.select("_v", (upto - (F.col("_c") - 1) / 2).alias(out))
+    ranks = running(counts, "_v", {"_upto": "_c"}).select("_v", (F.col("_upto") - (F.col("_c") - 1) / 2).alias(out))
     return rows.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
 
 
@@ -207,6 +242,7 @@ def ground_truth(samples: DataFrame, runinfo: DataFrame | None = None, pools: li
         found = samples.select("sample").join(pool_labels(runinfo), "sample", "left")
         return found.select("sample", F.coalesce("ground_truth", F.lit("unknown")).alias("ground_truth"))
     if pools:
+        pools = [p.strip() for p in pools]
         return samples.select("sample", F.when(F.col("sample").isin(pools), "pool").otherwise("individual").alias("ground_truth"))
     return samples.select("sample", F.lit("unknown").alias("ground_truth"))
 

@@ -2,41 +2,62 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skeinlab.functions import sequence as S
 
 
+def _scores(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, position and Phred+33 score of every quality of a batch (len, qual): what lies below '!' wraps to
+    223..255, characters beyond ASCII are dropped, and scores are cut to the length of the sequence."""
+    quals = [(q or "").encode("ascii", "ignore").replace(b"\0", b"") for q in batch.column("qual").to_pylist()]
+    most = batch.column("len").fill_null(0).to_numpy(zero_copy_only=False)
+    size = np.minimum(np.fromiter(map(len, quals), dtype=np.int64, count=len(quals)), most)
+    text = np.frombuffer(b"".join([q[:n] for q, n in zip(quals, size.tolist(), strict=True)]), dtype=np.uint8)
+    row = np.repeat(np.arange(len(quals)), size)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+    return row, place, (text - np.uint8(33)).astype(np.int64)
+
+
+def _by_mate(batch: pa.RecordBatch) -> tuple[list[tuple], np.ndarray]:
+    """The (sample, mate) pairs of a batch and the number of each row's."""
+    keys = list(zip(batch.column("sample").to_pylist(), batch.column("mate").to_pylist(), strict=True))
+    number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
+    return list(number), np.fromiter(map(number.__getitem__, keys), dtype=np.int64, count=len(keys))
+
+
 def qc_reads(reads: DataFrame) -> DataFrame:
     """sample, mate, reads_used, bases_used, mean_len, sd_len, gc_frac, n_frac, mean_phred, q30_frac.
 
     Base counts are over the whole upper-case read; quality over the shorter of read and quality. One read
-    has sd_len 0. A sample without reads has no row. One partial aggregate, no explode."""
+    has sd_len 0. A sample without reads has no row. Each batch gives one row of sums for a sample and mate."""
     seq = F.upper("seq")
-    q = S.reconciled(F.col("seq"), S.phred(F.col("qual")))
-    per_read = reads.select("sample", "mate", seq.alias("seq"), q.alias("q"))
-    zero = F.lit(0).cast("long")
-    per_read = per_read.select(
-        "sample",
-        "mate",
-        F.length("seq").cast("long").alias("n"),
-        (S.count_char(F.col("seq"), "G") + S.count_char(F.col("seq"), "C")).alias("gc"),
-        S.count_char(F.col("seq"), "N").alias("ns"),
-        F.size("q").cast("long").alias("qn"),
-        F.aggregate("q", zero, lambda a, x: a + x).alias("qsum"),
-        F.aggregate("q", zero, lambda a, x: a + F.when(x >= 30, 1).otherwise(0)).alias("q30"),
-    )
-    share = lambda a, b: F.sum(a) / F.nullif(F.sum(b), F.lit(0))
-    return per_read.groupBy("sample", "mate").agg(
-        F.count(F.lit(1)).alias("reads_used"),
-        F.sum("n").alias("bases_used"),
-        F.avg("n").alias("mean_len"),
-        F.coalesce(F.stddev_samp("n"), F.lit(0.0)).alias("sd_len"),
-        share("gc", "n").alias("gc_frac"),
-        share("ns", "n").alias("n_frac"),
-        share("qsum", "qn").alias("mean_phred"),
-        share("q30", "qn").alias("q30_frac"),
-    )
+    names = ["n", "nn", "gc", "ns", "reads"]
+    rows = reads.select("sample", "mate", F.length("seq").cast("long").alias("len"), (S.count_char(seq, "G") + S.count_char(seq, "C")).alias("gc"), S.count_char(seq, "N").alias("ns"), "qual")
+    kinds = {f.name: f.dataType.simpleString() for f in reads.schema.fields}
+
+    def sums(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys, group = _by_mate(b)
+            row, _, q = _scores(b)
+            n, gc, ns = (b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("len", "gc", "ns"))
+            add = lambda where, what: np.bincount(where, weights=what, minlength=len(keys)).astype(np.int64)  # noqa: B023, E731
+            columns = [add(group, x) for x in (n, n * n, gc, ns, np.ones(len(n)))] + [add(group[row], x) for x in (np.ones(len(q)), q, q >= 30)]
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], b.column("sample").type), pa.array([k[1] for k in keys], b.column("mate").type), *map(pa.array, columns)], names=["sample", "mate", *names, "qn", "qsum", "q30"])
+
+    found = rows.mapInArrow(sums, f"sample {kinds['sample']}, mate {kinds['mate']}, " + ", ".join(f"{c} bigint" for c in [*names, "qn", "qsum", "q30"]))
+    found = found.groupBy("sample", "mate").agg(*[F.sum(c).alias(c) for c in [*names, "qn", "qsum", "q30"]])
+    share = lambda a, b: F.col(a) / F.nullif(F.col(b), F.lit(0))
+    # whole numbers up to the last division
+    square = (F.col("reads") * F.col("nn") - F.col("n") * F.col("n")) / F.nullif(F.col("reads") * (F.col("reads") - 1), F.lit(0))
+    return found.select(
+        "sample", "mate", F.col("reads").alias("reads_used"), F.col("n").alias("bases_used"), share("n", "reads").alias("mean_len"), F.coalesce(F.sqrt(square), F.lit(0.0)).alias("sd_len"),
+        share("gc", "n").alias("gc_frac"), share("ns", "n").alias("n_frac"), share("qsum", "qn").alias("mean_phred"), share("q30", "qn").alias("q30_frac"),
+    )
 
 
 def both_mates(qc: DataFrame) -> DataFrame:
@@ -48,9 +69,26 @@ def both_mates(qc: DataFrame) -> DataFrame:
 
 
 def qc_positions(reads: DataFrame) -> DataFrame:
-    """sample, mate, pos, mean_q, n: mean quality over the reads that reach a position."""
-    q = S.reconciled(F.col("seq"), S.phred(F.col("qual")))
-    return reads.select("sample", "mate", F.posexplode(q).alias("pos", "q")).groupBy("sample", "mate", "pos").agg(F.avg("q").alias("mean_q"), F.count(F.lit(1)).alias("n"))
+    """sample, mate, pos, mean_q, n: mean quality over the reads that reach a position. Each batch gives one row of
+    sums for a sample, mate and position."""
+    rows = reads.select("sample", "mate", F.length("seq").cast("long").alias("len"), "qual")
+    kinds = {f.name: f.dataType.simpleString() for f in reads.schema.fields}
+
+    def sums(batches):
+        for b in batches:
+            row, place, q = _scores(b)
+            if not len(q):
+                continue
+            keys, group = _by_mate(b)
+            width = int(place.max()) + 1
+            cell = group[row] * width + place
+            n, total = np.bincount(cell), np.bincount(cell, weights=q)
+            at = np.flatnonzero(n)
+            columns = [pa.array([keys[i][0] for i in (at // width).tolist()], b.column("sample").type), pa.array([keys[i][1] for i in (at // width).tolist()], b.column("mate").type)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array((at % width).astype(np.int32)), pa.array(n[at]), pa.array(total[at].astype(np.int64))], names=["sample", "mate", "pos", "n", "total"])
+
+    found = rows.mapInArrow(sums, f"sample {kinds['sample']}, mate {kinds['mate']}, pos int, n bigint, total bigint")
+    return found.groupBy("sample", "mate", "pos").agg((F.sum("total") / F.sum("n")).alias("mean_q"), F.sum("n").alias("n"))
 
 
 def group_profile(positions: DataFrame, groups: DataFrame) -> DataFrame:
@@ -99,6 +137,24 @@ def end_kmers(reads: DataFrame, k: int = 8, n: int = 10) -> DataFrame:
     return top_counts(reads.filter(F.length("seq") >= k).select("sample", F.inline(sides)), ["sample", "side"], "kmer", n)
 
 
+def end_bases(reads: DataFrame) -> DataFrame:
+    """sample, side (5 or 3), base, n, pct: first and last letters of the reads that have any, as they are."""
+    sides = F.array(F.struct(F.lit(5).alias("side"), F.substring("seq", 1, 1).alias("base")), F.struct(F.lit(3).alias("side"), F.substring("seq", -1, 1).alias("base")))
+    counted = reads.filter(F.length("seq") > 0).select("sample", F.inline(sides)).groupBy("sample", "side", "base").agg(F.count(F.lit(1)).alias("n"))
+    return counted.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("sample", "side")))
+
+
+def hints(reads: DataFrame, prefix_len: int = 12, tail_len: int = 12, dominant: float = 20.0, adapter: float = 0.5) -> DataFrame:
+    """sample, top_prefix_pct, prefix_dominates (a barcode or primer may be left: above `dominant` percent),
+    top_adapter_pct, adapters_left (some motif in `adapter` percent of the reads or more), unique_lengths,
+    lengths_vary, poly_g_pct."""
+    top = prefix_top(reads, prefix_len, 1).select("sample", F.col("pct").alias("top_prefix_pct"))
+    motifs = adapter_hits(reads).groupBy("sample").agg(F.max("pct").alias("top_adapter_pct"))
+    poly = poly_g_tails(reads, tail_len).select("sample", F.col("pct").alias("poly_g_pct"))
+    rows = top.join(motifs, "sample").join(length_stats(reads).select("sample", "unique_lengths"), "sample").join(poly, "sample")
+    return rows.withColumns({"prefix_dominates": F.col("top_prefix_pct") > dominant, "adapters_left": F.col("top_adapter_pct") >= adapter, "lengths_vary": F.col("unique_lengths") > 1})
+
+
 def adapter_hits(reads: DataFrame, motifs: tuple[str, ...] = S.ADAPTERS) -> DataFrame:
     """sample, motif, n, pct: reads that hold a motif anywhere; a read may hold several."""
     up = F.upper("seq")

@@ -220,8 +220,8 @@ def neighbour_joining(dist: DataFrame, samples: DataFrame) -> DataFrame:
             q = (n - 2) * d - total[:, None] - total[None, :]
             np.fill_diagonal(q, np.inf)
             i, j = sorted(divmod(int(q.argmin()), n))
-            limb = max(0.0, 0.5 * d[i, j] + (total[i] - total[j]) / (2 * (n - 2)))
-            other = max(0.0, d[i, j] - limb)
+            raw = 0.5 * d[i, j] + (total[i] - total[j]) / (2 * (n - 2))
+            limb, other = max(0.0, raw), max(0.0, d[i, j] - raw)
             joined = 0.5 * (d[i] + d[j] - d[i, j])
             rest = [k for k in range(n) if k not in (i, j)]
             names = [names[k] for k in rest] + [f"({names[i]}:{limb:.6f},{names[j]}:{other:.6f})"]

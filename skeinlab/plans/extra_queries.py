@@ -41,7 +41,7 @@ def labelled_nodes(spark, sf):
 def mate_names(spark, sf):
     """Sample ids of file names made of part names."""
     p = F.col("p_partkey")
-    name = F.concat(F.lit("/data/x/lib"), (p % 50).cast("string"), F.when(p % 3 == 0, "_1").when(p % 3 == 1, ".2").otherwise(""), F.when(p % 2 == 0, ".fastq.gz").otherwise(".fq"))
+    name = F.concat(F.lit("/data/x/lib"), (p % 50).cast("string"), F.when(p % 3 == 0, "_1").when(p % 3 == 1, ".2").otherwise(""), F.when(p % 4 == 0, ".fastq.gz").when(p % 4 == 1, ".FASTQ.GZ").when(p % 4 == 2, ".Fq").otherwise(".fq"))
     return V.table(spark, sf, "part").select(fastq.sample_of(name).alias("sample")).groupBy("sample").agg(F.count(F.lit(1)).alias("files"))
 
 
@@ -54,7 +54,7 @@ QUERIES = {
     "induced_subgraph": lambda s, d: graph.induced(knn(s, d), nodes(s, d).orderBy("sample").limit(12)).select("u", "v"),
     "thresholds": lambda s, d: rounded(graph.thresholds(dist(s, d)), "threshold"),
     "threshold_edges": lambda s, d: graph.threshold_edges(x := dist(s, d), graph.thresholds(x)).groupBy("step").agg(F.count(F.lit(1)).alias("edges")),
-    "neighbour_ranks": lambda s, d: graph.neighbour_ranks(dist(s, d)).filter("rank <= 6").select("u", "v", "rank"),
+    "neighbour_ranks": lambda s, d: graph.neighbour_ranks(dist(s, d)).select("u", "v", "rank"),
     "js_divergence": lambda s, d: rounded(distance.js_clip(distance.normalised_rows(V.profiles(s, d)), V.profiles(s, d), 15, root=False), "d"),
     "zscores_flat": lambda s, d: rounded(metrics.zscores(graph.degrees(knn(s, d)).withColumn("flat", F.lit(2.0)), ["degree", "flat"], "zero"), "degree_z", "flat_z"),
     "trims": trims,
@@ -76,7 +76,7 @@ FROM (SELECT CAST(least(floor((orc - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS
     "induced_subgraph": G + ", t AS (SELECT DISTINCT sample FROM probs ORDER BY sample LIMIT 12) SELECT u, v FROM edges WHERE u IN (SELECT sample FROM t) AND v IN (SELECT sample FROM t)",
     "thresholds": D + f" SELECT CAST(unnest(range(21)) AS INTEGER) AS step, round(unnest(quantile_cont(d, {[0.05 + 0.9 * i / 20 for i in range(21)]})), 6) AS threshold FROM both_ways",
     "threshold_edges": D + f", c AS (SELECT CAST(unnest(range(21)) AS INTEGER) AS step, unnest(quantile_cont(d, {[0.05 + 0.9 * i / 20 for i in range(21)]})) AS threshold FROM both_ways) SELECT step, count(*) AS edges FROM c JOIN dist ON d <= threshold GROUP BY step",
-    "neighbour_ranks": G + " SELECT u, v, CAST(r AS INTEGER) AS rank FROM near WHERE r <= 6",
+    "neighbour_ranks": G + " SELECT u, v, CAST(r AS INTEGER) AS rank FROM near",
     "js_divergence": read_queries.ORACLES["js_matrix"].replace("round(sqrt(greatest(", "round((greatest("),
     "zscores_flat": G + ", dg AS (SELECT u AS sample, count(*) AS degree FROM adj GROUP BY u) SELECT sample, degree, 2.0::DOUBLE AS flat, round((degree - avg(degree) OVER ()) / (SELECT stddev_pop(degree) FROM dg), 6) AS degree_z, 0.0::DOUBLE AS flat_z FROM dg",
     "trims": read_queries.R + """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skeinlab.operators import curvature, distance, graph, kmers, mixtures, spectral
-from skeinlab.plans import pipelines, read_queries, views as V
+from skeinlab.plans import dense_sql, pipelines, read_queries, views as V
 from skeinlab.plans.read_queries import rounded
 from skeinlab.schemas import TRUTH
 
@@ -95,7 +95,7 @@ QUERIES = {
     "diffusion_map": lambda s, d: rounded(spectral.diffusion_map(knn(s, d))[0], "value"),
     "diffusion_spectrum": lambda s, d: rounded(spectral.diffusion_map(knn(s, d))[1], "eigenvalue"),
     "dense_diffusion": lambda s, d: rounded(spectral.dense_diffusion(dist(s, d), nodes(s, d)), "value"),
-    "upgma": lambda s, d: rounded(spectral.upgma(dist(s, d), nodes(s, d)), "height"),
+    "upgma": lambda s, d: rounded(spectral.upgma(dist(s, d), nodes(s, d)), "height").withColumns({c: F.array_join(c, ",") for c in ("members_left", "members_right")}),
     "leaf_order": lambda s, d: spectral.leaf_order(dist(s, d), nodes(s, d)),
     "tree_groups": lambda s, d: spectral.cut_tree(dist(s, d), nodes(s, d)),
     "neighbour_joining": lambda s, d: spectral.neighbour_joining(dist(s, d), nodes(s, d)),
@@ -179,3 +179,5 @@ chi AS (SELECT step, sum(CASE WHEN size % 2 = 1 THEN 1 ELSE -1 END) AS chi, max(
 es AS (SELECT step, count(*) AS e FROM te GROUP BY step)
 SELECT step, round(threshold, 6) AS threshold, CAST((SELECT count(*) FROM ids) AS INTEGER) AS V, e AS E, c AS components, e - (SELECT count(*) FROM ids) + c AS beta1_graph,
        CAST(chi AS BIGINT) AS euler_clique_complex, top AS max_clique_size FROM cuts JOIN es USING (step) JOIN parts USING (step) JOIN chi USING (step)"""
+
+ORACLES |= dense_sql.oracles(D + SIM)

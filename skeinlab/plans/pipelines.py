@@ -33,6 +33,7 @@ def preprocess(reads: DataFrame, manifest: DataFrame, k: int = 21, dim: int = 16
         "quality_profile": qc.group_profile(positions, groups),
         "kmer_js_distance": dist,
         "entropy": entropy,
+        "qc_with_entropy": qc.both_mates(qc.qc_reads(reads)).join(entropy, "sample", "left"),
         "heatmap_order": spectral.leaf_order(dist, samples),
         "embedding_pca": spectral.pca(probs, samples).groupBy("sample").pivot("axis", [1, 2]).agg(F.first("value")).toDF("sample", "PC1", "PC2").join(groups, "sample"),
         "network_edges": network,

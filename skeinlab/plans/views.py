@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz."
@@ -26,8 +28,19 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def reads_with_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a quality string: score (7 ascii(base) + position) mod 41."""
-    q = F.transform(F.split("seq", ""), lambda c, i: F.char(33 + (F.ascii(c) * 7 + i) % 41))
-    return reads(spark, sf_dir).withColumn("qual", F.array_join(q, ""))
+    rows = reads(spark, sf_dir)
+
+    def scored(batches):
+        for b in batches:
+            text = [x.encode() for x in b.column("seq").to_pylist()]
+            flat = np.frombuffer(b"".join(text), dtype=np.uint8).astype(np.int64)
+            size = np.fromiter(map(len, text), dtype=np.int64, count=len(text))
+            ends = np.cumsum(size)
+            place = np.arange(len(flat)) - np.repeat(ends - size, size)
+            qual = (33 + (flat * 7 + place) % 41).astype(np.uint8).tobytes().decode()
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([qual[e - n : e] for n, e in zip(size.tolist(), ends.tolist(), strict=True)], pa.string())], names=[*b.schema.names, "qual"])
+
+    return rows.mapInArrow(scored, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", qual string")
 
 
 READS = f"""

@@ -72,14 +72,15 @@ def _counted(records: DataFrame) -> DataFrame:
 
 
 def sample_of(path_column) -> F.col:
-    """Sample id of a file name: without .gz, .fastq or .fq, and one of [._-][12] at the end."""
+    """Sample id of a file name: without .gz, .fastq or .fq in any case, and one of [._-][12] at the end."""
     name = F.element_at(F.split(path_column, "/"), -1)
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"\.gz$", ""), r"\.(fastq|fq)$", ""), r"[._-][12]$", "")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"(?i)\.gz$", ""), r"(?i)\.(fastq|fq)$", ""), r"[._-][12]$", "")
 
 
-def files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
-    """path, name, length of the FASTQ files of a folder; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
+def files(spark: SparkSession, folder: str, recursive: bool = False, pattern: str | None = None) -> DataFrame:
+    """path, name, length of the FASTQ files of a folder (by a glob of names, if given); contents are not read."""
+    source = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    found = (source.option("pathGlobFilter", pattern) if pattern else source).load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     return found.select("path", name.alias("name"), "length").filter(F.lower("name").rlike(r"\.(fastq|fq)(\.gz)?$"))
 
@@ -112,4 +113,4 @@ def paired_reads(spark: SparkSession, manifest: DataFrame, max_reads: int | None
     names = spark.createDataFrame([(p, r.sample, m) for r in rows for m, p in ((1, r.r1), (2, r.r2))], "p string, sample string, mate int")
     reads = read_fastq(spark, [p for r in rows for p in (r.r1, r.r2)], variant, max_reads)
     plain = lambda c: F.regexp_replace(F.col(c), r"^file:/+", "/")
-    return reads.join(F.broadcast(names), plain("path") == plain("p")).select("sample", "mate", "read_idx", "seq", "qual")
+    return reads.join(names, plain("path") == plain("p")).select("sample", "mate", "read_idx", "seq", "qual")

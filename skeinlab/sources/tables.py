@@ -49,7 +49,7 @@ def feature_matrix(spark: SparkSession, path: str, id_column: str = "sample_id")
 
 def pools_file(spark: SparkSession, path: str) -> list[str]:
     """The ids of a text file, one a line; blank lines and those that start with # are passed over."""
-    line = F.trim("value")
+    line = F.regexp_replace("value", r"(?U)^\s+|\s+$", "")  # all white space, as ids come from pasted tables
     return [r[0] for r in spark.read.text(path).select(line.alias("id")).filter((F.col("id") != "") & ~F.col("id").startswith("#")).collect()]
 
 
