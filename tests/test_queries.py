@@ -22,7 +22,7 @@ def plain(value):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="driver tables are not here")
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - {"topology_curve", "kmer_hashed"}))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:
