@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from skeinlab.operators import curvature, distance, graph, kmers, mixtures, spectral
 from skeinlab.plans import dense_sql, pipelines, read_queries, views as V
@@ -64,8 +64,14 @@ def run_final(spark, sf):
 
 
 def run_sweep(spark, sf):
-    p = probs(spark, sf)
-    return pipelines.sweep(lambda reads, k: p, nodes(spark, sf), [], reads=(1,), ks=(2,), base_reads=1, base_k=2, n_boot=2, dim=15, n_synth=6)["run_metrics_raw"]
+    """Depths and k swept over the sources' own reads: each cell's histograms come from the first reads of a sample."""
+    order = Window.partitionBy("sample").orderBy("doc_id", "chunk")
+    reads = graph.cut(V.reads(spark, sf).select("sample", "seq", F.row_number().over(order).alias("nth")))
+
+    def sketch(depth, k):
+        return kmers.probabilities(kmers.crc_counts(reads.filter(F.col("nth") <= depth), k, V.DIM, 1, "read", ("sample",)))
+
+    return pipelines.sweep(sketch, reads, [], reads=(50, 100, 200), ks=(9, 11, 13), base_reads=100, base_k=11, n_boot=1, dim=V.DIM, n_synth=12)["run_metrics_raw"]
 
 
 QUERIES = {

@@ -5,13 +5,19 @@ Each takes DataFrames and returns a dictionary of named result tables; skeinlab.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skeinlab.operators import curvature, distance, graph, kmers, metrics, mixtures, qc, spectral
 
+CELL = "kind string, value int, reads_per_sample int, kmer int, run_seed int"  # what names a cell of a sweep
+CELL_NAMES = [t.split()[0] for t in CELL.split(", ")]
+
 
 def preprocess(reads: DataFrame, manifest: DataFrame, k: int = 21, dim: int = 16384, step: int = 4, n_groups: int = 5) -> dict[str, DataFrame]:
     """QC, histograms of both mates, distances, layouts, groups and deconvolution of the LoDepth samples."""
@@ -136,20 +142,28 @@ def validate(probs: DataFrame, samples: DataFrame, pools: list[str], dim: int =
     return out
 
 
-def sweep(sketch: Callable[[int, int], DataFrame], samples: DataFrame, pools: list[str], reads: Iterable[int] = (3000, 6000, 12000), ks: Iterable[int] = (15, 17, 19, 21), base_reads: int = 6000, base_k: int = 17, n_boot: int = 5, base_seed: int = 123, **settings) -> dict[str, DataFrame]:
+def sweep(sketch: Callable[[int, int], DataFrame], samples: DataFrame, pools: list[str], reads: Iterable[int] = (3000, 6000, 12000), ks: Iterable[int] = (15, 17, 19, 21), base_reads: int = 6000, base_k: int = 17, n_boot: int = 5, base_seed: int = 123, done: DataFrame | None = None, parallel: int = 4, **settings) -> dict[str, DataFrame]:
     """validate() over read depths and over k, n_boot seeds each. sketch(reads, k) gives the histograms; it is
-    called once for each setting, as only the mixtures depend on the seed."""
+    called once for each setting, as only the mixtures depend on the seed.
+
+    `parallel` cells run at a time, so that the small stages of one fill the gaps of another. done: the
+    run_metrics_raw of an earlier sweep with the same settings; its cells are taken over, not run again."""
     cells = [("reads", r, r, base_k, base_seed + b) for r in reads for b in range(n_boot)] + [("k", k, base_reads, k, base_seed + 1000 + b) for k in ks for b in range(n_boot)]
-    made: dict[tuple[int, int], DataFrame] = {}
-    raw = None
-    for kind, value, r, k, seed in cells:
-        if (r, k) not in made:
-            made[r, k] = graph.cut(sketch(r, k))
+    known = done.join(samples.sparkSession.createDataFrame(cells, CELL), CELL_NAMES, "left_semi") if done is not None else None
+    ready = {tuple(r) for r in known.select(*CELL_NAMES).collect()} if known is not None else set()
+    todo = [c for c in cells if c not in ready]
+    made = {(r, k): graph.cut(sketch(r, k)) for r, k in dict.fromkeys(c[2:4] for c in todo)}
+
+    def measured(cell: tuple) -> DataFrame:
+        *_, r, k, seed = cell
         found = validate(made[r, k], samples, pools, seed=seed, **settings)
-        row = found["metrics_summary"].join(found["correlations"], F.lit(True)).select(
-            F.lit(kind).alias("kind"), F.lit(value).alias("value"), F.lit(r).alias("reads_per_sample"), F.lit(k).alias("kmer"), F.lit(seed).alias("run_seed"), "roc_auc", F.col("avg_precision").alias("ap"), F.col("best_f1").alias("f1"), "spearman_rho", "pearson_r", "spearman_p", "pearson_p"
-        )
-        raw = graph.cut(row if raw is None else raw.unionByName(row))
+        row = found["metrics_summary"].join(found["correlations"], F.lit(True))
+        names = [F.lit(v).cast(t.split()[1]).alias(t.split()[0]) for v, t in zip(cell, CELL.split(", "), strict=True)]
+        return graph.cut(row.select(*names, "roc_auc", F.col("avg_precision").alias("ap"), F.col("best_f1").alias("f1"), "spearman_rho", "pearson_r", "spearman_p", "pearson_p"))
+
+    with ThreadPoolExecutor(max(1, parallel)) as threads:
+        found = [f.result() for f in [threads.submit(inheritable_thread_target(samples.sparkSession)(measured), c) for c in todo]]
+    raw = reduce(DataFrame.unionByName, found if known is None else [known, *found])
     names = ["roc_auc", "ap", "f1", "spearman_rho", "pearson_r"]
     return {
         "run_metrics_raw": raw,

@@ -7,6 +7,7 @@ tasks as they have splits, and paths may lie in any store that Spark reads."""
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 # How each reader treats a record whose key part is empty, what it does with bytes that are no UTF-8, and whether
@@ -20,8 +21,9 @@ VARIANTS = {
 BUCKET = 1 << 16  # records of a bucket in the running counts
 
 
-def numbered_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """path, n, line: every line of the files with its number from 0. Lines end at \\n, \\r\\n or \\r; .gz is unpacked."""
+def numbered_lines(spark: SparkSession, paths: list[str] | str, most: int | None = None) -> DataFrame:
+    """path, n, line: every line of the files with its number from 0, the first `most` of each file if given. Lines
+    end at \\n, \\r\\n or \\r; .gz is unpacked. No split hands on more than `most` lines, whatever the file's length."""
     text = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
     counts = text.groupBy("path", "block").agg(F.count(F.lit(1)).alias("lines"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -36,10 +38,15 @@ def numbered_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
                     now, at = key, 0
                 index.append(at)
                 at += 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(index, pa.int64())], names=["path", "block", "line", "i"])
+            found = pa.RecordBatch.from_arrays([*batch.columns, pa.array(index, pa.int64())], names=["path", "block", "line", "i"])
+            found = found if most is None else found.filter(pc.less(found.column("i"), most))
+            if found.num_rows:
+                yield found
 
     rows = text.mapInArrow(number, "path string, block bigint, line string, i bigint")
-    return rows.join(starts, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b"))).select("path", (F.col("start") + F.col("i")).alias("n"), "line")
+    starts = starts if most is None else starts.filter(F.col("start") < most)
+    lines = rows.join(starts, (F.col("path") == F.col("p")) & (F.col("block") == F.col("b"))).select("path", (F.col("start") + F.col("i")).alias("n"), "line")
+    return lines if most is None else lines.filter(F.col("n") < most)
 
 
 def read_fastq(spark: SparkSession, paths: list[str] | str, variant: str = "preprocess", max_reads: int | None = None) -> DataFrame:
@@ -47,7 +54,8 @@ def read_fastq(spark: SparkSession, paths: list[str] | str, variant: str = "prep
     (None: all; 0 gives one read, but all in the matrix variant). Header and plus lines are not looked at; seq and
     qual are stripped of white space; a record cut off by the end of the file has empty parts."""
     key, empty, errors, zero_is_all = VARIANTS[variant]
-    lines = numbered_lines(spark, paths)
+    limit = None if max_reads is None or (zero_is_all and max_reads == 0) else max(1, max_reads)
+    lines = numbered_lines(spark, paths, 4 * limit if limit and empty == "stop" else None)
     part = lambda k: F.trim(F.coalesce(F.max(F.when(F.col("n") % 4 == k, F.col("line"))), F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     records = lines.groupBy("path", F.floor(F.col("n") / 4).alias("record")).agg(part(1).alias("seq"), part(3).alias("qual"))
     if errors == "ignore":
@@ -57,8 +65,8 @@ def read_fastq(spark: SparkSession, paths: list[str] | str, variant: str = "prep
         kept = records.join(stop, "path", "left").filter("stop IS NULL OR record < stop").withColumn("read_idx", F.col("record"))
     else:
         kept = _counted(records.filter(F.col(key) != ""))
-    if max_reads is not None and not (zero_is_all and max_reads == 0):
-        kept = kept.filter(F.col("read_idx") < max(1, max_reads))
+    if limit:
+        kept = kept.filter(F.col("read_idx") < limit)
     return kept.select("path", "read_idx", "seq", "qual")
 
 

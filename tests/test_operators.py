@@ -310,6 +310,7 @@ def test_fastq_variants(spark, tmp_path):
         assert read("calibrate") == ["ACGT"]
         assert read("qc") == read("matrix") == read("matrix", 0) == ["ACGT", "GGGG", "TTTT"]
         assert read("qc", 2) == ["ACGT", "GGGG"] and read("qc", 0) == ["ACGT"]
+        assert read("preprocess", 1) == read("preprocess", 0) == ["ACGT"] and read("preprocess", 9) == ["ACGT", ""]
 
 
 def test_fastq_in_many_splits(spark, tmp_path):
@@ -318,9 +319,11 @@ def test_fastq_in_many_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
     try:
         got = fastq.read_fastq(spark, str(tmp_path / "big_1.fastq")).orderBy("read_idx").collect()
+        first = fastq.read_fastq(spark, str(tmp_path / "big_1.fastq"), "calibrate", 150).orderBy("read_idx").collect()
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [r.seq for r in got] == [s for s, _ in rows]
+    assert [r.seq for r in first] == [s for s, _ in rows[:150]]
 
 
 def test_discovery(spark, tmp_path):

@@ -59,3 +59,22 @@ def test_validation_finds_mixtures(spark):
     summary = out["metrics_summary"].first()
     assert (summary.n_individual, summary.n_synthetic, summary.n_real_pools) == (5, 6, 1) and 0 <= summary.roc_auc <= 1
     assert [r.sample for r in out["calibrated_pools"].collect()] == ["s5"]
+
+
+def test_sweep_runs_each_cell_once(spark):
+    rng = random.Random(4)
+    probs = spark.createDataFrame([(f"s{i}", b, 1 / 20) for i in range(5) for b in rng.sample(range(60), 20)], "sample string, bin int, p double")
+    asked = []
+
+    def sketch(reads, k):
+        asked.append((reads, k))
+        return probs
+
+    settings = dict(reads=(10, 20), ks=(5,), base_reads=20, base_k=5, n_boot=1, dim=60, n_synth=4, knn=2)
+    first = pipelines.sweep(sketch, probs, [], **settings)["run_metrics_raw"]
+    key = lambda df: sorted((r.kind, r.value, r.reads_per_sample, r.kmer, r.run_seed, r.roc_auc, r.f1) for r in df.collect())
+    rows = key(first)
+    assert asked == [(10, 5), (20, 5)] and [r[:5] for r in rows] == [("k", 5, 20, 5, 1123), ("reads", 10, 10, 5, 123), ("reads", 20, 20, 5, 123)]
+    again = pipelines.sweep(sketch, probs, [], done=first.filter("value <> 10"), parallel=1, **settings)
+    assert asked[2:] == [(10, 5)] and key(again["run_metrics_raw"]) == rows
+    assert again["summary_reads"].count() == 2 and again["summary_k"].first().n_runs == 1
