@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skeinlab.llm import common
 
-CACHE = 300_000  # units that a worker remembers, about 75 MB; a full cache drops its later half
+CACHE = 600_000  # values of units that a worker remembers, 150 MB at most; a full cache drops its later half
 LONGEST = 64  # characters of a unit that is remembered
 
 
@@ -211,12 +211,12 @@ class Memo:
     """What a worker remembers of units: of(ids) as bytes, one dictionary for each `of`."""
 
     def __init__(self, bpe: ForcedBoundaryBPE, ids_of: Callable[[str], list[int]], *of: Callable[[list[int]], bytes]):
-        self.bpe, self.ids_of, self.of = bpe, ids_of, of
+        self.bpe, self.ids_of, self.of, self.most = bpe, ids_of, of, CACHE // len(of)
         self.known = [_Known(partial(self._make, i)) for i in range(len(of))]
 
     def _make(self, which: int, unit: str) -> bytes:
-        if len(self.known[0]) >= CACHE:  # units met early are the frequent ones; they stay
-            for late in list(self.known[0])[CACHE // 2 :]:
+        if len(self.known[0]) >= self.most:  # units met early are the frequent ones; they stay
+            for late in list(self.known[0])[self.most // 2 :]:
                 for d in self.known:
                     d.pop(late, None)
         ids = self.ids_of(unit)
