@@ -208,8 +208,8 @@ def cut_tree(dist: DataFrame, samples: DataFrame, n_groups: int = 5) -> DataFram
 
 
 def neighbour_joining(dist: DataFrame, samples: DataFrame) -> DataFrame:
-    """newick: the neighbour-joining tree; of equal criteria the first pair in row order, limbs at least 0, six
-    decimals, the last edge split in half. Needs two samples."""
+    """newick: the neighbour-joining tree; of equal criteria (to twelve decimals) the first pair in row order,
+    limbs at least 0, six decimals, the last edge split in half. Needs two samples."""
 
     def solve(ids: list, m: np.ndarray) -> pd.DataFrame:
         if len(ids) < 2:
@@ -219,7 +219,7 @@ def neighbour_joining(dist: DataFrame, samples: DataFrame) -> DataFrame:
             total = d.sum(axis=1)
             q = (n - 2) * d - total[:, None] - total[None, :]
             np.fill_diagonal(q, np.inf)
-            i, j = sorted(divmod(int(q.argmin()), n))
+            i, j = sorted(divmod(int(q.round(12).argmin()), n))
             raw = 0.5 * d[i, j] + (total[i] - total[j]) / (2 * (n - 2))
             limb, other = max(0.0, raw), max(0.0, d[i, j] - raw)
             joined = 0.5 * (d[i] + d[j] - d[i, j])

@@ -96,6 +96,24 @@ tree(step, members, l, r, h, more) AS (
       ORDER BY round(h, 12), l[1], r[1] LIMIT 1) b
     HAVING count(*) > 1) after)"""
 
+# Neighbour joining, one row a step: the names of the open nodes and their distances as a list of rows.
+JOINS = """,
+sq AS (SELECT u, v, d FROM both_ways UNION ALL SELECT DISTINCT sample, sample, 0.0 FROM probs),
+rows AS (SELECT u, list(d ORDER BY v) AS r FROM sq GROUP BY u),
+nj(names, d) AS (
+  SELECT list(u ORDER BY u), list(r ORDER BY u) FROM rows
+  UNION ALL
+  SELECT list_append(list_transform(rest, lambda k: names[k]), printf('(%s:%.6f,%s:%.6f)', names[i], greatest(raw, 0.0), names[j], greatest(d[i][j] - raw, 0.0))),
+         list_append(list_transform(rest, lambda a: list_append(list_transform(rest, lambda b: d[a][b]), 0.5 * (d[i][a] + d[j][a] - d[i][j]))),
+                     list_append(list_transform(rest, lambda a: 0.5 * (d[i][a] + d[j][a] - d[i][j])), 0.0))
+  FROM (
+    SELECT names, d, i, j, 0.5 * d[i][j] + (total[i] - total[j]) / (2 * (n - 2)) AS raw, list_filter(range(1, n + 1), lambda k: k <> i AND k <> j) AS rest
+    FROM (SELECT names, d, n, total, best.i AS i, best.j AS j FROM (
+      SELECT *, list_min(flatten(list_transform(range(1, n), lambda a: list_transform(range(a + 1, n + 1), lambda b:
+        {'q': round((n - 2) * d[a][b] - total[a] - total[b], 12), 'i': a, 'j': b})))) AS best
+      FROM (SELECT names, d, len(names) AS n, list_transform(d, lambda r: list_sum(r)) AS total FROM nj WHERE len(names) > 2)))))"""
+NEWICK = " SELECT printf('(%s:%.6f,%s:%.6f);', names[1], greatest(d[1][2] / 2, 0.0), names[2], greatest(d[1][2] / 2, 0.0)) AS newick FROM nj WHERE len(names) = 2"
+
 GAINS = """,
 ge AS MATERIALIZED (SELECT u, v FROM sedges UNION ALL SELECT v, u FROM sedges),
 tot AS (SELECT sum(k) AS m, map_from_entries(list((u, [k]))) AS deg FROM (SELECT u, count(*) AS k FROM ge GROUP BY u)),
@@ -131,6 +149,7 @@ def oracles(similar: str) -> dict[str, str]:
         "upgma": D + MERGES + " SELECT DISTINCT step, array_to_string(l, ',') AS members_left, array_to_string(r, ',') AS members_right, round(h, 6) AS height FROM tree WHERE step > 0",
         "leaf_order": D + MERGES + f" SELECT unnest(members) AS sample, CAST(unnest(range(len(members))) AS INTEGER) AS place FROM tree WHERE step = {last}",
         "tree_groups": D + MERGES + f" SELECT unnest(members) AS sample, 'G' || place AS auto_group FROM (SELECT members, row_number() OVER (ORDER BY list_min(members)) AS place FROM tree WHERE step = {last} - 4)",
+        "neighbour_joining": D + JOINS + NEWICK,
         "communities": similar + GAINS + " SELECT unnest(members) AS sample, CAST(place AS INTEGER) AS community FROM (SELECT members, row_number() OVER (ORDER BY len(members) DESC, members[1]) AS place FROM com WHERE step = (SELECT max(step) FROM com))",
         "connected_knn": D + CONNECTED + " SELECT u, v, round(min(d), 6) AS d FROM ke WHERE k = (SELECT k FROM good) GROUP BY u, v",
     }

@@ -77,6 +77,7 @@ SELECT sample, round(100.0 * n / t, 6) AS top_prefix_pct, 100.0 * n / t > 5 AS p
     "visualise_distance": VIS + " SELECT a, b, round(d, 6) AS d FROM dist",
     "visualise_merged": MERGED + " SELECT sample_id, round(PC1, 6) AS PC1, round(PC2, 6) AS PC2, mixture_score, region FROM mg",
     "visualise_centroids": MERGED + " SELECT region, round(avg(PC1), 6) AS PC1, round(avg(PC2), 6) AS PC2 FROM mg WHERE region IS NOT NULL GROUP BY region",
+    "visualise_tree": VIS + dense_sql.JOINS + dense_sql.NEWICK,
     "kmer_plain_hash": R + f""",
 tr AS (SELECT sample, substring(seq, 3, greatest(length(seq) - 5, 0)) AS seq FROM reads),
 km AS (SELECT sample, kmer, count(*) AS n FROM (SELECT sample, substring(seq, CAST(i + 1 AS BIGINT), 9) AS kmer FROM (SELECT sample, seq, unnest(range(0, length(seq) - 8)) AS i FROM tr)) WHERE NOT contains(kmer, 'N') GROUP BY ALL),
