@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skeinlab.functions import sequence as S
 from skeinlab.operators import distance, graph, metrics
 from skeinlab.plans import read_queries, views as V
-from skeinlab.plans.graph_queries import D, G, dist, knn, nodes
+from skeinlab.plans.graph_queries import CLOSE, D, G, dist, knn, nodes
 from skeinlab.plans.read_queries import rounded
 from skeinlab.sources import fastq, figures
 
@@ -19,6 +19,13 @@ def shifted(spark, sf):
     return knn(spark, sf).select("u", "v", (F.col("d") - 0.08).alias("orc"))
 
 
+def induced(spark, sf):
+    """The graph of the report's twelve best: of closeness here, ties by id."""
+    edges = knn(spark, sf)
+    best = graph.closeness(graph.shortest_paths(edges, nodes(spark, sf))).orderBy(F.round("closeness", 9).desc(), "sample").limit(12)
+    return graph.induced(edges, best.select("sample")).select("u", "v")
+
+
 def coords(spark, sf):
     key = F.col("s_suppkey")
     return V.table(spark, sf, "supplier").select(F.col("s_acctbal").alias("PC1"), F.col("s_nationkey").cast("double").alias("PC2"), F.when(key % 4 < 3, F.concat(F.lit("G"), (key % 4).cast("string"))).alias("cultivar"))
@@ -51,7 +58,7 @@ QUERIES = {
     "group_centroids": lambda s, d: rounded(figures.group_centroids(coords(s, d), "cultivar"), "PC1", "PC2"),
     "curvature_histogram": lambda s, d: rounded(figures.curvature_histogram(shifted(s, d), "orc"), "lo", "hi"),
     "negative_incidence": lambda s, d: rounded(graph.negative_incidence(shifted(s, d), nodes(s, d)), "neg_orc_incidence"),
-    "induced_subgraph": lambda s, d: graph.induced(knn(s, d), nodes(s, d).orderBy("sample").limit(12)).select("u", "v"),
+    "induced_subgraph": induced,
     "thresholds": lambda s, d: rounded(graph.thresholds(dist(s, d)), "threshold"),
     "threshold_edges": lambda s, d: graph.threshold_edges(x := dist(s, d), graph.thresholds(x)).groupBy("step").agg(F.count(F.lit(1)).alias("edges")),
     "neighbour_ranks": lambda s, d: graph.neighbour_ranks(dist(s, d)).select("u", "v", "rank"),
@@ -73,7 +80,7 @@ b AS (SELECT min(orc) AS lo, max(orc) AS hi FROM sh)
 SELECT bin, round(lo + bin * (hi - lo) / 20, 6) AS lo, round(lo + (bin + 1) * (hi - lo) / 20, 6) AS hi, n
 FROM (SELECT CAST(least(floor((orc - lo) / ((hi - lo) / 20)), 19) AS INTEGER) AS bin, lo, hi, count(*) AS n FROM sh, b GROUP BY ALL)""",
     "negative_incidence": SHIFTED + " SELECT sample, round(coalesce((SELECT sum(greatest(-orc, 0)) FROM sh WHERE u = sample OR v = sample), 0), 6) AS neg_orc_incidence FROM (SELECT DISTINCT sample FROM probs)",
-    "induced_subgraph": G + ", t AS (SELECT DISTINCT sample FROM probs ORDER BY sample LIMIT 12) SELECT u, v FROM edges WHERE u IN (SELECT sample FROM t) AND v IN (SELECT sample FROM t)",
+    "induced_subgraph": CLOSE + ", t AS (SELECT u AS sample FROM cl ORDER BY round(closeness, 9) DESC, u LIMIT 12) SELECT u, v FROM edges WHERE u IN (SELECT sample FROM t) AND v IN (SELECT sample FROM t)",
     "thresholds": D + f" SELECT CAST(unnest(range(21)) AS INTEGER) AS step, round(unnest(quantile_cont(d, {[0.05 + 0.9 * i / 20 for i in range(21)]})), 6) AS threshold FROM both_ways",
     "threshold_edges": D + f", c AS (SELECT CAST(unnest(range(21)) AS INTEGER) AS step, unnest(quantile_cont(d, {[0.05 + 0.9 * i / 20 for i in range(21)]})) AS threshold FROM both_ways) SELECT step, count(*) AS edges FROM c JOIN dist ON d <= threshold GROUP BY step",
     "neighbour_ranks": G + " SELECT u, v, CAST(r AS INTEGER) AS rank FROM near",

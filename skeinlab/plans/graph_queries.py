@@ -42,12 +42,19 @@ def curvature_of(spark, sf, kind):
 
 
 def run_geometry(spark, sf):
-    return pipelines.geometry(dist(spark, sf), nodes(spark, sf), thresholds=0)["mixture_ranking"]
+    return geometry_tables(spark, sf)["mixture_ranking"]
+
+
+def geometry_tables(spark, sf):
+    return pipelines.geometry(dist(spark, sf), nodes(spark, sf), thresholds=0)
+
+
+def preprocessed(spark, sf, table):
+    return pipelines.preprocess(V.reads_with_quality(spark, sf), read_queries.manifest(spark, sf), V.K, V.DIM, V.STEP)[table]
 
 
 def run_preprocess(spark, sf):
-    out = pipelines.preprocess(V.reads_with_quality(spark, sf), read_queries.manifest(spark, sf), V.K, V.DIM, V.STEP)
-    return out["pool_weights_individual"]
+    return preprocessed(spark, sf, "pool_weights_individual")
 
 
 def run_validate(spark, sf):
@@ -55,7 +62,7 @@ def run_validate(spark, sf):
 
 
 def run_metadata(spark, sf):
-    ranked = pipelines.geometry(dist(spark, sf), nodes(spark, sf), thresholds=0)["node_metrics"].select("sample", "mixture_score")
+    ranked = geometry_tables(spark, sf)["node_metrics"].select("sample", "mixture_score")
     return pipelines.metadata_check(ranked, pools=["NATION_6", "NATION_18", "NATION_17"])["metrics_mixture_score"]
 
 
@@ -108,6 +115,10 @@ QUERIES = {
     "communities": lambda s, d: spectral.communities(graph.similarity_edges(dist(s, d))),
     "deconvolution": lambda s, d: rounded(spectral.deconvolve(p := probs(s, d), p.filter("sample < 'NATION_13'"), p.filter("sample >= 'NATION_13'")), "weight", "residual_norm"),
     "run_preprocess": run_preprocess,
+    "preprocess_distance": lambda s, d: rounded(preprocessed(s, d, "kmer_js_distance"), "d"),
+    "preprocess_quality": lambda s, d: rounded(preprocessed(s, d, "quality_profile"), "mean_q"),
+    "geometry_nodes": lambda s, d: rounded(geometry_tables(s, d)["node_metrics"].select("sample", "degree", "betweenness", "closeness", "mean_edge_length", "forman_scalar"), "betweenness", "closeness", "mean_edge_length", "forman_scalar"),
+    "geometry_edges": lambda s, d: rounded(geometry_tables(s, d)["edge_metrics"].select("u", "v", "distance", "forman_F", "triangles"), "distance"),
     "run_geometry": run_geometry,
     "run_validate": run_validate,
     "run_metadata": run_metadata,
@@ -159,15 +170,26 @@ p1 AS (SELECT u, v, d FROM adj UNION ALL SELECT DISTINCT sample, sample, 0.0 FRO
 """ + ",\n".join(_squared(f"p{1 << i}", f"p{2 << i}") for i in range(5))
 
 ORACLES["shortest_paths"] = PATHS + " SELECT u, v, round(d, 6) AS d FROM p32"
-ORACLES["closeness"] = PATHS + """,
-c AS (SELECT u, count(*) - 1 AS k, sum(d) AS t, (SELECT count(DISTINCT sample) FROM probs) AS n FROM p32 GROUP BY u)
-SELECT u AS sample, round(CASE WHEN t > 0 AND n > 1 THEN k / t * k / (n - 1) ELSE 0 END, 6) AS closeness FROM c"""
+CLOSE = PATHS + """,
+c AS (SELECT u, count(*) - 1 AS k, sum(d) AS t, (SELECT count(DISTINCT sample) FROM probs) AS n FROM p32 GROUP BY u),
+cl AS (SELECT u, CASE WHEN t > 0 AND n > 1 THEN k / t * k / (n - 1) ELSE 0 END AS closeness FROM c)"""
+ORACLES["closeness"] = CLOSE + " SELECT u AS sample, round(closeness, 6) AS closeness FROM cl"
 # Edge lengths are real numbers without ties, so a pair has one shortest path.
-ORACLES["betweenness"] = PATHS + """,
+BETWEEN = """,
 m AS (SELECT x.v AS sample FROM p32 p JOIN p32 x ON x.u = p.u JOIN p32 y ON y.u = x.v AND y.v = p.v
       WHERE p.u < p.v AND x.v <> p.u AND x.v <> p.v AND abs(x.d + y.d - p.d) <= 1e-10 * (1 + p.d)),
-n AS (SELECT count(DISTINCT sample) AS n FROM probs)
-SELECT s.sample, round((SELECT count(*) FROM m WHERE m.sample = s.sample) * 2.0 / ((n - 1) * (n - 2)), 6) AS betweenness FROM (SELECT DISTINCT sample FROM probs) s, n"""
+n AS (SELECT count(DISTINCT sample) AS n FROM probs),
+bt AS (SELECT s.sample, (SELECT count(*) FROM m WHERE m.sample = s.sample) * 2.0 / ((n - 1) * (n - 2)) AS betweenness FROM (SELECT DISTINCT sample FROM probs) s, n)"""
+ORACLES["betweenness"] = PATHS + BETWEEN + " SELECT sample, round(betweenness, 6) AS betweenness FROM bt"
+FORMAN = TRI + """,
+fr AS (SELECT t.u, t.v, 4 - x.degree - y.degree + 3 * triangles AS forman_F, triangles FROM tri t JOIN deg x ON x.sample = t.u JOIN deg y ON y.sample = t.v)"""
+# The profiles' four nearest neighbours connect all samples, so the connected graph is that of knn_graph.
+ORACLES["geometry_nodes"] = CLOSE + BETWEEN + FORMAN + """
+SELECT sample, degree, round(betweenness, 6) AS betweenness, round(closeness, 6) AS closeness,
+       round((SELECT avg(d) FROM adj WHERE adj.u = sample), 6) AS mean_edge_length,
+       round((SELECT avg(forman_F) FROM fr WHERE fr.u = sample OR fr.v = sample), 6) AS forman_scalar
+FROM bt JOIN deg USING (sample) JOIN cl ON cl.u = sample"""
+ORACLES["geometry_edges"] = G + FORMAN + " SELECT u, v, round(d, 6) AS distance, forman_F, triangles FROM fr JOIN edges USING (u, v)"
 
 ORACLES["topology_curve"] = D + """,
 cuts AS (SELECT unnest(quantile_cont(d, """ + str([0.05 + 0.9 * i / 20 for i in range(21)]) + """)) AS threshold, CAST(unnest(range(21)) AS INTEGER) AS step FROM both_ways),
@@ -187,3 +209,5 @@ SELECT step, round(threshold, 6) AS threshold, CAST((SELECT count(*) FROM ids) A
        CAST(chi AS BIGINT) AS euler_clique_complex, top AS max_clique_size FROM cuts JOIN es USING (step) JOIN parts USING (step) JOIN chi USING (step)"""
 
 ORACLES |= dense_sql.oracles(D + SIM)
+ORACLES["preprocess_distance"] = read_queries.ORACLES["js_distance"]
+ORACLES["preprocess_quality"] = read_queries.ORACLES["qc_group_profile"]
