@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinlab.llm import bpe, exact_dedup, fingerprints, html_text, langid, mixing, ngram_join, revisits, token_store, transcripts
+from skeinlab.llm import bpe, exact_dedup, fingerprints, html_text, langid, merkle, mixing, ngram_join, revisits, token_store, transcripts
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op12_merkle": merkle.op12_merkle,
 }
 
 ORACLES = {
     "op3_revisits": revisits.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op12_merkle": merkle.ORACLE,
 }
