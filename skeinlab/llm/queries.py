@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinlab.llm import bpe, exact_dedup, fingerprints, html_text, langid, merkle, mixing, ngram_join, revisits, token_store, transcripts
+from skeinlab.llm import bpe, exact_dedup, fingerprints, html_text, langid, merkle, mixing, ngram_join, phrases, revisits, token_store, transcripts
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
     "op12_merkle": merkle.op12_merkle,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 ORACLES = {
