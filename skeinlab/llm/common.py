@@ -6,10 +6,15 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WHITE = " \t\n\x0b\x0c\r"  # the characters of [\x20\x09-\x0D]
 HOT = 1_000  # rows of a key that may meet in one task, where the table is small
+BUCKET_BYTES = 32 << 20  # text of a bucket, up to MAX_BUCKETS buckets
+MAX_BUCKETS = 100_000
 SENT = 100_000  # the most keys that are sent to all tasks
 
 _held: dict[str, object] = {}
@@ -63,6 +68,37 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def in_parts(docs: DataFrame, part_bytes: int) -> tuple[DataFrame, Callable[[], None]]:
+    """docs' doc_id and text with `part` (bigint), a number that rows of about part_bytes bytes of text together share,
+    as a table in the shared folder, in buckets by part: grouping by part shuffles no text. A longer text is a
+    part of its own. The second result drops the table."""
+    spark = docs.sparkSession
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def numbered(batches):
+        now, size = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            parts = []
+            for n in pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist():
+                if size and size + n > part_bytes:
+                    now, size = now + 1, 0
+                size += n
+                parts.append(now)
+            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), b.column("doc_id"), b.column("text")], names=["part", "doc_id", "text"])
+
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1))
+    name, path = f"parts_{uuid.uuid4().hex}", scratch(spark, "parts")
+    rows = docs.select("doc_id", "text").mapInArrow(numbered, f"part bigint, doc_id {kind}, text string")
+    rows.write.format("parquet").bucketBy(buckets, "part").option("path", path).option("compression", "zstd").saveAsTable(name)
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE {name}")
+        remove(spark, path)
+
+    return spark.table(name), drop
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """rows joined to groups, which hold one row for each key and in `size` the number of rows that have it.
 

@@ -10,14 +10,12 @@ hit of a phrase locates windows, which are checked against the confirmed ones, a
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skeinlab.llm import common
@@ -25,8 +23,6 @@ from skeinlab.llm import common
 WINDOW = 35
 GRAM = 16  # words of a gram: less than half of a window
 PART_BYTES = 8 << 20  # text of a part; one longer document is a part of its own
-BUCKET_BYTES = 32 << 20  # text of a bucket, up to MAX_BUCKETS buckets
-MAX_BUCKETS = 100_000
 SHARD_WORDS = 1_000_000  # words of the passages of one automaton, so that each has a code point of its own
 BLOCK = 1 << 20  # bytes or words that are hashed at once
 
@@ -241,30 +237,6 @@ def without_repeats(docs: pa.Table, confirmed: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs.column("doc_id"), "n_words": pa.array(part.count.astype(np.int64)), "n_removed": pa.array(removed), "kept_sha256": pa.array(digests)})
 
 
-def in_parts(docs: DataFrame) -> tuple[DataFrame, str, str]:
-    """docs' doc_id and text with `part`, as a table in buckets by part in the shared folder; its name and path."""
-    spark = docs.sparkSession
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def numbered(batches):
-        now, size = TaskContext.get().partitionId() << 32, 0
-        for b in batches:
-            parts = []
-            for n in pc.fill_null(pc.binary_length(b.column("text")), 0).to_pylist():
-                if size and size + n > PART_BYTES:
-                    now, size = now + 1, 0
-                size += n
-                parts.append(now)
-            yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), b.column("doc_id"), b.column("text")], names=["part", "doc_id", "text"])
-
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1))
-    name, path = f"parts_{uuid.uuid4().hex}", common.scratch(spark, "parts")
-    rows = docs.select("doc_id", "text").mapInArrow(numbered, f"part bigint, doc_id {kind}, text string")
-    rows.write.format("parquet").bucketBy(buckets, "part").option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name), name, path
-
-
 def repeats_removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row of docs (doc_id, text): the words that some window of
     WINDOW words covers whose words also start elsewhere in the table go.
@@ -274,8 +246,7 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     not read. Empty input: no rows. Windows are equal when their 64-bit hashes and the 64-bit hashes of the grams that
     name them are. Texts are not shuffled; of windows only those whose name recurs are, once for each part that
     has them, and a very frequent one has a row for each part at most."""
-    spark = docs.sparkSession
-    table, name, path = in_parts(docs)
+    table, drop = common.in_parts(docs, PART_BYTES)
     kind = docs.schema["doc_id"].dataType.simpleString()
     grams = table.select("part", "text").groupBy("part").applyInArrow(named_grams, "part bigint, name bigint, n bigint")
     recurring = grams.withColumn("all", F.sum("n").over(Window.partitionBy("name"))).filter("all > 1").select("part", "name")
@@ -285,8 +256,7 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     confirmed = common.stored(confirmed, "confirmed")
     out = table.groupBy("part").cogroup(confirmed.groupBy("part")).applyInArrow(without_repeats, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
     out = common.stored(out, "kept")
-    spark.sql(f"DROP TABLE {name}")
-    common.remove(spark, path)
+    drop()
     return out
 
 

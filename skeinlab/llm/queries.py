@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skeinlab.llm import bpe, exact_dedup, fingerprints, html_text, langid, merkle, mixing, ngram_join, phrases, revisits, token_store, transcripts
+from skeinlab.llm import align, bpe, exact_dedup, fingerprints, html_text, langid, merkle, mixing, ngram_join, phrases, revisits, token_store, transcripts
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_mixing": mixing.op10_mixing,
+    "op11_align": align.op11_align,
     "op12_merkle": merkle.op12_merkle,
     "op13_phrases": phrases.op13_phrases,
 }
@@ -23,5 +24,6 @@ ORACLES = {
     "op3_revisits": revisits.ORACLE,
     "op9_exact_dedup": exact_dedup.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_align": align.op11_align,
     "op12_merkle": merkle.ORACLE,
 }
