@@ -239,7 +239,7 @@ def fit(pages: DataFrame, sample: int = TRAIN_PAGES, strength: float = 1.0) -> n
     """Weights of the classifier. Blocks that their mark-up gives away teach it: those below boilerplate
     elements and names, and those below an article or main element. A bounded sample of pages is read."""
     n, unit = pages.count(), 1 << 40
-    chosen = pages.filter(F.pmod(F.xxhash64("page_id", F.lit(29)), F.lit(unit)) < int(min(1.0, sample / max(1, n)) * unit) + 1)
+    chosen = pages.filter(F.pmod(F.xxhash64("page_id", "html", F.lit(29)), F.lit(unit)) < int(min(1.0, sample / max(1, n)) * unit) + 1)
 
     def rows(batches):
         for b in batches:
@@ -292,9 +292,8 @@ def cut(gain: list[float], edges: dict[int, dict[int, float]]) -> list[bool]:
                 queue.append(j)
             near[i] = {}
     rest = [i for i in range(n) if label[i] is None]
-    if rest:
-        for i, content in zip(rest, _max_flow([g[i] for i in rest], [{rest.index(j): w for j, w in near[i].items()} for i in rest] if len(rest) < 64 else _renumbered(rest, near)), strict=True):
-            label[i] = content
+    for i, content in zip(rest, _max_flow([g[i] for i in rest], _renumbered(rest, near)), strict=True):
+        label[i] = content
     return [bool(x) for x in label]
 
 
@@ -304,45 +303,67 @@ def _renumbered(rest: list[int], near: list[dict[int, int]]) -> list[dict[int, i
 
 
 def _max_flow(gain: list[int], near: list[dict[int, int]]) -> list[bool]:
-    """Source side of the minimum cut with terminal capacities max(gain, 0) and max(-gain, 0): Dinic's levels."""
+    """Source side of the minimum cut with terminal capacities max(gain, 0) and max(-gain, 0): Dinic's levels.
+
+    Arc e and its reverse are e and e ^ 1. In a phase each node goes on with the arc it came to last, and after an
+    augmentation the search goes on from the tail of the first arc that is full."""
     n = len(gain)
     s, t = n, n + 1
-    cap = [dict(x) for x in near] + [{}, {}]
+    out: list[list[int]] = [[] for _ in range(n + 2)]
+    head: list[int] = []
+    cap: list[int] = []
+
+    def arc(u: int, v: int, there: int, back: int) -> None:
+        out[u].append(len(head))
+        out[v].append(len(head) + 1)
+        head.extend((v, u))
+        cap.extend((there, back))
+
     for i, x in enumerate(gain):
         if x > 0:
-            cap[s][i], cap[i][s] = x, 0
+            arc(s, i, x, 0)
         elif x < 0:
-            cap[i][t], cap[t][i] = -x, 0
+            arc(i, t, -x, 0)
+        for j, w in near[i].items():
+            if i < j:
+                arc(i, j, w, w)
     while True:
-        level = {s: 0}
+        level = [-1] * (n + 2)
+        level[s] = 0
         queue = deque([s])
         while queue:
             u = queue.popleft()
-            for v, c in cap[u].items():
-                if c and v not in level:
-                    level[v] = level[u] + 1
-                    queue.append(v)
-        if t not in level:
-            return [i in level for i in range(n)]
-        todo = {u: iter(list(cap[u])) for u in level}
-        path = [s]
-        while path:
-            u = path[-1]
+            for e in out[u]:
+                if cap[e] and level[head[e]] < 0:
+                    level[head[e]] = level[u] + 1
+                    queue.append(head[e])
+        if level[t] < 0:
+            return [x >= 0 for x in level[:n]]
+        at = [0] * (n + 2)
+        path: list[int] = []
+        u = s
+        while True:
             if u == t:
-                low = min(cap[a][b] for a, b in zip(path, path[1:], strict=False))
-                for a, b in zip(path, path[1:], strict=False):
-                    cap[a][b] -= low
-                    cap[b][a] = cap[b].get(a, 0) + low
-                path = [s]
-                todo = {u: iter(list(cap[u])) for u in level}
-                continue
-            for v in todo[u]:
-                if cap[u][v] and level.get(v) == level[u] + 1:
-                    path.append(v)
+                low = min(cap[e] for e in path)
+                for e in path:
+                    cap[e] -= low
+                    cap[e ^ 1] += low
+                first = next(k for k, e in enumerate(path) if not cap[e])
+                u = head[path[first] ^ 1]
+                del path[first:]
+            while at[u] < len(out[u]):
+                e = out[u][at[u]]
+                if cap[e] and level[head[e]] == level[u] + 1:
                     break
+                at[u] += 1
+            if at[u] < len(out[u]):
+                path.append(e)
+                u = head[e]
+            elif u == s:
+                break
             else:
-                path.pop()
-                level.pop(u)
+                u = head[path.pop() ^ 1]
+                at[u] += 1
 
 
 def tree_distance(a: Node, b: Node) -> int:

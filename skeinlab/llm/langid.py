@@ -51,7 +51,7 @@ def _buckets(chars: np.ndarray, starts: int) -> Iterator[np.ndarray]:
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray] | None:
     """(languages, log probabilities as buckets x languages), or None without labelled text.
 
-    The prior is even. The fit reads a sample by hash of about rows / languages labelled rows of each language
+    The prior is even. The fit reads a sample by hash of id and text of about rows / languages labelled rows of each language
     outside the held-out part (all, where there are fewer, so that rare languages are learned too), counts grams in
     the tasks and sums the counts per language and bucket in Spark; the driver gets at most languages x buckets
     numbers. More than MAX_LANGUAGES languages are an error."""
@@ -64,7 +64,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]
     unit = 1 << 40
     parts = {lang: int(min(1.0, rows / len(seen) / n) * unit) + 1 for lang, n in seen.items()}
     share = F.create_map(*[F.lit(x) for pair in parts.items() for x in pair])
-    sample = usable.filter(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(unit)) < share[F.col("lang")])
+    sample = usable.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(unit)) < share[F.col("lang")])
 
     def count(batches):
         counts: dict[str, np.ndarray] = {}

@@ -107,15 +107,16 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, end_id: int
     """Encode docs (doc_id, text), append end_id to each, and write blocks in ascending doc_id order to `out`.
 
     Null ids come first, equal ids by a hash of the text; null and empty texts are the end id alone. Only the
-    texts are shuffled, once, to ranges of about rows_each ids cut at approximate percentiles; a range is
-    sorted by Spark (which spills) and streamed, and memory holds one block. A lost task is run again and its
+    texts are shuffled, once, to ranges of about rows_each ids cut at approximate percentiles, and a file holds
+    ranges that follow one another, so that the files by name hold the ids in order; a range is sorted by Spark (which spills) and streamed, and memory holds one block. A lost task is run again and its
     files committed once. Empty input: a data set without rows."""
     path = path or bpe.vocabulary_path()
     spark = docs.sparkSession
     points = common.size_buckets(docs.select("doc_id"), "doc_id", rows_each)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(common.bucket_of(F.col("doc_id"), points).alias("range"), "doc_id", "text")
-    ordered = rows.repartitionById(n, F.col("range") % n).sortWithinPartitions("range", "doc_id", F.xxhash64("text"))
+    file = F.floor(F.col("range").cast("bigint") * n / (len(points) + 1)).cast("int")
+    ordered = rows.repartitionById(n, file).sortWithinPartitions("range", "doc_id", F.xxhash64("text"))
 
     def run(batches):
         memo = bpe.remembered(path, "ids", lambda ids: array("I", ids).tobytes(), by_library=True)
