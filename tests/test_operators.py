@@ -326,6 +326,85 @@ def test_fastq_in_many_splits(spark, tmp_path):
     assert [r.seq for r in first] == [s for s, _ in rows[:150]]
 
 
+def read_by_hand(path, variant, most):
+    """The records of a file as the four readers of single files give them."""
+    key, empty, errors, zero_is_all, any_case = fastq.VARIANTS[variant]
+    most = None if most is None or (zero_is_all and most == 0) else most
+    name = str(path).lower() if any_case else str(path)
+    out = []
+    with (gzip.open if name.endswith(".gz") else open)(path, "rt", encoding="utf-8", errors=errors) as f:
+        while f.readline():
+            seq, _, qual = f.readline().strip(), f.readline(), f.readline().strip()
+            if not (seq if key == "seq" else qual):
+                if empty == "stop":
+                    break
+                continue
+            out.append((len(out), seq, qual))
+            if most is not None and len(out) >= most:
+                break
+    return out
+
+
+@pytest.mark.parametrize("seed", (1, 4))
+def test_fastq_ranges_against_single_readers(spark, tmp_path, seed):
+    rng = random.Random(seed)
+    ends = [b"\n", b"\r\n", b"\r"] if seed % 2 else [b"\n"]
+    lines = []
+    for i in range(rng.randint(1, 400)):
+        part = lambda: rng.choice([b"ACGT" * rng.randint(0, 30), b"", b" ", b"\xff\xfeAC", b"\xc2\xa0", "é\u2028".encode()] if rng.random() < 0.03 * seed else [b"ACGTN" * rng.randint(1, 20)])  # noqa: E731, B023
+        lines += [b"@r%d" % i, part(), b"+", part()]
+    data = b"".join(x + rng.choice(ends) for x in lines[: len(lines) - rng.choice([0, 0, 1, 2, 3])])
+    data = data if rng.random() < 0.5 else data.rstrip(b"\r\n")
+    for name in ("a_1.fastq", "b_1.fastq.GZ", "c_1.fastq.gz"):
+        (tmp_path / name).write_bytes(gzip.compress(data) if name.lower().endswith(".gz") else data)
+    for size, limits in (("64", (None,)), ("300", (0, 5))):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            for variant in fastq.VARIANTS:
+                for most in limits:
+                    got = {}
+                    for r in fastq.read_fastq(spark, str(tmp_path), variant, most).collect():
+                        got.setdefault(r.path.rsplit("/", 1)[1], []).append((r.read_idx, r.seq, r.qual))
+                    for name in ("a_1.fastq", "b_1.fastq.GZ", "c_1.fastq.gz"):
+                        assert sorted(got.get(name, [])) == read_by_hand(tmp_path / name, variant, most), (name, variant, most, size)
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_fastq_plan_and_early_stop(spark, tmp_path, monkeypatch):
+    path = tmp_path / "big_1.fastq"
+    path.write_bytes(b"".join(b"@r%d\n%s\n+\n%s\n" % (i, b"ACGT" * 25, b"I" * 100) for i in range(60_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000000")
+    try:
+        reads = fastq.read_fastq(spark, str(path), "qc")
+        plan = reads._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "BatchScan" in plan and reads.rdd.getNumPartitions() == 13
+        assert reads.select(S.F.count_distinct("read_idx"), S.F.max("read_idx")).first()[:] == (60_000, 59_999)
+        assert fastq.read_fastq(spark, str(path), "qc", 100).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+    class Counting:
+        def __init__(self, f):
+            self.f, self.n = f, 0
+
+        def read(self, n=-1):
+            data = self.f.read(n)
+            self.n += len(data)
+            return data
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *x):
+            self.f.close()
+
+    file = Counting(open(path, "rb"))
+    monkeypatch.setattr(fastq, "opened", lambda p: file)
+    assert len(list(fastq.FastqReader([], "qc", 100).records(fastq.Range(str(path))))) == 100
+    assert file.n <= fastq.CHUNK < path.stat().st_size
+
+
 def test_discovery(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         (tmp_path / "x.txt").write_text("")
