@@ -99,6 +99,26 @@ def in_parts(docs: DataFrame, part_bytes: int) -> tuple[DataFrame, Callable[[],
     return spark.table(name), drop
 
 
+class Scratch:
+    """Tables in the shared folder that a job drops again when it has read them."""
+
+    def __init__(self):
+        self.held: list[tuple[DataFrame, str]] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        path = scratch(df.sparkSession, name)
+        df.write.parquet(path)
+        out = df.sparkSession.read.schema(df.schema).parquet(path)
+        self.held.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes these tables, or all."""
+        for df, path in [x for x in self.held if not tables or any(x[0] is t for t in tables)]:
+            remove(df.sparkSession, path)
+            self.held = [x for x in self.held if x[1] != path]
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
     """rows joined to groups, which hold one row for each key and in `size` the number of rows that have it.
 

@@ -23,7 +23,8 @@ from skeinlab.llm import common
 WINDOW = 35
 GRAM = 16  # words of a gram: less than half of a window
 PART_BYTES = 8 << 20  # text of a part; one longer document is a part of its own
-SHARD_WORDS = 1_000_000  # words of the passages of one automaton, so that each has a code point of its own
+SHARD_WORDS = 500_000  # words of the passages of one automaton
+DIGITS = 5  # of 4 bits, in which the automaton is given a word: at most 2^20 distinct ones, more than SHARD_WORDS
 BLOCK = 1 << 20  # bytes or words that are hashed at once
 
 _white = np.zeros(256, dtype=bool)
@@ -134,12 +135,21 @@ def _part(table: pa.Table) -> int:
     return table.column("part")[0].as_py()
 
 
+def _among(x: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashes x that are among some, an ascending array, and their numbers in it. A table of the first
+    22 bits leaves few for the search."""
+    first = np.zeros(1 << 22, dtype=bool)
+    first[some >> np.uint64(42)] = True
+    maybe = np.flatnonzero(first[x >> np.uint64(42)])
+    at = np.searchsorted(some, x[maybe])
+    sure = np.flatnonzero(some[np.minimum(at, len(some) - 1)] == x[maybe]) if len(some) else maybe
+    return maybe[sure], at[sure]
+
+
 def _within(x: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """Which x are among some, an ascending array."""
-    if not len(some) or not len(x):
-        return np.zeros(len(x), dtype=bool)
-    at = np.searchsorted(some, x)
-    return some[np.minimum(at, len(some) - 1)] == x
+    out = np.zeros(len(x), dtype=bool)
+    out[_among(x, some)[0]] = True
+    return out
 
 
 def _known(column: pa.ChunkedArray) -> np.ndarray:
@@ -189,21 +199,27 @@ def located(words: np.ndarray, found: list[tuple[int, int]], window: int) -> np.
     """Starts of the windows that hold a phrase of the passages, by an automaton over the words.
 
     Phrases are the whole blocks of (window + 1) / 2 words that follow one another in a passage: each window of it
-    holds one. Each distinct word of the passages is a code point, all others share one that no phrase has."""
+    holds one. A word of the passages is its number in DIGITS digits, each with an alphabet of its own, so that nodes
+    have few children and phrases match whole words only; any other word is one sign that no phrase has."""
     import ahocorasick
 
     size = (window + 1) // 2
-    kinds = np.unique(np.concatenate([words[a:b] for a, b in found]))
-    code = np.searchsorted(kinds, words)
-    code = np.where(kinds[np.minimum(code, len(kinds) - 1)] == words, code + 1, 0)
-    line = code.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    where, code = _among(words, np.unique(np.concatenate([words[a:b] for a, b in found])))
+    width = np.ones(len(words) + 1, dtype=np.int64)
+    width[where + 1] = DIGITS
+    width[0] = 0
+    places = np.cumsum(width)
+    signs = np.zeros(places[-1], dtype=np.uint8)
+    for k in range(DIGITS):
+        signs[places[where] + k] = ((code >> 4 * k) & 15) + 16 * k + 1
+    line = signs.tobytes().decode("latin-1")
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
     for a, b in found:
         for at in range(a, b - size + 1, size):
-            automaton.add_word(line[at : at + size])
+            automaton.add_word(line[places[at] : places[at + size]])
     automaton.make_automaton()
     ends = np.fromiter((end for end, _ in automaton.iter(line)), dtype=np.int64)
-    return covered(ends - size + 1 - (window - size), window - size + 1, len(words))
+    return covered(np.searchsorted(places, ends + 1) - size - (window - size), window - size + 1, len(words))
 
 
 def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
@@ -250,12 +266,14 @@ def repeats_removed(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     grams = table.select("part", "text").groupBy("part").applyInArrow(named_grams, "part bigint, name bigint, n bigint")
     recurring = grams.withColumn("all", F.sum("n").over(Window.partitionBy("name"))).filter("all > 1").select("part", "name")
-    recurring = common.stored(recurring, "recurring")
+    scratch = common.Scratch()
+    recurring = scratch.stored(recurring, "recurring")
     found = table.select("part", "text").groupBy("part").cogroup(recurring.groupBy("part")).applyInArrow(named_windows, "part bigint, name bigint, hash bigint, n bigint")
     confirmed = found.withColumn("all", F.sum("n").over(Window.partitionBy("name", "hash"))).filter("all > 1").select("part", "hash")
-    confirmed = common.stored(confirmed, "confirmed")
+    confirmed = scratch.stored(confirmed, "confirmed")
     out = table.groupBy("part").cogroup(confirmed.groupBy("part")).applyInArrow(without_repeats, f"doc_id {kind}, n_words bigint, n_removed bigint, kept_sha256 string")
     out = common.stored(out, "kept")
+    scratch.drop()
     drop()
     return out
 
