@@ -25,8 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def neighbour_ranks(dist: DataFrame) -> DataFrame:
-    """u, v, d, rank: of each sample its others by distance, ties by id."""
-    return both_ways(dist).withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("d", "v")))
+    """u, v, d, rank: of each sample its others by distance, ties by id. Distances that are null or no finite number
+    join nobody."""
+    finite = dist.filter(F.col("d").isNotNull() & ~F.isnan("d") & (F.abs("d") < float("inf")))
+    return both_ways(finite).withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy("d", "v")))
 
 
 def canonical(directed: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def connected_knn_graph(dist: DataFrame, k: int = 4) -> tuple[DataFrame, int]:
     Ranks are taken once. A graph of rank at most r is connected from some r on, so r is found by bisection
     over component counts; with one sample k stays."""
     ranks = cut(neighbour_ranks(dist))
-    n = ranks.select("u").distinct().count()
+    n = both_ways(dist).select("u").distinct().count()
     at = lambda r: canonical(ranks.filter(F.col("rank") <= r))
     joined = lambda r: components(at(r)).select("label").distinct().count() == 1
     if n < 2:

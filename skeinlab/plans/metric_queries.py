@@ -38,6 +38,8 @@ def runs(spark, sf):
 
 EVALUATED = ["accuracy", "precision", "recall", "f1", "roc_auc", "avg_precision", "p_fisher_enrichment", "p_hypergeom_enrichment"]
 
+CORRELATED = ["pearson_r", "spearman_rho", "pearson_p", "spearman_p"]
+
 QUERIES = {
     "roc_auc": lambda s, d: rounded(M.roc_auc(V.scored_labels(s, d)), "roc_auc"),
     "average_precision": lambda s, d: rounded(M.average_precision(V.scored_labels(s, d)), "avg_precision"),
@@ -48,7 +50,9 @@ QUERIES = {
     "top_k": lambda s, d: M.top_k(V.scored_labels(s, d)).select("sample", "y", "score", "pred"),
     "confusion": lambda s, d: M.confusion(M.top_k(V.scored_labels(s, d))),
     "label_counts": lambda s, d: M.label_counts(V.scored_labels(s, d)),
-    "correlations": lambda s, d: rounded(M.correlations(lengths(s, d), "x", "y").select("n", "pearson_r", "spearman_rho"), "pearson_r", "spearman_rho"),
+    "correlations": lambda s, d: rounded(M.correlations(lengths(s, d), "x", "y"), *CORRELATED),
+    "correlations_weak": lambda s, d: rounded(M.correlations(V.table(s, d, "orders"), "o_totalprice", "o_custkey"), *CORRELATED),
+    "roc_corners": lambda s, d: rounded(M.roc_points(V.scored_labels(s, d), drop_intermediate=True), "fpr", "tpr"),
     "sweep_summary": lambda s, d: rounded(M.summarise(runs(s, d), "reads", ["roc_auc", "f1"]), "roc_auc_mean", "roc_auc_sd", "f1_mean", "f1_sd"),
     "zscores": lambda s, d: rounded(M.zscores(V.scored_labels(s, d).select("sample", "score"), ["score"]), "score_z"),
     "pool_labels": lambda s, d: M.pool_labels(runinfo(s, d)),
@@ -63,6 +67,19 @@ lab AS (SELECT run AS sample, CASE max(CASE WHEN t LIKE '%pool-gbs%' OR t LIKE '
 AUC = "(SELECT sum(pos * (n - fp) + 0.5 * pos * neg) / max(p * n) FROM pts)"
 AP = "(SELECT sum(pos / p * tp / (tp + fp)) FROM pts)"
 
+
+
+def correlated(pairs: str) -> str:
+    """Both correlations of x and y with their p: the part of the integral of cos^(n - 3) beyond the angle whose
+    sine is the correlation, by Simpson's rule in steps of a thousandth of the curve's width."""
+    p = """least(1, list_sum(list_transform(range(12001), lambda i: (CASE WHEN i IN (0, 12000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * greatest(cos(least(asin(abs({r})) + i * h, pi() / 2)), 0) ** (n - 3)))
+         / list_sum(list_transform(range(12001), lambda i: (CASE WHEN i IN (0, 12000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * greatest(cos(least(i * h, pi() / 2)), 0) ** (n - 3))))"""
+    return f"""WITH b AS ({pairs}),
+r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM b),
+c AS (SELECT count(*) AS n, corr(x, y) AS pr, corr(rx, ry) AS sr, 0.001 / sqrt(count(*)) AS h FROM r)
+SELECT n, round(pr, 6) AS pearson_r, round(sr, 6) AS spearman_rho, round({p.format(r="pr")}, 6) AS pearson_p, round({p.format(r="sr")}, 6) AS spearman_p FROM c"""
+
+
 ORACLES = {
     "roc_auc": W + AT + f" SELECT round({AUC}, 6) AS roc_auc",
     "average_precision": W + AT + f" SELECT round({AP}, 6) AS avg_precision",
@@ -81,9 +98,11 @@ SELECT n_used, CAST(m AS BIGINT) AS n_pools, CAST(k AS BIGINT) AS topk, tp, fp,
     "top_k": W + TOP + " SELECT sample, y, score, pred FROM tk",
     "confusion": W + TOP + " SELECT y AS truth, pred AS predicted, count(*) AS n FROM tk GROUP BY ALL",
     "label_counts": W + " SELECT ground_truth, count(*) AS n FROM scored GROUP BY ALL",
-    "correlations": """WITH b AS (SELECT CAST(n_chars AS DOUBLE) AS x, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS y FROM documents WHERE text IS NOT NULL),
-r AS (SELECT *, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2 AS rx, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2 AS ry FROM b)
-SELECT count(*) AS n, round(corr(x, y), 6) AS pearson_r, round(corr(rx, ry), 6) AS spearman_rho FROM r""",
+    "correlations": correlated("SELECT CAST(n_chars AS DOUBLE) AS x, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS y FROM documents WHERE text IS NOT NULL"),
+    "correlations_weak": correlated("SELECT o_totalprice AS x, CAST(o_custkey AS DOUBLE) AS y FROM orders"),
+    "roc_corners": W + AT + """,
+nx AS (SELECT *, lead(pos) OVER w AS pos_, lead(neg) OVER w AS neg_ FROM pts WINDOW w AS (ORDER BY score DESC))
+SELECT score AS threshold, round(fp / n, 6) AS fpr, round(tp / p, 6) AS tpr FROM nx WHERE coalesce(pos * neg_ <> neg * pos_, true) UNION ALL SELECT NULL, 0.0, 0.0""",
     "sweep_summary": "SELECT o_orderpriority AS reads, count(*) AS n_runs, round(avg(o_totalprice / 1e6), 6) AS roc_auc_mean, round(coalesce(stddev_samp(o_totalprice / 1e6), 0), 6) AS roc_auc_sd, round(avg(o_custkey / 1e4), 6) AS f1_mean, round(coalesce(stddev_samp(o_custkey / 1e4), 0), 6) AS f1_sd FROM orders GROUP BY 1",
     "zscores": W + " SELECT sample, score, round((score - avg(score) OVER ()) / (SELECT stddev_pop(score) FROM scored), 6) AS score_z FROM scored",
     "pool_labels": "WITH x AS (SELECT 1)" + LABELLED + " SELECT sample, ground_truth FROM lab",
