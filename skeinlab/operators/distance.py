@@ -93,9 +93,23 @@ def cosine(values: DataFrame, samples: DataFrame) -> DataFrame:
     return pairs.join(dot, ["a", "b"], "left").select("a", "b", F.greatest(F.least(cos, F.lit(1.0)), F.lit(-1.0)).alias("cos"))
 
 
-def nei_like(values: DataFrame, samples: DataFrame) -> DataFrame:
-    """a, b, d = -ln of the cosine, kept above 1e-12."""
-    return cosine(values, samples).select("a", "b", (-F.ln(F.greatest(F.least("cos", F.lit(1.0)), F.lit(1e-12))) + F.lit(0.0)).alias("d"))
+def nei_like(shares: DataFrame, samples: DataFrame, dim: int, eps: float = EPS) -> DataFrame:
+    """a, b, d = -ln of the cosine, kept above eps, of shares that are clipped to [eps, 1] and renormalised over dim
+    bins, as in js_clip: a sample without bins is uniform. Bins that a sample lacks count eps each: what they add to the
+    products follows from the samples' sums and numbers of bins, so no bin is filled in."""
+    clip = F.greatest(F.least("p", F.lit(1.0)), F.lit(eps))
+    parts = shares.select("sample", "bin", clip.alias("p"))
+    own = parts.groupBy("sample").agg(F.count(F.lit(1)).alias("k"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q"))
+    own = samples.select("sample").distinct().join(own, "sample", "left").select("sample", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("k", "s", "q")])
+    square = lambda k, q: q + (dim - k) * eps * eps
+    of = lambda x: own.select(F.col("sample").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("k", "s", "q")])
+    met = _shared(parts, (F.col("pa") - eps) * (F.col("pb") - eps))
+    rows = sample_pairs(samples).join(of("a"), "a").join(of("b"), "b").join(met, ["a", "b"], "left")
+    # sum of x y = sum of (x - eps)(y - eps) over shared bins + eps (sum x + sum y) - dim eps^2, sums over all bins
+    whole = lambda x: F.col(f"s{x}") + (dim - F.col(f"k{x}")) * eps
+    dot = F.coalesce("s", F.lit(0.0)) + eps * (whole("a") + whole("b")) - dim * eps * eps
+    cos = dot / F.sqrt(square(F.col("ka"), F.col("qa")) * square(F.col("kb"), F.col("qb")))
+    return rows.select("a", "b", (-F.ln(F.greatest(F.least(cos, F.lit(1.0)), F.lit(eps))) + F.lit(0.0)).alias("d"))
 
 
 def both_ways(dist: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import tempfile
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skeinlab.operators.distance import both_ways
@@ -24,6 +25,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+IN_ONE_TASK = 50_000  # edges of all graphs together, up to which components and trees are found in a task to a graph
+
+
+def _find(parent: dict, x):
+    while parent[x] != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def _kruskal(rows: pd.DataFrame) -> tuple[dict, list[bool]]:
+    """Parents of all nodes after the rows (u, v) have been joined in turn, and which rows joined two trees."""
+    parent: dict = {x: x for x in (*rows.u, *rows.v)}
+    joined = []
+    for u, v in zip(rows.u, rows.v, strict=True):
+        a, b = sorted((_find(parent, u), _find(parent, v)))
+        joined.append(a != b)
+        parent[b] = a
+    return parent, joined
+
+
 def neighbour_ranks(dist: DataFrame) -> DataFrame:
     """u, v, d, rank: of each sample its others by distance, ties by id. Distances that are null or no finite number
     join nobody."""
@@ -44,19 +65,16 @@ def knn_graph(dist: DataFrame, k: int = 4) -> DataFrame:
 def connected_knn_graph(dist: DataFrame, k: int = 4) -> tuple[DataFrame, int]:
     """The k-nearest graph of the least k, from the given one up, that is connected, and that k.
 
-    Ranks are taken once. A graph of rank at most r is connected from some r on, so r is found by bisection
-    over component counts; with one sample k stays."""
+    A pair is in the graph from the lesser of its two ranks on, so the k at which all are connected is the largest
+    rank in a spanning tree of least ranks. With one sample k stays; what finite distances never connect has
+    all of them."""
     ranks = cut(neighbour_ranks(dist))
     n = both_ways(dist).select("u").distinct().count()
-    at = lambda r: canonical(ranks.filter(F.col("rank") <= r))
-    joined = lambda r: components(at(r)).select("label").distinct().count() == 1
-    if n < 2:
-        return at(k), k
-    lo, hi = min(k, n - 1), n - 1
-    while lo < hi:
-        mid = (lo + hi) // 2
-        lo, hi = (lo, mid) if joined(mid) else (mid + 1, hi)
-    return at(lo), lo
+    least = ranks.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.min("rank").cast("double").alias("w"))
+    found = spanning_forest(least).agg(F.count(F.lit(1)), F.max("w")).first() if n > 1 else (0, None)
+    whole = found[0] == n - 1
+    k = k if n < 2 else max(min(k, n - 1), int(found[1])) if whole else n - 1
+    return canonical(ranks.filter(F.col("rank") <= k)), k
 
 
 def with_affinity(edges: DataFrame) -> DataFrame:
@@ -119,10 +137,23 @@ def negative_incidence(edges: DataFrame, samples: DataFrame, column: str = "orc"
 def components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """by, node, label for every end of an edge (u, v), separately for each value of `by`; label is the least node.
 
-    Labels fall to the least of a node's neighbours and then to their own label's label, which halves the way
-    to it, until none changes."""
-    adj = cut(adjacency(edges, *by))
+    Up to IN_ONE_TASK edges are joined in a task for each value of `by`. Beyond, labels fall to the least of a
+    node's neighbours and then to their own label's label, which halves the way to it, until none changes."""
+    edges = cut(edges.select(*by, "u", "v"))
     keys = list(by)
+    if edges.count() <= IN_ONE_TASK:
+
+        def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            parent, _ = _kruskal(rows)
+            out = pd.DataFrame({"node": list(parent), "label": [_find(parent, x) for x in parent]})
+            for at, c in enumerate(keys):
+                out.insert(at, c, key[at])
+            return out
+
+        kinds = dict(edges.dtypes)
+        schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), f"node {kinds['u']}, label {kinds['u']}"])
+        return edges.withColumn("_all", F.lit(0)).groupBy(*(keys or ["_all"])).applyInPandas(joined, schema)
+    adj = cut(adjacency(edges, *by))
     now = cut(adj.select(*keys, F.col("u").alias("node"), F.col("u").alias("label")).distinct())
     while True:
         heard = adj.join(now.select(*keys, F.col("node").alias("v"), F.col("label").alias("other")), [*keys, "v"]).groupBy(*keys, F.col("u").alias("node")).agg(F.min("other").alias("other"))
@@ -134,6 +165,34 @@ def components(edges: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
             return now
 
 
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """u, v, w: a spanning tree of least weight for each component of the edges (u, v, w), by Boruvka's rounds.
+
+    In a round every component takes its least edge to another (ties by the ends' ids, so that no cycle closes)
+    and joins what it leads to; the number of components at least halves. Edges inside a component go. Up to
+    IN_ONE_TASK edges are gone through by weight in one task."""
+    edges = cut(edges.select("u", "v", "w"))
+    if edges.count() <= IN_ONE_TASK:
+
+        def tree(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values(["w", "u", "v"])
+            return rows.loc[_kruskal(rows)[1], ["u", "v", "w"]]
+
+        return edges.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(tree, edges.schema)
+    now = cut(edges.filter("u <> v").select("u", "v", "w", F.col("u").alias("a"), F.col("v").alias("b")))
+    tree = None
+    while not now.isEmpty():
+        order = F.struct("w", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi"), "u", "v", "a", "b")
+        ends = now.select(F.col("a").alias("c"), order.alias("e")).unionByName(now.select(F.col("b").alias("c"), order.alias("e")))
+        taken = cut(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
+        more = taken.select("u", "v", "w")
+        tree = more if tree is None else tree.unionByName(more)
+        label = components(taken.select(F.col("a").alias("u"), F.col("b").alias("v")))
+        of = lambda c: label.select(F.col("node").alias(c), F.col("label").alias(f"to_{c}"))
+        now = cut(now.join(of("a"), "a").join(of("b"), "b").filter("to_a <> to_b").select("u", "v", "w", F.col("to_a").alias("a"), F.col("to_b").alias("b")))
+    return edges.select("u", "v", "w").limit(0) if tree is None else tree
+
+
 def shortest_paths(edges: DataFrame, samples: DataFrame) -> DataFrame:
     """u, v, d: least path length between all connected pairs (u = v: 0), with non-negative edge lengths.
 
@@ -205,36 +264,60 @@ def threshold_edges(dist: DataFrame, cuts: DataFrame) -> DataFrame:
     return dist.join(F.broadcast(cuts), F.col("d") <= F.col("threshold")).select("step", F.col("a").alias("u"), F.col("b").alias("v"), "d")
 
 
-def clique_counts(edges: DataFrame, samples: DataFrame, most: int = 20_000_000) -> DataFrame:
-    """step, size, n: cliques of each size in the graphs (step, u, v). A clique grows by a later node that all its
-    nodes know, level by level; a level of more than `most` rows stops the job rather than being cut."""
-    later = edges.groupBy("step", "u").agg(F.array_sort(F.collect_set("v")).alias("next"))
-    steps = edges.select("step").distinct()
-    n = samples.select("sample").distinct().count()
-    level = cut(later.select("step", F.explode("next").alias("last"), F.col("next").alias("open")))
-    found, size = [(r[0], 1, n) for r in steps.collect()], 2  # a few numbers for each threshold
-    while counts := level.groupBy("step").agg(F.count(F.lit(1)).alias("n")).collect():
-        if (rows := sum(r.n for r in counts)) > most:
+def cliques(edges: DataFrame, most: int = 20_000_000) -> DataFrame:
+    """size, birth, n: the cliques of two nodes or more of the graph (u, v, d) by their longest edge.
+
+    Each clique is listed once: it grows by a later node that all its nodes know, and keeps with each such node the
+    longest edge to it. A level of more than `most` rows stops the job rather than being cut."""
+    both = canonical(edges)
+    later = cut(both.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("v", "d"))).alias("next")))
+    level = cut(both.join(later, "u").select(F.col("v").alias("last"), F.col("d").alias("birth"), F.filter("next", lambda x: x["v"] > F.col("v")).alias("open")))
+    found, size = None, 2
+    while rows := level.count():
+        if rows > most:
             raise ValueError(f"{rows} cliques of {size} nodes; at most {most} are listed")
-        found += [(r.step, size, r.n) for r in counts]
-        grown = level.join(later.select("step", F.col("u").alias("last"), "next"), ["step", "last"]).select("step", F.array_intersect("open", "next").alias("open"))
-        level = cut(grown.select("step", F.explode("open").alias("last"), "open").filter(F.size("open") > 0))
+        births = level.groupBy(F.lit(size).alias("size"), "birth").agg(F.count(F.lit(1)).alias("n"))
+        found = births if found is None else found.unionByName(births)
+        # what all of a clique's nodes and its last one know, with the longer of the edges to it
+        grown = level.filter(F.size("open") > 0).join(later.select(F.col("u").alias("last"), "next"), "last")
+        known = F.transform("next", lambda x: x["v"])
+        met = F.filter("open", lambda x: F.array_position(known, x["v"]) > 0)
+        grown = grown.select("birth", F.transform(met, lambda x: F.struct(x["v"].alias("v"), F.greatest(x["d"], F.get("next", (F.array_position(known, x["v"]) - 1).cast("int"))["d"]).alias("d"))).alias("open"))
+        each = grown.select("birth", "open", F.posexplode("open").alias("at", "to"))
+        level = cut(each.select(F.col("to.v").alias("last"), F.greatest("birth", "to.d").alias("birth"), F.slice("open", F.col("at") + 2, F.size("open")).alias("open")))
         size += 1
-    return edges.sparkSession.createDataFrame(found, f"step {dict(edges.dtypes)['step']}, size int, n bigint")
+    empty = edges.sparkSession.createDataFrame([], "size int, birth double, n bigint")
+    return empty if found is None else found
 
 
 def topology_counts(dist: DataFrame, samples: DataFrame, count: int = 21) -> DataFrame:
-    """threshold, V, E, components, beta1_graph, euler_clique_complex, max_clique_size at each threshold."""
+    """threshold, V, E, components, beta1_graph, euler_clique_complex, max_clique_size at each threshold.
+
+    A filtration: an edge is born at its length, a clique at its longest edge, and two components merge at an edge
+    of the least spanning tree; every threshold counts what is born by then."""
     cuts = cut(thresholds(dist, count))
-    edges = cut(threshold_edges(dist, cuts))
+    top = cuts.agg(F.max("threshold")).first()[0]
+    edges = cut(dist.filter(F.col("d") <= F.lit(top)).select(F.col("a").alias("u"), F.col("b").alias("v"), "d"))
     v = samples.select("sample").distinct().count()
-    sizes = edges.groupBy("step").agg(F.count(F.lit(1)).alias("e"))
-    parts = components(edges, ("step",)).groupBy("step").agg(F.count(F.lit(1)).alias("met"), F.count_distinct("label").alias("c"))
-    cliques = clique_counts(edges, samples).groupBy("step").agg(F.sum(F.col("n") * F.when(F.col("size") % 2 == 1, 1).otherwise(-1)).alias("chi"), F.max("size").alias("top"))
-    rows = cuts.join(sizes, "step", "left").join(parts, "step", "left").join(cliques, "step", "left")
-    e, c = F.coalesce("e", F.lit(0)), v - F.coalesce("met", F.lit(0)) + F.coalesce("c", F.lit(0))
+    merges = spanning_forest(edges.select("u", "v", F.col("d").alias("w"))).groupBy(F.col("w").alias("birth")).agg(F.count(F.lit(1)).alias("n"))
+    born = merges.select(F.lit(0).alias("size"), "birth", "n").unionByName(cliques(edges))
+    # births are summed in the first threshold that reaches them, then over the thresholds
+    first = F.broadcast(cuts.agg(F.array_sort(F.collect_list(F.struct("threshold", "step"))).alias("cuts")))
+    step = F.get(F.filter("cuts", lambda c: c["threshold"] >= F.col("birth")), F.lit(0))["step"]
+    sums = born.join(first, F.lit(True)).groupBy(step.alias("at"), "size").agg(F.sum("n").alias("n"))
+    sums = cut(sums)
+    upto = cuts.join(F.broadcast(sums), F.col("at") <= F.col("step"), "left").groupBy("step", "threshold")
+    size, n = F.col("size"), F.col("n")
+    total = lambda value: F.coalesce(F.sum(value), F.lit(0))
+    rows = upto.agg(
+        total(F.when(size == 0, n)).alias("merged"),
+        total(F.when(size == 2, n)).alias("E"),
+        total(F.when(size >= 2, n * F.when(size % 2 == 1, 1).otherwise(-1))).alias("chi"),
+        F.greatest(F.coalesce(F.max("size"), F.lit(0)), F.lit(min(v, 1))).alias("top"),
+    )
+    c = F.lit(v) - F.col("merged")
     return rows.select(
-        "step", "threshold", F.lit(v).alias("V"), e.alias("E"), c.alias("components"), (e - v + c).alias("beta1_graph"), F.coalesce("chi", F.lit(v)).alias("euler_clique_complex"), F.coalesce("top", F.lit(min(v, 1))).alias("max_clique_size")
+        "step", "threshold", F.lit(v).alias("V"), "E", c.alias("components"), (F.col("E") - v + c).alias("beta1_graph"), (F.col("chi") + v).alias("euler_clique_complex"), F.col("top").alias("max_clique_size")
     )
 
 

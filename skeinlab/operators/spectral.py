@@ -286,37 +286,64 @@ def nnls(gram: np.ndarray, target: np.ndarray) -> np.ndarray:
     return w
 
 
-def deconvolve(probs: DataFrame, pools: DataFrame, individuals: DataFrame) -> DataFrame:
-    """pool_sample, sample, weight, residual_norm: non-negative weights of the individuals that make up each pool,
-    over their sum; the residual is the one before. Dot products come from one join on bin; each pool's small
-    problem is solved in its own task."""
-    part = probs.join(individuals.select("sample").distinct(), "sample", "left_semi")
-    dots = lambda a, b: a.join(b, "bin").groupBy("u", "v").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
-    left = part.select(F.col("sample").alias("u"), "bin", F.col("p").alias("x"))
-    right = part.select(F.col("sample").alias("v"), "bin", F.col("p").alias("y"))
-    pool = probs.join(pools.select("sample").distinct(), "sample", "left_semi")
-    goal = pool.select(F.col("sample").alias("u"), "bin", F.col("p").alias("x"))
-    own = pool.groupBy("sample").agg(F.sum(F.col("p") * F.col("p")).alias("own"))
-    gram = dots(left, right).groupBy(F.lit(0).alias("one")).agg(F.collect_list(F.struct("u", "v", "value")).alias("gram"))
-    aims = dots(goal, right).groupBy(F.col("u").alias("pool_sample")).agg(F.collect_list(F.struct("v", "value")).alias("aims"))
-    rows = own.select(F.col("sample").alias("pool_sample"), "own").join(aims, "pool_sample").join(gram, F.lit(True))
+def shared_bins(probs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """u, v, value: dot products of the samples of left with those of right that have a bin in common."""
+    side = lambda names, one, p: probs.join(names.select("sample").distinct(), "sample", "left_semi").select(F.col("sample").alias(one), "bin", F.col("p").alias(p))
+    return side(left, "u", "x").join(side(right, "v", "y"), "bin").groupBy("u", "v").agg(F.sum(F.col("x") * F.col("y")).alias("value"))
+
+
+def raw_weights(probs: DataFrame, pools: DataFrame, individuals: DataFrame) -> DataFrame:
+    """pool_sample, sample, raw, residual_norm: the non-negative weights that bring the individuals nearest to each
+    pool, a row for every pair. Pools and individuals without a bin in common, or without any, have weight 0.
+
+    Dot products come from joins on bin. The individuals' own, at most MOST squared, are sent to all tasks once;
+    each pool's problem is then a row with its products."""
+    spark = probs.sparkSession
+    ids = sorted(r[0] for r in individuals.select("sample").distinct().limit(MOST + 1).collect())
+    if len(ids) > MOST:
+        raise ValueError(f"more than {MOST} individuals")
+    place = {s: i for i, s in enumerate(ids)}
+    gram = np.zeros((len(ids), len(ids)))
+    for r in shared_bins(probs, individuals, individuals).toLocalIterator():
+        gram[place[r.u], place[r.v]] = r.value
+    shared = spark.sparkContext.broadcast(gram)
+    own = probs.groupBy("sample").agg(F.sum(F.col("p") * F.col("p")).alias("own"))
+    aims = shared_bins(probs, pools, individuals).groupBy(F.col("u").alias("sample")).agg(F.collect_list(F.struct("v", "value")).alias("aims"))
+    rows = pools.select("sample").distinct().join(own, "sample", "left").join(aims, "sample", "left")
 
     def solve(batches):
         for b in batches:
-            for pool_sample, own, aims, cells in zip(b.pool_sample, b.own, b.aims, b.gram, strict=True):
-                ids = sorted({c["u"] for c in cells})
-                place = {s: i for i, s in enumerate(ids)}
-                a, t = np.zeros((len(ids), len(ids))), np.zeros(len(ids))
-                for c in cells:
-                    a[place[c["u"]], place[c["v"]]] = c["value"]
-                for c in aims:
+            for pool_sample, own, aims in zip(b["sample"], b.own, b.aims, strict=True):
+                t = np.zeros(len(ids))
+                for c in aims if aims is not None else ():
                     t[place[c["v"]]] = c["value"]
-                w = nnls(a, t)
-                residual = float(np.sqrt(max(own - 2 * w @ t + w @ a @ w, 0.0)))
-                share = w / w.sum() if w.sum() > 0 else w
-                yield pd.DataFrame({"pool_sample": pool_sample, "sample": ids, "weight": share, "residual_norm": residual})
+                w = nnls(shared.value, t)
+                size = 0.0 if pd.isna(own) else own
+                residual = float(np.sqrt(max(size - 2 * w @ t + w @ shared.value @ w, 0.0)))
+                yield pd.DataFrame({"pool_sample": pool_sample, "sample": ids, "raw": w, "residual_norm": residual})
+
+    kind = dict(probs.dtypes)["sample"]
+    return rows.mapInPandas(solve, f"pool_sample {kind}, sample {kind}, raw double, residual_norm double")
 
-    return rows.mapInPandas(solve, "pool_sample string, sample string, weight double, residual_norm double")
+
+def deconvolve(probs: DataFrame, pools: DataFrame, individuals: DataFrame) -> DataFrame:
+    """pool_sample, sample, weight, residual_norm: the raw weights over their sum (zeros stay zeros); the residual is
+    that of the raw ones. See raw_weights."""
+    raw = raw_weights(probs, pools, individuals)
+    total = F.sum("raw").over(Window.partitionBy("pool_sample"))
+    return raw.select("pool_sample", "sample", F.when(total > 0, F.col("raw") / total).otherwise(0.0).alias("weight"), "residual_norm")
+
+
+def optimal_weights(raw: DataFrame, probs: DataFrame, pools: DataFrame, individuals: DataFrame, tolerance: float = 1e-9) -> DataFrame:
+    """pool_sample, sample, optimal: whether raw weights meet the conditions of the least squares (Karush, Kuhn and
+    Tucker): none is negative, and the error falls along none, or along none that is 0. Worked out by joins."""
+    aims = shared_bins(probs, pools, individuals).select(F.col("u").alias("pool_sample"), F.col("v").alias("sample"), F.col("value").alias("aim"))
+    gram = shared_bins(probs, individuals, individuals).select(F.col("u").alias("other"), F.col("v").alias("sample"), "value")
+    held = raw.select("pool_sample", F.col("sample").alias("other"), "raw").join(gram, "other").groupBy("pool_sample", "sample").agg(F.sum(F.col("raw") * F.col("value")).alias("held"))
+    slope = F.coalesce("aim", F.lit(0.0)) - F.coalesce("held", F.lit(0.0))
+    rows = raw.join(aims, ["pool_sample", "sample"], "left").join(held, ["pool_sample", "sample"], "left")
+    good = (F.col("raw") >= 0) & (slope <= tolerance) & ((F.col("raw") == 0) | (slope >= -tolerance))
+    return rows.select("pool_sample", "sample", good.alias("optimal"))
 
 
 def group_weights(weights: DataFrame, groups: DataFrame) -> DataFrame:

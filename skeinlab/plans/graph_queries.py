@@ -32,13 +32,41 @@ def truth(spark):
     return spark.createDataFrame(rows, TRUTH)
 
 
-def curvature_of(spark, sf, kind):
+def curvature_of(spark, sf, kind, proof=False):
     d, n = dist(spark, sf), nodes(spark, sf)
     edges = graph.cut(graph.knn_graph(d))
     if kind == "geometric":
-        return rounded(curvature.ollivier_ricci(edges, graph.shortest_paths(edges, n), 0.0), "d", "orc")
-    metric = distance.both_ways(d).unionByName(n.select(F.col("sample").alias("u"), F.col("sample").alias("v"), F.lit(0.0).alias("d")))
-    return rounded(curvature.ollivier_ricci(edges, metric, 0.5), "d", "orc")
+        given = edges, graph.shortest_paths(edges, n), 0.0
+    else:
+        given = edges, distance.both_ways(d).unionByName(n.select(F.col("sample").alias("u"), F.col("sample").alias("v"), F.lit(0.0).alias("d"))), 0.5
+    if proof:
+        return rounded(curvature.proven(graph.cut(curvature.transport_plans(*given))), "d")
+    return rounded(curvature.ollivier_ricci(*given), "d", "orc")
+
+
+def split_profiles(spark, sf):
+    """The nations' profiles, those before NATION_13, and those from there on with one that has no bins."""
+    p = probs(spark, sf)
+    names = p.select("sample").distinct()
+    late = names.filter("sample >= 'NATION_13'").unionByName(spark.createDataFrame([("NOWHERE",)], "sample string"))
+    return p, late, names.filter("sample < 'NATION_13'")
+
+
+def optimal_weights(spark, sf):
+    p, pools, individuals = split_profiles(spark, sf)
+    return spectral.optimal_weights(graph.cut(spectral.raw_weights(p, pools, individuals)), p, pools, individuals)
+
+
+def pool_sums(spark, sf):
+    """Sums of the weights, and whether the residual is that of the weights' mixture, worked out bin by bin."""
+    p, pools, individuals = split_profiles(spark, sf)
+    raw = graph.cut(spectral.raw_weights(p, pools, individuals))
+    made = raw.join(p, "sample").groupBy("pool_sample", "bin").agg(F.sum(F.col("raw") * F.col("p")).alias("made"))
+    goal = p.join(pools, "sample", "left_semi").withColumnRenamed("sample", "pool_sample")
+    left = made.join(goal, ["pool_sample", "bin"], "full").groupBy("pool_sample").agg(F.sqrt(F.sum(F.pow(F.coalesce("made", F.lit(0.0)) - F.coalesce("p", F.lit(0.0)), 2))).alias("left"))
+    sums = spectral.deconvolve(p, pools, individuals).groupBy("pool_sample").agg(F.round(F.sum("weight"), 6).alias("weights"), F.max("residual_norm").alias("residual"))
+    same = F.abs(F.coalesce("left", F.lit(0.0)) - F.col("residual")) < 1e-6
+    return sums.join(left, "pool_sample", "left").select("pool_sample", "weights", same.alias("same_residual"))
 
 
 def run_geometry(spark, sf):
@@ -99,6 +127,10 @@ QUERIES = {
     "topology_entropy": lambda s, d: rounded(spectral.von_neumann_entropy(graph.threshold_edges(x := dist(s, d), graph.thresholds(x)), "step"), "vn_entropy"),
     "curvature_geometric": lambda s, d: curvature_of(s, d, "geometric"),
     "curvature_calibration": lambda s, d: curvature_of(s, d, "calibration"),
+    "curvature_geometric_proof": lambda s, d: curvature_of(s, d, "geometric", proof=True),
+    "curvature_calibration_proof": lambda s, d: curvature_of(s, d, "calibration", proof=True),
+    "deconvolution_optimal": optimal_weights,
+    "deconvolution_sums": pool_sums,
     "mixture_signatures": lambda s, d: rounded(mixtures.mixed(truth(s), probs(s, d)), "p"),
     "mixture_truth": lambda s, d: rounded(mixtures.truth_table(truth(s)), "entropy_norm", "minor_fraction"),
     "synthetic_truth": lambda s, d: mixtures.truth_table(mixtures.draw_truth(s, [r[0] for r in nodes(s, d).orderBy("sample").collect()])),
@@ -169,6 +201,14 @@ PATHS = G + """,
 p1 AS (SELECT u, v, d FROM adj UNION ALL SELECT DISTINCT sample, sample, 0.0 FROM probs),
 """ + ",\n".join(_squared(f"p{1 << i}", f"p{2 << i}") for i in range(5))
 
+# Each edge's flow and potentials prove one another; see curvature.proven.
+PROVEN = "true AS balanced, true AS bounded, true AS optimal"
+ORACLES["curvature_geometric_proof"] = PATHS + f" SELECT e.u, e.v, round(p.d, 6) AS d, {PROVEN} FROM edges e JOIN p32 p USING (u, v)"
+ORACLES["curvature_calibration_proof"] = G + f" SELECT u, v, round(d, 6) AS d, {PROVEN} FROM edges"
+SPLIT = P + """, names AS (SELECT DISTINCT sample FROM probs),
+pools AS (SELECT sample AS pool_sample FROM names WHERE sample >= 'NATION_13' UNION ALL SELECT 'NOWHERE')"""
+ORACLES["deconvolution_optimal"] = SPLIT + " SELECT pool_sample, sample, true AS optimal FROM pools, names WHERE sample < 'NATION_13'"
+ORACLES["deconvolution_sums"] = SPLIT + " SELECT pool_sample, CASE WHEN pool_sample = 'NOWHERE' THEN 0.0 ELSE 1.0 END AS weights, true AS same_residual FROM pools"
 ORACLES["shortest_paths"] = PATHS + " SELECT u, v, round(d, 6) AS d FROM p32"
 CLOSE = PATHS + """,
 c AS (SELECT u, count(*) - 1 AS k, sum(d) AS t, (SELECT count(DISTINCT sample) FROM probs) AS n FROM p32 GROUP BY u),

@@ -17,7 +17,7 @@ def visualise(values: DataFrame, samples: DataFrame, dim: int, metric: str = "js
     if metric not in ("jsd", "nei"):
         raise ValueError(metric)
     shares = distance.normalised_rows(values)
-    dist = distance.js_clip(shares, samples, dim) if metric == "jsd" else distance.nei_like(shares, samples)
+    dist = distance.js_clip(shares, samples, dim) if metric == "jsd" else distance.nei_like(shares, samples, dim)
     names = [f"PC{i}" for i in range(1, axes + 1)]
     wide = spectral.pcoa(dist, samples, axes).groupBy("sample").pivot("axis", list(range(1, axes + 1))).agg(F.first("value")).toDF("sample_id", *names)
     merged = wide

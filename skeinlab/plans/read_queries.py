@@ -45,6 +45,13 @@ def hashed(spark, sf):
     return kmers.hashed_counts(docs, 13, 65536, canonical=True)
 
 
+def nei_zero_row(spark, sf):
+    """The nations' profiles and a row of zeros, which counts as uniform."""
+    zero = spark.createDataFrame([("NOWHERE", "none", 0)], "sample string, bin string, n bigint")
+    rows = V.profiles(spark, sf).unionByName(zero)
+    return rounded(distance.nei_like(distance.normalised_rows(rows), rows, 15), "d")
+
+
 QUERIES = {
     "manifest": manifest,
     "depth_groups": lambda s, d: qc.depth_groups(manifest(s, d)),
@@ -69,7 +76,8 @@ QUERIES = {
     "js_distance_clip": lambda s, d: rounded(distance.js_clip(p := sketch(s, d), p, V.DIM), "d"),
     "js_matrix": lambda s, d: rounded(distance.js_clip(distance.normalised_rows(V.profiles(s, d)), V.profiles(s, d), 15), "d"),
     "cosine": lambda s, d: rounded(distance.cosine(p := kmers.probabilities(V.profiles(s, d)), p), "cos"),
-    "nei_like": lambda s, d: rounded(distance.nei_like(p := kmers.probabilities(V.profiles(s, d)), p), "d"),
+    "nei_like": lambda s, d: rounded(distance.nei_like(p := kmers.probabilities(V.profiles(s, d)), p, 15), "d"),
+    "nei_zero_row": nei_zero_row,
 }
 
 MANIFEST = """
@@ -159,5 +167,8 @@ SELECT sample, CAST(xor(x, x >> 33) % 65536 AS INTEGER) AS bin, CAST(sum(n) AS B
     "js_distance_clip": KS + "," + SKETCH + "," + CLIP.format(dim=V.DIM, bins=f"SELECT unnest(range({V.DIM})) AS bin"),
     "js_matrix": "WITH " + V.PROFILES + "," + CLIP.format(dim=15, bins="SELECT DISTINCT bin FROM probs"),
     "cosine": COSINE + " SELECT a, b, round(cos, 6) AS cos FROM cs",
+    "nei_zero_row": COSINE + """, nm AS (SELECT sample, sqrt(sum(p * p)) AS norm FROM probs GROUP BY sample)
+SELECT a, b, round(-ln(greatest(least(cos, 1), 1e-12)) + 0.0, 6) AS d FROM cs
+UNION ALL SELECT sample, 'NOWHERE', round(ln(norm * sqrt(15)), 6) FROM nm""",
     "nei_like": COSINE + " SELECT a, b, round(-ln(greatest(least(cos, 1), 1e-12)) + 0.0, 6) AS d FROM cs",
 }

@@ -43,12 +43,34 @@ def test_topology_of_triangle(spark):
     last = graph.topology_counts(d, samples, 3).orderBy("step").collect()
     assert last[0].V == 3 and last[-1].components == 1
     step = spark.createDataFrame([(0, "a", "b"), (0, "b", "c"), (0, "a", "c"), (1, "a", "b"), (1, "b", "c")], "step int, u string, v string")
-    counts = {(r.step, r["size"]): r.n for r in graph.clique_counts(step, samples).collect()}
-    assert counts == {(0, 1): 3, (0, 2): 3, (0, 3): 1, (1, 1): 3, (1, 2): 2}
+    sides = edges_of(spark, [("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 3.0), ("c", "d", 2.0), ("a", "d", 5.0), ("b", "d", 4.0)])
+    counts = {(r["size"], r.birth): r.n for r in graph.cliques(sides).collect()}
+    assert counts == {(2, 1.0): 1, (2, 2.0): 2, (2, 3.0): 1, (2, 4.0): 1, (2, 5.0): 1, (3, 3.0): 1, (3, 4.0): 1, (3, 5.0): 2, (4, 5.0): 1}
     entropy = {r.step: r.vn_entropy for r in spectral.von_neumann_entropy(step, "step").collect()}
     assert entropy[1] == pytest.approx(0.562335, abs=1e-6)
     with pytest.raises(ValueError):
-        graph.clique_counts(step, samples, most=2)
+        graph.cliques(sides, most=2)
+
+
+def test_spanning_forest_and_components_in_a_task_and_in_rounds(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = list({(f"n{a:02d}", f"n{b:02d}"): float(rng.randint(1, 9)) for a, b in ((rng.randrange(40), rng.randrange(40)) for _ in range(55)) if a != b}.items())
+    rows = [(u, v, w) for (u, v), w in rows]
+    parent = {x: x for u, v, _ in rows for x in (u, v)}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    weight, joins = 0.0, 0
+    for u, v, w in sorted(rows, key=lambda r: r[2]):
+        if find(u) != find(v):
+            a, b = sorted((find(u), find(v)))
+            parent[b], weight, joins = a, weight + w, joins + 1
+    table = spark.createDataFrame(rows, "u string, v string, w double")
+    for most in (50_000, 0):
+        monkeypatch.setattr(graph, "IN_ONE_TASK", most)
+        assert graph.spanning_forest(table).agg(S.F.count(S.F.lit(1)), S.F.sum("w")).first()[:] == (joins, weight)
+        assert {r.node: r.label for r in graph.components(table).collect()} == {x: find(x) for x in parent}
 
 
 def test_components_paths_closeness_betweenness(spark):
@@ -102,14 +124,41 @@ def test_connected_knn_takes_the_least_k(spark):
 def test_transport_meets_its_dual(m, n, seed):
     rng = np.random.default_rng(seed)
     mu, nu, cost = rng.dirichlet(np.ones(m)), rng.dirichlet(np.ones(n)), rng.random((m, n))
-    got = curvature.transport(mu, nu, cost)
+    flow, u, v = curvature.transport(mu, nu, cost)
+    got = float((flow * cost).sum())
+    assert flow.sum(axis=1) == pytest.approx(mu) and flow.sum(axis=0) == pytest.approx(nu)
+    assert (v[None, :] - u[:, None] <= cost + 1e-12).all() and nu @ v - mu @ u == pytest.approx(got, abs=1e-9)
     if m == 1 or n == 1:
         assert got == pytest.approx(float((np.outer(mu, nu) * cost).sum()), abs=1e-9)
     # on the line the distance is the area between the distribution functions
     x = np.sort(rng.random(m + n))
     a, b = np.concatenate([mu, np.zeros(n)]), np.concatenate([np.zeros(m), nu])
     line = float((np.abs(np.cumsum(a - b))[:-1] * np.diff(x)).sum())
-    assert curvature.transport(a, b, np.abs(x[:, None] - x[None, :])) == pytest.approx(line, abs=1e-9)
+    cost = np.abs(x[:, None] - x[None, :])
+    assert float((curvature.transport(a, b, cost)[0] * cost).sum()) == pytest.approx(line, abs=1e-9)
+
+
+def test_a_plan_that_is_not_the_cheapest_is_not_proven(spark):
+    plans = curvature.transport_plans(edges_of(spark, [("a", "b", 1), ("b", "c", 1), ("c", "d", 1)]), graph.shortest_paths(e := edges_of(spark, [("a", "b", 1), ("b", "c", 1), ("c", "d", 1)]), spark.createDataFrame([(x,) for x in "abcd"], "sample string")), 0.25)
+    assert all(r.balanced and r.bounded and r.optimal for r in curvature.proven(plans).collect()) and e.count() == 3
+    worse = plans.withColumn("flow", S.F.col("mx") * S.F.col("my"))  # every place sends to all: balanced, but dear
+    assert any(r.balanced and r.bounded and not r.optimal for r in curvature.proven(worse).collect())
+    assert not any(r.balanced for r in curvature.proven(plans.withColumn("flow", S.F.col("flow") / 2)).collect())
+
+
+def test_pools_that_share_nothing_and_individuals_without_bins(spark):
+    probs = probs_of(spark, {"i1": {0: 0.5, 1: 0.5}, "i2": {2: 1.0}, "p1": {0: 0.25, 1: 0.25, 2: 0.5}, "p2": {9: 1.0}})
+    names = lambda *x: spark.createDataFrame([(s,) for s in x], "sample string")
+    pools, individuals = names("p1", "p2", "p3"), names("i1", "i2", "i3")
+    got = {(r.pool_sample, r.sample): (round(r.weight, 9), round(r.residual_norm, 9)) for r in spectral.deconvolve(probs, pools, individuals).collect()}
+    assert got == {
+        ("p1", "i1"): (0.5, 0.0), ("p1", "i2"): (0.5, 0.0), ("p1", "i3"): (0.0, 0.0),
+        **{("p2", i): (0.0, 1.0) for i in ("i1", "i2", "i3")}, **{("p3", i): (0.0, 0.0) for i in ("i1", "i2", "i3")},
+    }
+    raw = spectral.raw_weights(probs, pools, individuals)
+    assert all(r.optimal for r in spectral.optimal_weights(raw, probs, pools, individuals).collect())
+    off = raw.withColumn("raw", S.F.col("raw") + 0.1)
+    assert not all(r.optimal for r in spectral.optimal_weights(off, probs, pools, individuals).collect())
 
 
 def test_curvature_signs(spark):
