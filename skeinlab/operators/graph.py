@@ -267,9 +267,13 @@ def threshold_edges(dist: DataFrame, cuts: DataFrame) -> DataFrame:
 def cliques(edges: DataFrame, most: int = 20_000_000) -> DataFrame:
     """size, birth, n: the cliques of two nodes or more of the graph (u, v, d) by their longest edge.
 
-    Each clique is listed once: it grows by a later node that all its nodes know, and keeps with each such node the
-    longest edge to it. A level of more than `most` rows stops the job rather than being cut."""
-    both = canonical(edges)
+    Each clique is met once: it grows by a later node that all its nodes know, and keeps with each such node the
+    longest edge to it. Up to IN_ONE_TASK edges, the edges are sent to all tasks and each grows the cliques of its own
+    (the two least nodes of a clique say whose it is); beyond, all grow level by level in joins. More than
+    `most` cliques in a task or level stop the job rather than being cut."""
+    both = cut(canonical(edges))
+    if both.count() <= IN_ONE_TASK:
+        return _cliques_in_tasks(both, most)
     later = cut(both.groupBy("u").agg(F.array_sort(F.collect_list(F.struct("v", "d"))).alias("next")))
     level = cut(both.join(later, "u").select(F.col("v").alias("last"), F.col("d").alias("birth"), F.filter("next", lambda x: x["v"] > F.col("v")).alias("open")))
     found, size = None, 2
@@ -290,6 +294,37 @@ def cliques(edges: DataFrame, most: int = 20_000_000) -> DataFrame:
     return empty if found is None else found
 
 
+def _cliques_in_tasks(edges: DataFrame, most: int) -> DataFrame:
+    spark = edges.sparkSession
+    known: dict = {}
+    for u, v, d in edges.collect():  # IN_ONE_TASK rows at most
+        known.setdefault(u, {})[v] = d
+    shared = spark.sparkContext.broadcast(known)
+
+    def grow(batches):
+        later = shared.value
+        counts: dict[tuple[int, float], int] = {}
+        seen = 0
+        for b in batches:
+            for u, v, d in zip(b.u, b.v, b.d, strict=True):
+                mine, other = later[u], later.get(v, {})
+                held = [(2, d, [(x, max(mine[x], e)) for x, e in other.items() if x in mine])]
+                while held:
+                    size, birth, open_ = held.pop()
+                    counts[size, birth] = counts.get((size, birth), 0) + 1
+                    seen += 1
+                    if seen > most:
+                        raise ValueError(f"more than {most} cliques in a task")
+                    for w, reach in open_:
+                        near = later.get(w, {})
+                        held.append((size + 1, max(birth, reach), [(x, max(r, near[x])) for x, r in open_ if x in near]))
+        yield pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["size", "birth", "n"])
+
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counts = edges.repartition(n, "u", "v").mapInPandas(grow, "size int, birth double, n bigint")
+    return counts.groupBy("size", "birth").agg(F.sum("n").alias("n"))
+
+
 def topology_counts(dist: DataFrame, samples: DataFrame, count: int = 21) -> DataFrame:
     """threshold, V, E, components, beta1_graph, euler_clique_complex, max_clique_size at each threshold.
 

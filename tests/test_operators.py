@@ -38,14 +38,16 @@ def test_forman_on_triangle_path_and_star(spark):
     assert {r.forman_F for r in graph.forman(star).collect()} == {-1}
 
 
-def test_topology_of_triangle(spark):
+def test_topology_of_triangle(spark, monkeypatch):
     d, samples = dist_of(spark, {"a": (0, 0), "b": (1, 0), "c": (0.5, 0.8)})
     last = graph.topology_counts(d, samples, 3).orderBy("step").collect()
     assert last[0].V == 3 and last[-1].components == 1
     step = spark.createDataFrame([(0, "a", "b"), (0, "b", "c"), (0, "a", "c"), (1, "a", "b"), (1, "b", "c")], "step int, u string, v string")
     sides = edges_of(spark, [("a", "b", 1.0), ("b", "c", 2.0), ("a", "c", 3.0), ("c", "d", 2.0), ("a", "d", 5.0), ("b", "d", 4.0)])
-    counts = {(r["size"], r.birth): r.n for r in graph.cliques(sides).collect()}
-    assert counts == {(2, 1.0): 1, (2, 2.0): 2, (2, 3.0): 1, (2, 4.0): 1, (2, 5.0): 1, (3, 3.0): 1, (3, 4.0): 1, (3, 5.0): 2, (4, 5.0): 1}
+    for bound in (50_000, 0):
+        monkeypatch.setattr(graph, "IN_ONE_TASK", bound)
+        counts = {(r["size"], r.birth): r.n for r in graph.cliques(sides).collect()}
+        assert counts == {(2, 1.0): 1, (2, 2.0): 2, (2, 3.0): 1, (2, 4.0): 1, (2, 5.0): 1, (3, 3.0): 1, (3, 4.0): 1, (3, 5.0): 2, (4, 5.0): 1}
     entropy = {r.step: r.vn_entropy for r in spectral.von_neumann_entropy(step, "step").collect()}
     assert entropy[1] == pytest.approx(0.562335, abs=1e-6)
     with pytest.raises(ValueError):
