@@ -11,7 +11,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from skeinlab.operators import graph
 from skeinlab.operators.distance import both_ways, sample_pairs
+from skeinlab.operators.graph import cut
 
 MOST = 2048  # samples of a matrix; more stop the job
 
@@ -169,42 +171,71 @@ def _upgma(ids: list, m: np.ndarray) -> list[tuple[list, list, float]]:
     return merges
 
 
-def upgma(dist: DataFrame, samples: DataFrame) -> DataFrame:
-    """step, members_left, members_right, height: average-linkage merges in order."""
+MERGES = "members_left array<string>, members_right array<string>, height double"
+
+
+def linkage(dist: DataFrame, samples: DataFrame) -> DataFrame:
+    """members_left, members_right, height: the merges of average linkage, in any order. The side with the least member
+    is the left one.
+
+    Up to IN_ONE_TASK distances are merged in one task. Beyond, a round merges all pairs of groups that are each
+    other's nearest (by the average to twelve decimals, then by their least members): a merged group is never
+    nearer to a third than the nearer of its parts was, so these are the merges that one at a time would find, if no
+    distances tie. Groups keep the sums of their distances, which add up where groups merge."""
+    pairs = cut(dist.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), F.col("d").alias("s")))
+    if pairs.count() <= graph.IN_ONE_TASK:
+        return per_matrix(square(dist, samples), lambda ids, m: pd.DataFrame(_upgma(ids, m), columns=["members_left", "members_right", "height"]), MERGES)
+    groups = cut(samples.select("sample").distinct().select(F.col("sample").alias("label"), F.lit(1).alias("size"), F.array("sample").alias("members")))
+    found = None
+    while not pairs.isEmpty():
+        of = lambda x: groups.select(F.col("label").alias(x), F.col("size").alias(f"{x}_size"))
+        average = F.col("s") / (F.col("u_size") * F.col("v_size"))
+        near = pairs.join(of("u"), "u").join(of("v"), "v").select(F.struct(F.round(average, 12).alias("to"), "u", "v", average.alias("height")).alias("pair"))
+        best = near.select(F.explode(F.array("pair.u", "pair.v")).alias("label"), "pair").groupBy("label").agg(F.min("pair").alias("pair"))
+        mutual = best.groupBy("pair").agg(F.count(F.lit(1)).alias("sides")).filter("sides = 2").select("pair.*")
+        left, right = (groups.select(F.col("label").alias(x), F.col("size").alias(f"{x}_size"), F.col("members").alias(side)) for x, side in (("u", "members_left"), ("v", "members_right")))
+        merged = cut(mutual.join(left, "u").join(right, "v"))
+        more = merged.select("members_left", "members_right", "height")
+        found = more if found is None else found.unionByName(more)
+        whole = merged.select(F.col("u").alias("label"), (F.col("u_size") + F.col("v_size")).alias("size"), F.concat("members_left", "members_right").alias("members"))
+        gone = merged.select(F.explode(F.array("u", "v")).alias("label"))
+        groups = cut(groups.join(gone, "label", "left_anti").unionByName(whole))
+        to = merged.select(F.col("v").alias("old"), F.col("u").alias("new"))
+        for x in ("u", "v"):
+            pairs = pairs.join(to, F.col(x) == F.col("old"), "left").withColumn(x, F.coalesce("new", x)).drop("old", "new")
+        pairs = cut(pairs.filter("u <> v").groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(F.sum("s").alias("s")))
+    return dist.sparkSession.createDataFrame([], MERGES) if found is None else found
 
-    def solve(ids: list, m: np.ndarray) -> pd.DataFrame:
-        rows = [(k + 1, *x) for k, x in enumerate(_upgma(ids, m))]
-        return pd.DataFrame(rows, columns=["step", "members_left", "members_right", "height"])
 
-    return per_matrix(square(dist, samples), solve, "step int, members_left array<string>, members_right array<string>, height double")
+def upgma(dist: DataFrame, samples: DataFrame) -> DataFrame:
+    """step, members_left, members_right, height: average-linkage merges in order of height, then of their members (one
+    window over the merges, one less than the samples)."""
+    order = Window.orderBy(F.round("height", 12), F.size("members_left") + F.size("members_right"), F.get("members_left", F.lit(0)))
+    return linkage(dist, samples).select(F.row_number().over(order).alias("step"), "members_left", "members_right", "height")
 
 
 def leaf_order(dist: DataFrame, samples: DataFrame) -> DataFrame:
     """sample, place: leaves of the average-linkage tree from left to right."""
-
-    def solve(ids: list, m: np.ndarray) -> pd.DataFrame:
-        merges = _upgma(ids, m)
-        order = merges[-1][0] + merges[-1][1] if merges else ids
-        return pd.DataFrame({"sample": order, "place": np.arange(len(order), dtype=np.int32)})
-
-    return per_matrix(square(dist, samples), solve, "sample string, place int")
+    members = F.concat("members_left", "members_right")
+    top = linkage(dist, samples).agg(F.max_by(members, F.size(members)).alias("order"))
+    alone = samples.select("sample").distinct().agg(F.array_sort(F.collect_list("sample")).alias("alone"))  # where nothing merges
+    whole = top.join(alone.filter(F.size("alone") < 2), F.lit(True), "left").select(F.coalesce("order", "alone").alias("order"))
+    return whole.select(F.posexplode("order").alias("place", "sample")).select("sample", "place")
 
 
 def cut_tree(dist: DataFrame, samples: DataFrame, n_groups: int = 5) -> DataFrame:
     """sample, auto_group: the average-linkage tree cut into n_groups (2 to n), named G1, G2, ... by their least
-    members. Fewer than three samples give no rows."""
-
-    def solve(ids: list, m: np.ndarray) -> pd.DataFrame:
-        if len(ids) < 3:
-            return pd.DataFrame({"sample": [], "auto_group": []})
-        label = {s: s for s in ids}
-        for left, right, _ in _upgma(ids, m)[: len(ids) - max(2, min(n_groups, len(ids)))]:
-            least = min(left + right)
-            label |= dict.fromkeys(left + right, least)
-        name = {s: f"G{i + 1}" for i, s in enumerate(sorted(set(label.values())))}
-        return pd.DataFrame({"sample": ids, "auto_group": [name[label[s]] for s in ids]})
-
-    return per_matrix(square(dist, samples), solve, "sample string, auto_group string")
+    members. Fewer than three samples give no rows. Groups are the components of the merges below the cut."""
+    ids = cut(samples.select("sample").distinct())
+    n = ids.count()
+    if n < 3:
+        return ids.select("sample", F.lit("").alias("auto_group")).limit(0)
+    merges = upgma(dist, samples).filter(F.col("step") <= n - max(2, min(n_groups, n)))
+    first = lambda c: F.get(c, F.lit(0))
+    labels = graph.components(merges.select(first("members_left").alias("u"), first("members_right").alias("v")))
+    rows = ids.join(labels.select(F.col("node").alias("sample"), "label"), "sample", "left").select("sample", F.coalesce("label", "sample").alias("label"))
+    names = rows.select("label").distinct().select("label", F.concat(F.lit("G"), F.row_number().over(Window.orderBy("label"))).alias("auto_group"))
+    return rows.join(F.broadcast(names), "label").select("sample", "auto_group")
 
 
 def neighbour_joining(dist: DataFrame, samples: DataFrame) -> DataFrame:

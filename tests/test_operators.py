@@ -215,11 +215,20 @@ def test_pcoa_gives_back_euclidean_distances_and_pca_equals_svd(spark):
     assert np.abs(got) == pytest.approx(np.abs(u[:, :2] * s[:2]), abs=1e-8)
 
 
-def test_trees_groups_and_communities(spark):
+def test_trees_groups_and_communities(spark, monkeypatch):
     d, samples = dist_of(spark, {"a": (0, 0), "b": (0, 1), "x": (9, 0), "y": (9, 1.5)})
     merges = spectral.upgma(d, samples).orderBy("step").collect()
     assert merges[0].members_left == ["a"] and merges[0].members_right == ["b"] and merges[1].height == pytest.approx(1.5)
     assert {r.sample: r.auto_group for r in spectral.cut_tree(d, samples, 2).collect()} == {"a": "G1", "b": "G1", "x": "G2", "y": "G2"}
+    rng = random.Random(4)
+    far, many = dist_of(spark, {f"s{i:02d}": (rng.random(), rng.random()) for i in range(10)})
+    far = far.repartition(2).cache()
+    tree = lambda: [(r.step, r.members_left, r.members_right, round(r.height, 9)) for r in spectral.upgma(far, many).orderBy("step").collect()]
+    one, groups, order = tree(), spectral.cut_tree(far, many, 4).collect(), spectral.leaf_order(far, many).collect()
+    monkeypatch.setattr(graph, "IN_ONE_TASK", 0)  # in rounds
+    assert tree() == one and sorted(spectral.cut_tree(far, many, 4).collect()) == sorted(groups) and len({r.auto_group for r in groups}) == 4
+    assert sorted(spectral.leaf_order(far, many).collect()) == sorted(order)
+    monkeypatch.undo()
     three = spark.createDataFrame([("a", "b", 5.0), ("a", "c", 9.0), ("b", "c", 10.0)], "a string, b string, d double")
     tree = spectral.neighbour_joining(three, spark.createDataFrame([("a",), ("b",), ("c",)], "sample string")).first()[0]
     assert "a:2.000000,b:3.000000" in tree
