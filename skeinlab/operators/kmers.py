@@ -31,6 +31,8 @@ def hashed_counts(reads: DataFrame, k: int = 17, dim: int = 262144, canonical: b
     sample and bin of a batch, never a k-mer."""
     if not 1 <= k <= 31:
         raise ValueError("k must be 1 to 31")
+    if not 1 <= dim < 1 << 31:
+        raise ValueError("bins are 32-bit numbers")
     rows = reads.select("sample", S.trimmed(F.upper("seq"), trim5, trim3).alias("seq")).filter("seq IS NOT NULL")
 
     def count(batches):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from skeinlab.functions import sequence as S
 from skeinlab.operators import distance, graph, metrics
-from skeinlab.plans import read_queries, views as V
+from skeinlab.plans import pipelines, read_queries, views as V
 from skeinlab.plans.graph_queries import CLOSE, D, G, dist, knn, nodes
 from skeinlab.plans.read_queries import rounded
 from skeinlab.sources import fastq, figures
@@ -52,7 +52,16 @@ def mate_names(spark, sf):
     return V.table(spark, sf, "part").select(fastq.sample_of(name).alias("sample")).groupBy("sample").agg(F.count(F.lit(1)).alias("files"))
 
 
+def reindexed(spark, sf):
+    """Degrees as scores of every third nation only, over all nations and one that has no profile."""
+    scores = graph.degrees(knn(spark, sf)).join(V.table(spark, sf, "nation").filter("n_nationkey % 3 = 0").select(F.col("n_name").alias("sample")), "sample")
+    samples = nodes(spark, sf).unionByName(spark.createDataFrame([("NOWHERE",)], "sample string"))
+    found = pipelines.metadata_check(scores.select("sample", F.col("degree").alias("mixture_score")), pools=POOLS, samples=samples)
+    return found["score_vs_truth"].select("sample", "mixture_score", "ground_truth")
+
+
 QUERIES = {
+    "reindexed_scores": reindexed,
     "depth_bars": lambda s, d: rounded(figures.depth_bars(read_queries.manifest(s, d)), "megabytes"),
     "node_sizes": lambda s, d: rounded(figures.node_sizes(graph.degrees(knn(s, d)), "degree"), "size"),
     "group_centroids": lambda s, d: rounded(figures.group_centroids(coords(s, d), "cultivar"), "PC1", "PC2"),
@@ -72,6 +81,9 @@ QUERIES = {
 SHIFTED = G + ", sh AS (SELECT u, v, d - 0.08 AS orc FROM edges)"
 
 ORACLES = {
+    "reindexed_scores": G + f""", dg AS (SELECT u AS sample, CAST(count(*) AS DOUBLE) AS degree FROM adj JOIN nation ON n_name = u WHERE n_nationkey % 3 = 0 GROUP BY u),
+al AS (SELECT DISTINCT sample FROM probs UNION ALL SELECT 'NOWHERE')
+SELECT sample, degree AS mixture_score, CASE WHEN sample IN ({', '.join(repr(p) for p in POOLS)}) THEN 'pool' ELSE 'individual' END AS ground_truth FROM al LEFT JOIN dg USING (sample)""",
     "depth_bars": f"SELECT sample, round(total_bytes / 1048576, 6) AS megabytes FROM ({read_queries.MANIFEST})",
     "node_sizes": G + ", dg AS (SELECT u AS sample, count(*) AS degree FROM adj GROUP BY u) SELECT sample, degree, round((degree - min(degree) OVER ()) / (max(degree) OVER () - min(degree) OVER () + 1e-12), 6) AS size FROM dg",
     "group_centroids": "SELECT 'G' || (s_suppkey % 4) AS cultivar, round(avg(s_acctbal), 6) AS PC1, round(avg(s_nationkey), 6) AS PC2 FROM supplier WHERE s_suppkey % 4 < 3 GROUP BY 1",

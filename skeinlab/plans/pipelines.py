@@ -172,9 +172,21 @@ def sweep(sketch: Callable[[int, int], DataFrame], samples: DataFrame, pools: li
     }
 
 
-def metadata_check(node_scores: DataFrame, runinfo: DataFrame | None = None, pools: list[str] | None = None, top_k: int | None = None, entropy: DataFrame | None = None) -> dict[str, DataFrame]:
+def reindexed(scores: DataFrame, samples: DataFrame, column: str) -> DataFrame:
+    """sample, column: one row for each distinct sample, null where the scores lack it; other scores go. A sample with
+    several scores stops the job."""
+    one = F.when(F.count(F.lit(1)) > 1, F.raise_error(F.concat(F.lit("several scores of "), F.first("sample")))).otherwise(F.first(column))
+    single = scores.groupBy(F.col("sample").cast("string").alias("sample")).agg(one.cast("double").alias(column))
+    return samples.select(F.col("sample").cast("string").alias("sample")).distinct().join(single, "sample", "left").select("sample", column)
+
+
+def metadata_check(node_scores: DataFrame, runinfo: DataFrame | None = None, pools: list[str] | None = None, top_k: int | None = None, entropy: DataFrame | None = None, samples: DataFrame | None = None) -> dict[str, DataFrame]:
     """Scores (sample, mixture_score) against ground truth from run info or a list of pools; k-mer entropy too,
-    where given."""
+    where given. samples: those of the distance matrix; the scores are then one to each of these, null where there is
+    none, which is kept in the tables and left out of the metrics."""
+    if samples is not None:
+        node_scores = reindexed(node_scores, samples, "mixture_score")
+        entropy = None if entropy is None else reindexed(entropy, samples, "kmer_entropy")
     labels = metrics.ground_truth(node_scores, runinfo, pools)
 
     def judged(scores: DataFrame, column: str) -> DataFrame:
