@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skeinlab.llm import common
 
-PART_BYTES = 16 << 20  # text of a part, within which units are counted and documents put together
+PART_BYTES = 32 << 20  # text of a part, within which units are counted and documents put together
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"  # letters in every version of Unicode's tables
 SIGNS = "!\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~"
 NOT_BEFORE = "\\s\u180e\u200b\u2060\ufeff\u2581"  # after these a space isn't certain to begin a token
@@ -113,8 +113,8 @@ def _tokenised(counted: DataFrame, paths: tuple[str, str]) -> DataFrame:
 
 
 def _aligned(units: DataFrame) -> DataFrame:
-    """u, n, n_a, n_b, n_groups, links (array of (a, b), one for each pair of tokens with common bytes) and groups
-    (text) of each unit (u, n, a, a_len, b, b_len)."""
+    """u, unit, n, n_a, n_b, n_groups, links (array of (a, b), one for each pair of tokens with common bytes) and groups
+    (text) of each unit (u, unit, n, a, a_len, b, b_len)."""
     by_unit = units.repartition("u")
     ends = {}
     for side in ("a", "b"):
@@ -127,7 +127,7 @@ def _aligned(units: DataFrame) -> DataFrame:
     count = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).cast("int")
     stretches = cut.select("u", "end", (a * b == 1).alias("last"), count(a).alias("at_a"), count(b).alias("at_b"), count(a * b).alias("group"))
     each = F.sort_array(F.collect_list(F.struct("end", "group", "at_a", "at_b", "last")))
-    found = stretches.groupBy("u").agg(each.alias("stretches")).join(by_unit.select("u", "n", "a", "b"), "u")
+    found = stretches.groupBy("u").agg(each.alias("stretches")).join(by_unit.select("u", "unit", "n", "a", "b"), "u")
     cuts = F.filter("stretches", lambda s: s["last"])
 
     def ids(side: str):
@@ -137,14 +137,14 @@ def _aligned(units: DataFrame) -> DataFrame:
     text = F.array_join(F.transform("cuts", lambda s, i: F.concat(ids("a")(s, i), F.lit("|"), ids("b")(s, i))), ";")
     links = F.transform("stretches", lambda s: F.struct(F.get("a", s["at_a"]).alias("a"), F.get("b", s["at_b"]).alias("b")))
     return found.withColumn("cuts", cuts).select(
-        "u", "n", F.size("a").alias("n_a"), F.size("b").alias("n_b"), (F.element_at("stretches", -1)["group"] + 1).alias("n_groups"), links.alias("links"), text.alias("groups")
+        "u", "unit", "n", F.size("a").alias("n_a"), F.size("b").alias("n_b"), (F.element_at("stretches", -1)["group"] + 1).alias("n_groups"), links.alias("links"), text.alias("groups")
     )
 
 
-def _scored(aligned: DataFrame) -> DataFrame:
+def _scored(aligned: DataFrame, scratch: common.Scratch) -> DataFrame:
     """u, n_best and count_sum of each unit, from the weighted counts of all pairs."""
     links = aligned.select("u", "n", F.explode("links").alias("link")).select("u", "n", "link.a", "link.b")
-    counts = common.stored(links.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
+    counts = scratch.stored(links.groupBy("a", "b").agg(F.sum("n").alias("count")), "pairs")
     most = counts.groupBy("b").agg(F.max("count").alias("most"))
     pairs = counts.join(most, "b").select("a", "b", "count", (F.col("count") == F.col("most")).cast("long").alias("best"))
     scores = links.select("u", "a", "b").join(pairs, ["a", "b"]).groupBy("u")
@@ -161,7 +161,7 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
     and an empty digest, and their would-be links count nowhere. Ties for the highest count of a b id are all
     best. Repeated rows are documents of their own; null and equal ids do no harm, further columns are not read.
     Empty input: no rows. Texts are stored in buckets by part and never shuffled; what is shuffled are the distinct
-    units of each part, then of the table. A text without certain cuts is one unit, aligned like any."""
+    units of each part, once, then those of the table. A text without certain cuts is one unit, aligned like any."""
     spark, paths = docs.sparkSession, (a_path, b_path)
     kind = docs.schema["doc_id"].dataType.simpleString()
     table, drop = common.in_parts(docs, PART_BYTES)
@@ -187,24 +187,31 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
                 seen.subtract(units)
         return counts(rows.column("part")[0].as_py() if rows.num_rows else 0, seen)
 
-    counted = common.stored(table.select("part", "text").groupBy("part").applyInArrow(count, "part bigint, unit string, n bigint"), "counted")
+    scratch = common.Scratch()
+    counted = table.select("part", "text").groupBy("part").applyInArrow(count, "part bigint, unit string, n bigint")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted, drop_counted = common.bucketed(counted.repartition(buckets, "unit"), "unit", buckets, "counted")
     units = _tokenised(counted.groupBy("unit").agg(F.sum("n").alias("n")), paths).withColumn("u", F.monotonically_increasing_id())
-    units = common.stored(units, "units")
-    bad = units.filter("not ok").select("unit")
+    units = scratch.stored(units, "units")
+    bad = scratch.stored(units.filter("not ok").select("unit"), "bad")
     good = units.filter("ok")
     if not bad.isEmpty():
         theirs = counted.join(bad, "unit", "left_semi").select("part", "unit")
         less = table.select("part", "text").groupBy("part").cogroup(theirs.groupBy("part")).applyInArrow(count_bad, "part bigint, unit string, n bigint")
         less = less.groupBy("unit").agg(F.sum("n").alias("less"))
         good = good.join(less, "unit", "left").withColumn("n", F.col("n") + F.coalesce("less", F.lit(0)))
-    aligned = common.stored(_aligned(good.select("u", "n", "a", "a_len", "b", "b_len")), "aligned")
-    rows = aligned.select("u", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), "groups").join(_scored(aligned), "u")
-    found = units.select("u", "unit").join(rows, "u", "left").select("unit", *NUMBERS, "groups")
+    aligned = scratch.stored(_aligned(good.select("u", "unit", "n", "a", "a_len", "b", "b_len")), "aligned")
+    scratch.drop(units)
+    rows = aligned.select("u", "unit", "n_a", "n_b", "n_groups", F.size("links").alias("n_links"), "groups").join(_scored(aligned, scratch), "u")
+    none = [F.lit(-1).cast("bigint").alias(c) for c in NUMBERS]
+    found = rows.select("unit", *NUMBERS, "groups").unionByName(bad.select("unit", *none, F.lit(None).cast("string").alias("groups")))
+    found = scratch.stored(found, "found")
+    scratch.drop(*(x for x, _ in scratch.held if x is not found))
     theirs = counted.select("part", "unit").join(found, "unit")
 
     def together(docs: pa.Table, units: pa.Table) -> pa.Table:
         place = {u: i for i, u in enumerate(units.column("unit").to_pylist())}
-        numbers = np.stack([units.column(c).to_pandas().fillna(-1).to_numpy(np.int64) for c in NUMBERS], axis=1) if place else np.zeros((0, len(NUMBERS)), np.int64)
+        numbers = np.stack([units.column(c).to_numpy() for c in NUMBERS], axis=1) if place else np.zeros((0, len(NUMBERS)), np.int64)
         groups = [None if g is None else g.encode() for g in units.column("groups").to_pylist()]
         sums, digests = [], []
         for text in docs.column("text").to_pylist():
@@ -221,6 +228,8 @@ def align(docs: DataFrame, a_path: str, b_path: str) -> DataFrame:
 
     schema = f"doc_id {kind}, {', '.join(f'{c} bigint' for c in NUMBERS)}, groups_sha256 string"
     out = common.stored(table.groupBy("part").cogroup(theirs.groupBy("part")).applyInArrow(together, schema), "alignment")
+    scratch.drop()
+    drop_counted()
     drop()
     return out
 

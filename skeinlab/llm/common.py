@@ -88,9 +88,15 @@ def in_parts(docs: DataFrame, part_bytes: int) -> tuple[DataFrame, Callable[[],
 
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = min(MAX_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // BUCKET_BYTES + 1))
-    name, path = f"parts_{uuid.uuid4().hex}", scratch(spark, "parts")
-    rows = docs.select("doc_id", "text").mapInArrow(numbered, f"part bigint, doc_id {kind}, text string")
-    rows.write.format("parquet").bucketBy(buckets, "part").option("path", path).option("compression", "zstd").saveAsTable(name)
+    return bucketed(docs.select("doc_id", "text").mapInArrow(numbered, f"part bigint, doc_id {kind}, text string"), "part", buckets, "parts")
+
+
+def bucketed(rows: DataFrame, column: str, buckets: int, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """rows as a table in buckets by a column in the shared folder: what groups or joins by the column shuffles none of
+    them. The second result drops the table."""
+    spark = rows.sparkSession
+    name, path = f"{name}_{uuid.uuid4().hex}", scratch(spark, name)
+    rows.write.format("parquet").bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(name)
 
     def drop() -> None:
         spark.sql(f"DROP TABLE {name}")
@@ -107,7 +113,7 @@ class Scratch:
 
     def stored(self, df: DataFrame, name: str) -> DataFrame:
         path = scratch(df.sparkSession, name)
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = df.sparkSession.read.schema(df.schema).parquet(path)
         self.held.append((out, path))
         return out
