@@ -148,10 +148,16 @@ def hints(reads: DataFrame, prefix_len: int = 12, tail_len: int = 12, dominant:
     """sample, top_prefix_pct, prefix_dominates (a barcode or primer may be left: above `dominant` percent),
     top_adapter_pct, adapters_left (some motif in `adapter` percent of the reads or more), unique_lengths,
     lengths_vary, poly_g_pct."""
-    top = prefix_top(reads, prefix_len, 1).select("sample", F.col("pct").alias("top_prefix_pct"))
-    motifs = adapter_hits(reads).groupBy("sample").agg(F.max("pct").alias("top_adapter_pct"))
-    poly = poly_g_tails(reads, tail_len).select("sample", F.col("pct").alias("poly_g_pct"))
-    rows = top.join(motifs, "sample").join(length_stats(reads).select("sample", "unique_lengths"), "sample").join(poly, "sample")
+    up = F.upper("seq")
+    motifs = {f"_motif{i}": F.count_if(up.contains(m)) for i, m in enumerate(S.ADAPTERS)}
+    # one pass: counts by prefix and length are enough for all columns
+    keys = ["sample", S.prefix(F.col("seq"), prefix_len).alias("prefix"), F.length("seq").alias("len")]
+    counts = reads.filter("sample IS NOT NULL").groupBy(*keys).agg(F.count(F.lit(1)).alias("c"), F.count_if(S.poly_g(S.tail(F.col("seq"), tail_len))).alias("g"), *[n.alias(c) for c, n in motifs.items()])
+    counts = counts.withColumn("same", F.sum("c").over(Window.partitionBy("sample", "prefix")))
+    share = lambda n: 100.0 * n / F.sum("c")
+    rows = counts.groupBy("sample").agg(
+        share(F.max("same")).alias("top_prefix_pct"), F.greatest(*[share(F.sum(c)) for c in motifs]).alias("top_adapter_pct"), F.count_distinct(F.coalesce("len", F.lit(-1))).alias("unique_lengths"), share(F.sum("g")).alias("poly_g_pct")
+    )
     return rows.withColumns({"prefix_dominates": F.col("top_prefix_pct") > dominant, "adapters_left": F.col("top_adapter_pct") >= adapter, "lengths_vary": F.col("unique_lengths") > 1})
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 LETTERS = "abcdefghijklmnopqrstuvwxyz."
 BASES = "ACGTACGTACGTACGTACGTACGTACN"
 READ = 100  # bases of a read
+TO_BASES = bytes.maketrans((LETTERS + LETTERS.upper()).encode(), (BASES + BASES).encode())
+NO_BASES = bytes(set(range(256)) - set((LETTERS + LETTERS.upper()).encode()))
 K, STEP, DIM = 11, 4, 1024
 
 
@@ -16,31 +18,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _cut(spark: SparkSession, sf_dir: str, quality: bool) -> DataFrame:
+    """The reads of the documents, made in one pass over each text: a task holds a batch of texts and the reads of 256."""
+    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL AND source IS NOT NULL")
+    docs = docs.select(F.col("source").alias("sample"), (1 + F.col("doc_id") % 2).cast("int").alias("mate"), "doc_id", F.col("text").cast("binary").alias("text"))
+    names = ["sample", "mate", "doc_id", "chunk", "seq"] + ["qual"] * quality
+
+    def cut(batches):
+        for whole in batches:
+            for first in range(0, whole.num_rows, 256):
+                b = whole.slice(first, 256)
+                text = [t.translate(TO_BASES, NO_BASES) for t in b.column("text").to_pylist()]
+                size = np.fromiter(map(len, text), dtype=np.int64, count=len(text))
+                chunks = -(-size // READ)
+                row = np.repeat(np.arange(len(text)), chunks)
+                chunk = np.arange(len(row)) - np.repeat(np.cumsum(chunks) - chunks, chunks)
+                flat = b"".join(text)
+                ends = np.append((np.cumsum(size) - size)[row] + READ * chunk, len(flat)).astype(np.int32)
+                strings = lambda data: pa.StringArray.from_buffers(len(row), pa.py_buffer(ends), pa.py_buffer(data))  # noqa: B023, E731
+                columns = [*(b.column(c).take(pa.array(row)) for c in names[:3]), pa.array(chunk.astype(np.int32)), strings(flat)]
+                if quality:
+                    base = np.frombuffer(flat, dtype=np.uint8).astype(np.int32)
+                    place = np.arange(len(flat), dtype=np.int32) - np.repeat(ends[:-1], np.diff(ends))
+                    columns.append(strings((33 + (base * 7 + place) % 41).astype(np.uint8)))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    return docs.mapInArrow(cut, f"sample {kinds['sample']}, mate int, doc_id {kinds['doc_id']}, chunk int, seq string" + ", qual string" * quality)
+
+
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as reads: letters and full stops become bases, cut into reads of 100; a source is a sample and
     odd documents are mate 2."""
-    docs = table(spark, sf_dir, "documents").filter("text IS NOT NULL AND source IS NOT NULL")
-    s = F.translate(F.lower(F.regexp_replace("text", "[^a-zA-Z.]", "")), LETTERS, BASES)
-    rows = docs.select(F.col("source").alias("sample"), (1 + F.col("doc_id") % 2).cast("int").alias("mate"), "doc_id", s.alias("s")).filter("length(s) > 0")
-    chunk = F.explode(F.sequence(F.lit(0), F.ceil(F.length("s") / READ).cast("int") - 1))
-    return rows.select("sample", "mate", "doc_id", chunk.alias("chunk"), "s").select("sample", "mate", "doc_id", "chunk", F.substring("s", F.col("chunk") * READ + 1, F.lit(READ)).alias("seq"))
+    return _cut(spark, sf_dir, False)
 
 
 def reads_with_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with a quality string: score (7 ascii(base) + position) mod 41."""
-    rows = reads(spark, sf_dir)
-
-    def scored(batches):
-        for b in batches:
-            text = [x.encode() for x in b.column("seq").to_pylist()]
-            flat = np.frombuffer(b"".join(text), dtype=np.uint8).astype(np.int64)
-            size = np.fromiter(map(len, text), dtype=np.int64, count=len(text))
-            ends = np.cumsum(size)
-            place = np.arange(len(flat)) - np.repeat(ends - size, size)
-            qual = (33 + (flat * 7 + place) % 41).astype(np.uint8).tobytes().decode()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([qual[e - n : e] for n, e in zip(size.tolist(), ends.tolist(), strict=True)], pa.string())], names=[*b.schema.names, "qual"])
-
-    return rows.mapInArrow(scored, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", qual string")
+    return _cut(spark, sf_dir, True)
 
 
 READS = f"""
