@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import Column, functions as F
 
@@ -123,6 +126,36 @@ def hashed_bins(text: bytes, k: int, dim: int, canonical: bool = False) -> np.nd
     return fmix64(kmer_codes(text, k, canonical)) % np.uint64(dim)
 
 
+@lru_cache(8)
+def _crc_parts(k: int) -> tuple[int, np.ndarray]:
+    """CRC-32 of k zero bytes, and what a byte at each of the k places changes in it: the sum is affine in its bits."""
+    zero = zlib.crc32(bytes(k))
+    return zero, np.array([[zlib.crc32(bytes(j) + bytes([b]) + bytes(k - 1 - j)) ^ zero for b in range(256)] for j in range(k)], dtype=np.uint32)
+
+
+def crc_bins(texts: list[bytes], k: int, dim: int, step: int = 1, without: bytes | None = None) -> np.ndarray:
+    """Bins of the k-mers at 0, step, 2 step, ... of UTF-8 texts: CRC-32 modulo dim. K-mers that hold the letter
+    `without` are left out."""
+    other = [t.decode() for t in texts if not t.isascii()]
+    texts = [t for t in texts if t.isascii()]
+    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    n = np.where(size >= k, (size - k) // step + 1, 0)
+    at = np.repeat(np.cumsum(size) - size, n) + step * (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    flat = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    if without is not None:
+        upto = np.concatenate([[0], np.cumsum(flat == without[0])])
+        at = at[upto[at + k] == upto[at]]
+    zero, parts = _crc_parts(k)
+    crc = np.full(len(at), zero, dtype=np.uint32)
+    for j in range(k):
+        crc ^= parts[j].take(flat.take(at + j))
+    bins = (crc % np.uint32(dim)).astype(np.int64)
+    # letters of several bytes: a k-mer has k letters
+    words = (t[i : i + k].encode() for t in other for i in range(0, len(t) - k + 1, step))
+    more = [zlib.crc32(w) % dim for w in words if without is None or without not in w]
+    return np.concatenate([bins, np.array(more, dtype=np.int64)])
+
+
 def trimmed(seq: Column, five: int = 0, three: int = 0, strict_compat: bool = False) -> Column:
     """seq without its first `five` and last `three` bases. With strict_compat a `three` beyond the length
     counts from the end again, as a negative slice bound does."""
