@@ -2,52 +2,71 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from skeinlab.functions import sequence as S
+from skeinlab.operators.kmers import numbered
+
+
+BASES = 1 << 18  # bases whose scores a task holds at a time
+KEPT = 1 << 21  # sums that a task holds before it passes them on
+
 
+def _pieces(batches):
+    """Rows of the batches (len, ...), as many together as have about BASES bases, one at least."""
+    for b in batches:
+        part = np.cumsum(b.column("len").fill_null(0).to_numpy(zero_copy_only=False)) // BASES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+        yield from (b.slice(first, last - first) for first, last in pairwise(cuts) if last > first)
 
-def _scores(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, position and Phred+33 score of every quality of a batch (len, qual): what lies below '!' wraps to
+
+def _scores(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Number of Phred+33 scores of each row of a batch (len, qual), and all scores: what lies below '!' wraps to
     223..255, characters beyond ASCII are dropped, and scores are cut to the length of the sequence."""
     quals = [(q or "").encode("ascii", "ignore").replace(b"\0", b"") for q in batch.column("qual").to_pylist()]
     most = batch.column("len").fill_null(0).to_numpy(zero_copy_only=False)
     size = np.minimum(np.fromiter(map(len, quals), dtype=np.int64, count=len(quals)), most)
     text = np.frombuffer(b"".join([q[:n] for q, n in zip(quals, size.tolist(), strict=True)]), dtype=np.uint8)
-    row = np.repeat(np.arange(len(quals)), size)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
-    return row, place, (text - np.uint8(33)).astype(np.int64)
-
-
-def _by_mate(batch: pa.RecordBatch) -> tuple[list[tuple], np.ndarray]:
-    """The (sample, mate) pairs of a batch and the number of each row's."""
-    keys = list(zip(batch.column("sample").to_pylist(), batch.column("mate").to_pylist(), strict=True))
-    number = {k: i for i, k in enumerate(dict.fromkeys(keys))}
-    return list(number), np.fromiter(map(number.__getitem__, keys), dtype=np.int64, count=len(keys))
+    return size, text - np.uint8(33)
 
 
 def qc_reads(reads: DataFrame) -> DataFrame:
     """sample, mate, reads_used, bases_used, mean_len, sd_len, gc_frac, n_frac, mean_phred, q30_frac.
 
     Base counts are over the whole upper-case read; quality over the shorter of read and quality. One read
-    has sd_len 0. A sample without reads has no row. Each batch gives one row of sums for a sample and mate."""
+    has sd_len 0. A sample without reads has no row. Each task gives one row of sums for a sample and mate."""
     seq = F.upper("seq")
     names = ["n", "nn", "gc", "ns", "reads"]
     rows = reads.select("sample", "mate", F.length("seq").cast("long").alias("len"), (S.count_char(seq, "G") + S.count_char(seq, "C")).alias("gc"), S.count_char(seq, "N").alias("ns"), "qual")
     kinds = {f.name: f.dataType.simpleString() for f in reads.schema.fields}
 
     def sums(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys, group = _by_mate(b)
-            row, _, q = _scores(b)
+        held, types = {}, None
+
+        def out():
+            values = [pa.array([k[i] for k in held], t) for i, t in enumerate(types)]
+            return pa.RecordBatch.from_arrays([*values, *map(pa.array, np.array(list(held.values())).T)], names=["sample", "mate", *names, "qn", "qsum", "q30"])
+
+        for b in _pieces(batches):
+            types = [b.column(c).type for c in ("sample", "mate")]
+            keys, group = numbered(b, ("sample", "mate"))
+            size, q = _scores(b)
+            ends = np.cumsum(size)
+            of_read = lambda x: np.diff(np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[np.append(0, ends)])  # noqa: B023, E731
             n, gc, ns = (b.column(c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("len", "gc", "ns"))
-            add = lambda where, what: np.bincount(where, weights=what, minlength=len(keys)).astype(np.int64)  # noqa: B023, E731
-            columns = [add(group, x) for x in (n, n * n, gc, ns, np.ones(len(n)))] + [add(group[row], x) for x in (np.ones(len(q)), q, q >= 30)]
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], b.column("sample").type), pa.array([k[1] for k in keys], b.column("mate").type), *map(pa.array, columns)], names=["sample", "mate", *names, "qn", "qsum", "q30"])
+            total = np.zeros((len(keys), 8), dtype=np.int64)
+            np.add.at(total, group, np.stack([n, n * n, gc, ns, np.ones_like(n), size, of_read(q), of_read(q >= 30)], axis=1))
+            for key, x in zip(keys, total, strict=True):
+                held[key] = held.get(key, 0) + x
+            if 8 * len(held) > KEPT:
+                yield out()
+                held.clear()
+        if held:
+            yield out()
 
     found = rows.mapInArrow(sums, f"sample {kinds['sample']}, mate {kinds['mate']}, " + ", ".join(f"{c} bigint" for c in [*names, "qn", "qsum", "q30"]))
     found = found.groupBy("sample", "mate").agg(*[F.sum(c).alias(c) for c in [*names, "qn", "qsum", "q30"]])
@@ -69,23 +88,46 @@ def both_mates(qc: DataFrame) -> DataFrame:
 
 
 def qc_positions(reads: DataFrame) -> DataFrame:
-    """sample, mate, pos, mean_q, n: mean quality over the reads that reach a position. Each batch gives one row of
+    """sample, mate, pos, mean_q, n: mean quality over the reads that reach a position. Each task gives one row of
     sums for a sample, mate and position."""
     rows = reads.select("sample", "mate", F.length("seq").cast("long").alias("len"), "qual")
     kinds = {f.name: f.dataType.simpleString() for f in reads.schema.fields}
 
     def sums(batches):
-        for b in batches:
-            row, place, q = _scores(b)
-            if not len(q):
-                continue
-            keys, group = _by_mate(b)
-            width = int(place.max()) + 1
-            cell = group[row] * width + place
-            n, total = np.bincount(cell), np.bincount(cell, weights=q)
-            at = np.flatnonzero(n)
-            columns = [pa.array([keys[i][0] for i in (at // width).tolist()], b.column("sample").type), pa.array([keys[i][1] for i in (at // width).tolist()], b.column("mate").type)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array((at % width).astype(np.int32)), pa.array(n[at]), pa.array(total[at].astype(np.int64))], names=["sample", "mate", "pos", "n", "total"])
+        held, types = {}, None
+
+        def out():
+            for key, sums in held.items():
+                at = np.flatnonzero(sums[0])
+                values = [pa.array([v] * len(at), t) for v, t in zip(key, types, strict=True)]
+                yield pa.RecordBatch.from_arrays([*values, pa.array(at.astype(np.int32)), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["sample", "mate", "pos", "n", "total"])
+
+        for b in _pieces(batches):
+            types = [b.column(c).type for c in ("sample", "mate")]
+            keys, group = numbered(b, ("sample", "mate"))
+            size, q = _scores(b)
+            width = int(size.max())
+            cell = np.repeat(group * width - (np.cumsum(size) - size), size) + np.arange(len(q))
+            if len(keys) * width <= 4 * BASES:
+                n, total = np.bincount(cell), np.bincount(cell, weights=q)
+                at = np.flatnonzero(n)
+                n, total = n[at], total[at]
+            else:
+                at, place, n = np.unique(cell, return_inverse=True, return_counts=True)
+                total = np.bincount(place, weights=q)
+            for i, (first, last) in enumerate(pairwise(np.searchsorted(at, np.arange(len(keys) + 1) * width).tolist())):
+                if first == last:
+                    continue
+                pos, old = at[first:last] - i * width, held.get(keys[i], np.zeros((2, 0), dtype=np.int64))
+                if old.shape[1] <= pos[-1]:
+                    old = np.pad(old, ((0, 0), (0, int(pos[-1]) + 1 - old.shape[1])))
+                old[0, pos] += n[first:last]
+                old[1, pos] += total[first:last].astype(np.int64)
+                held[keys[i]] = old
+            if sum(x.size for x in held.values()) > KEPT:
+                yield from out()
+                held.clear()
+        yield from out()
 
     found = rows.mapInArrow(sums, f"sample {kinds['sample']}, mate {kinds['mate']}, pos int, n bigint, total bigint")
     return found.groupBy("sample", "mate", "pos").agg((F.sum("total") / F.sum("n")).alias("mean_q"), F.sum("n").alias("n"))
