@@ -100,13 +100,14 @@ def run_final(spark, sf):
 
 def run_sweep(spark, sf):
     """Depths and k swept over the sources' own reads: each cell's histograms come from the first reads of a sample."""
-    order = Window.partitionBy("sample").orderBy("doc_id", "chunk")
-    reads = graph.cut(V.reads(spark, sf).select("sample", "seq", F.row_number().over(order).alias("nth")))
+    depths, order = (50, 100, 200), Window.partitionBy("sample").orderBy("doc_id", "chunk")
+    # reads beyond the deepest cell are in none: they are dropped before the rows are sorted and stored
+    reads = graph.cut(V.reads(spark, sf).select("sample", "seq", F.row_number().over(order).alias("nth")).filter(F.col("nth") <= max(depths)))
 
     def sketch(depth, k):
         return kmers.probabilities(kmers.crc_counts(reads.filter(F.col("nth") <= depth), k, V.DIM, 1, "read", ("sample",)))
 
-    return pipelines.sweep(sketch, reads, [], reads=(50, 100, 200), ks=(9, 11, 13), base_reads=100, base_k=11, n_boot=1, dim=V.DIM, n_synth=12)["run_metrics_raw"]
+    return pipelines.sweep(sketch, reads, [], reads=depths, ks=(9, 11, 13), base_reads=100, base_k=11, n_boot=1, dim=V.DIM, n_synth=12)["run_metrics_raw"]
 
 
 QUERIES = {
