@@ -173,10 +173,12 @@ def tail_top(reads: DataFrame, length: int = 12, n: int = 10) -> DataFrame:
 
 
 def end_kmers(reads: DataFrame, k: int = 8, n: int = 10) -> DataFrame:
-    """The most frequent first and last k bases (side 5 or 3) of the reads of at least k."""
-    up = F.upper("seq")
-    sides = F.array(F.struct(F.lit(5).alias("side"), F.substring(up, F.lit(1), F.lit(k)).alias("kmer")), F.struct(F.lit(3).alias("side"), F.substring(up, F.length("seq") - k + 1, F.lit(k)).alias("kmer")))
-    return top_counts(reads.filter(F.length("seq") >= k).select("sample", F.inline(sides)), ["sample", "side"], "kmer", n)
+    """The most frequent first and last k bases (side 5 or 3) of the upper-case reads of at least k."""
+    # only the ends are put in upper case; a letter may become several (ß), so they are cut again
+    first, last = (F.substring(F.upper(F.substring("seq", at, k)), at, k) for at in (1, -k))
+    ends = reads.filter(F.length("seq") >= k).select("sample", first.alias("5"), last.alias("3"))
+    found = top_counts(ends.unpivot("sample", ["5", "3"], "side", "kmer"), ["sample", "side"], "kmer", n)
+    return found.withColumn("side", F.col("side").cast("int"))
 
 
 def end_bases(reads: DataFrame) -> DataFrame:
